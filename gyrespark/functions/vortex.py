@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gyrespark.functions.geo import _c
 
@@ -145,7 +146,7 @@ def rortex_2d_raw(swirl, omega) -> Column:
     return F.when((_c(omega) != 0) & (ratio >= 0), (1.0 - F.sqrt(ratio)) * _c(omega))
 
 
-SWIRL_3D = "swirl DOUBLE, axis_x DOUBLE, axis_y DOUBLE, axis_z DOUBLE"
+SWIRL_3D = T.StructType([T.StructField(n, T.DoubleType()) for n in ("swirl", "axis_x", "axis_y", "axis_z")])
 
 
 @F.pandas_udf(SWIRL_3D)

@@ -60,22 +60,17 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: st
     Both sides are stacked and scanned once in time order: each left row sees
     the last right row at or before it and the first one after it, and keeps
     the closer (the earlier on a tie).  Nothing is paired, so the cost is one
-    shuffle and sort whatever the tolerance.
+    shuffle and sort whatever the tolerance.  ``right_tie`` (some of
+    ``values``) decides between right rows of the same instant.
     """
-    tie = right_tie or []
     payload = F.struct(F.col(right_time).alias("_rt"), *values)
-    order_tie = F.struct(*[F.col(t) for t in tie]) if tie else None
-    a = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(
-        *by, F.col(left_time).alias("_t"), "_row", F.lit(None).cast(_struct_type(right, right_time, values)).alias("_r"),
-        F.lit(1).alias("_side"))
+    a = left.select(*by, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"),
+                    F.lit(None).cast(_struct_type(right, right_time, values)).alias("_r"), F.lit(1).alias("_side"))
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"),
                      payload.alias("_r"), F.lit(0).alias("_side"))
-    if order_tie is not None:
-        b = b.withColumn("_tie", right_tie_column(right, tie))
-        a = a.withColumn("_tie", F.lit(None).cast(b.schema["_tie"].dataType))
-        # among right rows of one instant the smallest tie key must win both scans
-        b = ordered.best_row(b, [*by, "_t"], [F.col("_tie")], ["_row", "_r", "_side", "_tie"])
-        b = b.select(*a.columns)
+    if right_tie:
+        # of several right rows at one instant the smallest tie key serves both scans
+        b = ordered.best_row(b, [*by, "_t"], [F.col("_r")[t] for t in right_tie], ["_row", "_r", "_side"])
     stacked = a.unionByName(b)
     chunk = ordered.time_chunk("_t", chunk_width)
     both = ordered.carry(stacked, by, ["_t", "_side"], ["_r"], chunk, forward=True, suffix="before")
@@ -92,10 +87,6 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: st
         *[F.when(inside, F.col("_m")[v]).alias(f"matched_{v}") for v in values])
 
 
-def right_tie_column(right: DataFrame, tie: list[str]) -> Column:
-    return F.struct(*[F.col("_r")[t] if t in tie else F.col(t) for t in tie])
-
-
 def _struct_type(df: DataFrame, time: str, values: list[str]):
     return df.select(F.struct(F.col(time).alias("_rt"), *values).alias("s")).schema["s"].dataType
 
@@ -159,7 +150,7 @@ def geo_time_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: st
                     F.col(lon).alias("lon_ref"), F.col(lat).alias("lat_ref"))
     b = right.select(F.col(right_id).alias("id_own"), F.col(time).alias("t"),
                      F.col(lon).alias("lon_own"), F.col(lat).alias("lat_own"))
-    a = a.withColumns(_band_cells("lon_ref", "lat_ref", band, spread=True))
+    a = a.withColumns(_band_cells("lon_ref", "lat_ref", band))
     a = a.withColumn("_cell", F.explode("_cells")).drop("_cells")
     b = b.withColumn("_cell", _band_cell("lon_own", "lat_own", band))
     pairs = a.join(b, ["t", "_cell"]).drop("_cell")
@@ -172,7 +163,7 @@ def _cells_in_band(index: Column, band: float) -> Column:
     edge = F.greatest(F.abs(index * band), F.abs((index + 1) * band))
     # one more band of slack: a left point may sit in the neighbouring band
     shrink = F.cos(F.radians(F.least(edge + band, F.lit(90.0))))
-    return F.greatest(F.floor(F.lit(360.0) * shrink / (1.1 * band)), F.lit(1).cast("long"))
+    return F.greatest(F.floor(F.lit(360.0) * shrink / (1.2 * band)), F.lit(1).cast("long"))
 
 
 def _band_cell(lon: str, lat: str, band: float) -> Column:
@@ -182,7 +173,7 @@ def _band_cell(lon: str, lat: str, band: float) -> Column:
     return F.struct(index.alias("b"), at.alias("c"))
 
 
-def _band_cells(lon: str, lat: str, band: float, spread: bool) -> dict[str, Column]:
+def _band_cells(lon: str, lat: str, band: float) -> dict[str, Column]:
     index = F.floor(F.col(lat) / F.lit(band))
     lists = []
     for k in (-1, 0, 1):
@@ -245,9 +236,10 @@ def radius_join_degrees(points: DataFrame, grid: DataFrame, on: list[str], lon:
     bounding box of the reference metric, ``|dlon| <= radius`` and
     ``|dlat| <= radius``, before the distance test.
     """
-    n = max(1, round(360.0 / bucket))
+    n = max(1, math.ceil(360.0 / bucket))
+    short = 0 if 360.0 % bucket == 0 else 1  # the last bucket may be narrower
     r, c = F.col(radius_deg), F.col(lon)
-    lo, hi = F.floor(geo.lon_360(c - r) / bucket), F.floor(r * 2 / bucket) + 1
+    lo, hi = F.floor(geo.lon_360(c - r) / bucket), F.floor(r * 2 / bucket) + 1 + short
     p = points.withColumn("_bx", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(0).cast("long"), F.least(hi, F.lit(n).cast("long"))), lambda k: F.pmod(lo + k, F.lit(n).cast("long"))))))
     p = p.withColumn("_by", F.explode(F.sequence(F.floor((F.col(lat) - r) / bucket), F.floor((F.col(lat) + r) / bucket))))
