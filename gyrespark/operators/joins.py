@@ -175,14 +175,14 @@ def _band_cell(lon: str, lat: str, band: float) -> Column:
 
 def _band_cells(lon: str, lat: str, band: float) -> dict[str, Column]:
     index = F.floor(F.col(lat) / F.lit(band))
-    lists = []
-    for k in (-1, 0, 1):
-        b = index + k
+
+    def in_band(b: Column) -> Column:
         n = _cells_in_band(b, band)
         at = F.least(F.floor(geo.lon_360(lon) / 360.0 * n), n - 1)
         cells = F.array_distinct(F.array(*[F.pmod(at + j, n) for j in (-1, 0, 1)]))
-        lists.append(F.transform(cells, lambda c, b=b: F.struct(b.alias("b"), c.alias("c"))))
-    return {"_cells": F.concat(*lists)}
+        return F.transform(cells, lambda c: F.struct(b.alias("b"), c.alias("c")))
+
+    return {"_cells": F.concat(*[in_band(index + k) for k in (-1, 0, 1)])}
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start: str, end: str,

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {"INT": T.IntegerType(), "LONG": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(),
+          "BOOLEAN": T.BooleanType(), "TIMESTAMP_NTZ": T.TimestampNTZType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name TYPE`` pairs; needs no running session."""
+    fields = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 FIELD = _schema("time TIMESTAMP_NTZ, level INT, y INT, x INT, lat DOUBLE, lon DOUBLE, "
