@@ -51,7 +51,7 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 PTS = """pts AS (SELECT event_id, user_id AS track_id, ts AS time, value AS crit, event_type AS label,
   CAST(floor(value) AS INTEGER) AS x, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS y,
-  floor(value) * 0.5 - 120.0 AS lon, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) * 0.5 + 20.0 AS lat
+  floor(value) * 0.5 - 120.0 AS lon, CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) * 0.5 + 20.0 AS lat
   FROM events)"""
 
 def chunk() -> Column:
@@ -73,9 +73,9 @@ def hourly(spark: SparkSession, folder: str, reference: bool) -> DataFrame:
 
 
 HOURLY = """href AS (SELECT track_id, date_trunc('hour', time) AS time, min(x) AS x, max(y) AS y,
-    min(x) * 0.5 - 120.0 AS lon, max(y) * 0.5 + 20.0 AS lat FROM pts WHERE label IN ('click', 'view') GROUP BY 1, 2),
+    CAST(min(x) AS DOUBLE) * 0.5 - 120.0 AS lon, CAST(max(y) AS DOUBLE) * 0.5 + 20.0 AS lat FROM pts WHERE label IN ('click', 'view') GROUP BY 1, 2),
   hown AS (SELECT track_id, date_trunc('hour', time) AS time, min(x) AS x, max(y) AS y,
-    min(x) * 0.5 - 120.0 AS lon, max(y) * 0.5 + 20.0 AS lat FROM pts WHERE label NOT IN ('click', 'view') GROUP BY 1, 2)"""
+    CAST(min(x) AS DOUBLE) * 0.5 - 120.0 AS lon, CAST(max(y) AS DOUBLE) * 0.5 + 20.0 AS lat FROM pts WHERE label NOT IN ('click', 'view') GROUP BY 1, 2)"""
 
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:

@@ -129,9 +129,12 @@ m AS (SELECT id_ref, id_own, count(*) AS temp, avg(d) AS dist FROM pairs WHERE d
 BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_ref ORDER BY temp DESC, round(dist, 9), id_own) AS rn FROM m) WHERE rn = 1)"
 
 
-def _match(spark, folder):
+STRICT = MATCH.replace(str(KM), "500.0").replace(str(MEAN), "400.0")
+
+
+def _match(spark, folder, km=KM, mean=MEAN):
     ref, own = hourly(spark, folder, True), hourly(spark, folder, False)
-    return ref, own, skill.catalogue_match(ref, own, "track_id", "track_id", "time", "lon", "lat", KM, MEAN, STEPS)
+    return ref, own, skill.catalogue_match(ref, own, "track_id", "track_id", "time", "lon", "lat", km, mean, STEPS)
 
 
 @query("catalogue_match", f"WITH {PTS}, {HOURLY}, {MATCH} SELECT id_ref, id_own, temp, round(dist, 6) AS dist FROM m")
@@ -151,12 +154,12 @@ def probability_of_detection(spark, folder):
     return skill.pod(m, ref, "track_id").withColumn("POD", r6("POD"))
 
 
-@query("pod_far_csi", f"""WITH {PTS}, {HOURLY}, {MATCH}, c AS (SELECT (SELECT count(DISTINCT id_ref) FROM m) AS hits,
+@query("pod_far_csi", f"""WITH {PTS}, {HOURLY}, {STRICT}, c AS (SELECT (SELECT count(DISTINCT id_ref) FROM m) AS hits,
  (SELECT count(DISTINCT track_id) FROM href WHERE track_id NOT IN (SELECT id_ref FROM m)) AS misses, (SELECT count(DISTINCT track_id) FROM hown WHERE track_id NOT IN (SELECT id_own FROM m)) AS false_alarms)
 SELECT hits, misses, false_alarms, round(hits / (hits + misses), 6) AS "POD", round(CASE WHEN hits + false_alarms > 0 THEN false_alarms / (hits + false_alarms) ELSE 0 END, 6) AS "FAR",
  round(hits / (hits + misses + false_alarms), 6) AS "CSI" FROM c""")
 def pod_far_csi(spark, folder):
-    ref, own, m = _match(spark, folder)
+    ref, own, m = _match(spark, folder, 500.0, 400.0)
     out = skill.contingency(ref, own, m, "track_id", "track_id")
     return out.withColumns({c: r6(c) for c in ("POD", "FAR", "CSI")})
 
@@ -213,21 +216,21 @@ def duration_ratios(spark, folder):
     return skill.duration_ratios(m, ref, own, "track_id", "track_id", "time").withColumn("duration_ratio", r6("duration_ratio"))
 
 
-@query("matches_per_reference", f"""WITH {PTS}, {HOURLY}, {MATCH} SELECT r.track_id AS id_ref, count(m.id_own) AS n_matches, count(m.id_own) > 0 AS matched FROM (SELECT DISTINCT track_id FROM href) r LEFT JOIN m ON m.id_ref = r.track_id GROUP BY 1""")
+@query("matches_per_reference", f"""WITH {PTS}, {HOURLY}, {STRICT} SELECT r.track_id AS id_ref, count(m.id_own) AS n_matches, count(m.id_own) > 0 AS matched FROM (SELECT DISTINCT track_id FROM href) r LEFT JOIN m ON m.id_ref = r.track_id GROUP BY 1""")
 def matches_per_reference(spark, folder):
-    ref, _, m = _match(spark, folder)
+    ref, _, m = _match(spark, folder, 500.0, 400.0)
     return skill.matches_per_reference(ref, m, "track_id")
 
 
-@query("unmatched_own_tracks", f"""WITH {PTS}, {HOURLY}, {MATCH} SELECT DISTINCT track_id AS id_own FROM hown WHERE track_id NOT IN (SELECT id_own FROM m)""")
+@query("unmatched_own_tracks", f"""WITH {PTS}, {HOURLY}, {STRICT} SELECT DISTINCT track_id AS id_own FROM hown WHERE track_id NOT IN (SELECT id_own FROM m)""")
 def unmatched_own_tracks(spark, folder):
-    _, own, m = _match(spark, folder)
+    _, own, m = _match(spark, folder, 500.0, 400.0)
     return skill.false_alarms(own, m, "track_id")
 
 
-@query("pair_report", f"""WITH {PTS}, {HOURLY}, {MATCH} SELECT r.track_id AS id_ref, r.n AS n_points, m.id_own, m.temp, round(m.dist, 6) AS dist FROM (SELECT track_id, count(*) AS n FROM href GROUP BY 1) r LEFT JOIN m ON m.id_ref = r.track_id""")
+@query("pair_report", f"""WITH {PTS}, {HOURLY}, {STRICT} SELECT r.track_id AS id_ref, r.n AS n_points, m.id_own, m.temp, round(m.dist, 6) AS dist FROM (SELECT track_id, count(*) AS n FROM href GROUP BY 1) r LEFT JOIN m ON m.id_ref = r.track_id""")
 def pair_report(spark, folder):
-    ref, _, m = _match(spark, folder)
+    ref, _, m = _match(spark, folder, 500.0, 400.0)
     return skill.pair_report(ref, m, "track_id", "time").select("id_ref", "n_points", "id_own", "temp", r6("dist").alias("dist"))
 
 
