@@ -97,10 +97,15 @@ def index_to_coord(index, first: float, step: float, size: int) -> Column:
     return F.lit(float(first)) + clipped * F.lit(float(step))
 
 
+def nearest_index(position) -> Column:
+    """Nearest whole index, the lower one half-way (up to rounding noise)."""
+    return F.ceil(F.round(_c(position), 6) - 0.5).cast("int")
+
+
 def coord_to_index(coord, first: float, step: float, size: int) -> Column:
     """Nearest index on a regular axis (arithmetic, no search)."""
-    raw = F.round((_c(coord) - F.lit(float(first))) / F.lit(float(step)), 0)
-    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(size - 1))).cast("int")
+    raw = nearest_index((_c(coord) - F.lit(float(first))) / F.lit(float(step)))
+    return F.least(F.greatest(raw, F.lit(0)), F.lit(size - 1))
 
 
 def grid_to_latlon(x, y, spacing_km: float = 6.0, origin_lat: float = 0.0,

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrespark.session import cut_lineage
+from gyrespark.session import cut_lineage, spread
 
 _ROW = 1 << 24  # cell id = y * _ROW + x
 
@@ -33,6 +33,10 @@ def _label_tile(pdf: pd.DataFrame, by: list[str], eps: float, min_samples: int,
     ty, tx = int(pdf["_ty"].iloc[0]), int(pdf["_tx"].iloc[0])
     y0, x0 = ty * tile - halo, tx * tile - halo
     size = tile + 2 * halo
+    names = [*by, "_sign", "cid", "crit", "core", "comp", "kind"]
+    home = (pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)
+    if not home.any():  # halo only: these cells are labelled by their own tiles
+        return pd.DataFrame({c: [] for c in names})
     offsets = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)
                if 0 < dy * dy + dx * dx <= eps * eps]
     frames = []
@@ -97,7 +101,7 @@ def _label_tile(pdf: pd.DataFrame, by: list[str], eps: float, min_samples: int,
     out = pd.concat(frames, ignore_index=True)
     for k in by:
         out[k] = pdf[k].iloc[0]
-    return out[[*by, "_sign", "cid", "crit", "core", "comp", "kind"]]
+    return out[names]
 
 
 def connected_labels(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -140,7 +144,8 @@ def label_cells(cells: DataFrame, by: list[str], crit: str = "crit", eps: float
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
     schema = f"{kinds}, `_sign` int, cid long, crit double, core boolean, comp long, kind int"
     kernel = partial(_label_tile, by=by, eps=eps, min_samples=min_samples, tile=tile)
-    parts = cut_lineage(tiled.groupBy(*by, "_ty", "_tx").applyInPandas(kernel, schema))
+    groups = [*by, "_ty", "_tx"]
+    parts = cut_lineage(spread(tiled, groups).groupBy(*groups).applyInPandas(kernel, schema))
 
     keys = [*by, "_sign"]
     own = parts.where(F.col("kind") == 0)

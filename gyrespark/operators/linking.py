@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions import geo
@@ -70,22 +70,34 @@ def register_rule(name: str, rule: LinkRule) -> None:
     RULES[name] = rule
 
 
-def dominant_matching(edges: DataFrame) -> DataFrame:
+def _matching_round(edges: DataFrame) -> DataFrame:
+    """Settle every pair that is favourite and first in line; drop what it blocks.
+
+    A settled edge is alone in both of its groups afterwards, so it stays
+    settled in later rounds.  Groups are one node's candidates: small.
+    """
+    per_a, per_item = Window.partitionBy("a"), Window.partitionBy("item")
+    out = edges.withColumn("_fav", F.row_number().over(per_a.orderBy("pref")) == 1)
+    out = out.withColumn("settled", F.col("_fav") & (F.col("prio") == F.min("prio").over(per_item)))
+    out = out.withColumn("_gone", F.max("settled").over(per_item))
+    out = out.withColumn("_done", F.max("settled").over(per_a))
+    return out.where(F.col("settled") | ~(F.col("_gone") | F.col("_done"))).drop("_fav", "_gone", "_done")
+
+
+def dominant_matching(edges: DataFrame, unroll: int = 2) -> DataFrame:
     """Match ``a`` with ``item`` when each is served in order of priority.
 
     ``edges`` has columns a, item, b, pref (smaller is preferred by a) and prio
-    (smaller is served first; unique per a).  Returns (a, item, b).
+    (smaller is served first; unique per a).  Returns (a, item, b).  A few
+    rounds share one plan before the lineage is cut.
     """
-    edges = cut_lineage(edges.select("a", "item", "b", "pref", "prio"))
-    found = None
-    while not edges.isEmpty():
-        want = edges.groupBy("a").agg(F.min_by(F.struct("item", "b", "prio"), F.col("pref")).alias("_w"))
-        want = want.select("a", "_w.item", "_w.b", "_w.prio")
-        first = edges.groupBy("item").agg(F.min("prio").alias("_first"))
-        settled = cut_lineage(want.join(first, "item").where(F.col("prio") == F.col("_first")).select("a", "item", "b"))
-        found = settled if found is None else found.unionByName(settled)
-        edges = cut_lineage(edges.join(settled.select("a"), "a", "left_anti").join(settled.select("item"), "item", "left_anti"))
-    return found if found is not None else edges.select("a", "item", "b")
+    left = edges.select("a", "item", "b", "pref", "prio")
+    while True:
+        for _ in range(unroll):
+            left = _matching_round(left.select("a", "item", "b", "pref", "prio"))
+        left = cut_lineage(left)
+        if left.where(~F.col("settled")).isEmpty():
+            return left.select("a", "item", "b")
 
 
 def _predict(ends: DataFrame, rule: LinkRule, shape: tuple[int, int]) -> DataFrame:
@@ -183,59 +195,53 @@ def link_nodes(nodes: DataFrame, by: list[str], rule: LinkRule | str = "local_2_
     columns = [*by, "t", "node_id", "x", "y", "rad", "crit"]
     extra = [c for c in ("cluster", "bg_dx", "bg_dy") if c in nodes.columns]
     targets = cut_lineage(nodes.select(*columns, *extra))
-    births = targets
-    pool = targets
-    if rule.policy == "cluster":
-        births = cut_lineage(centres.select(*columns, *extra))
-        pool = cut_lineage(targets.unionByName(births.join(targets.select("node_id"), "node_id", "left_anti")))
-    top = pool.agg(F.max("rad").alias("r")).first()["r"] or 1.0
-    reach = rule.hw_scale * float(top)
-
+    by_cluster = rule.policy == "cluster"
+    pool = targets.withColumn("birth", F.lit(not by_cluster))
+    if by_cluster:
+        births = centres.select(*columns, *extra)
+        inside = births.select("node_id").withColumn("_c", F.lit(True))
+        pool = targets.join(inside, "node_id", "left").withColumn("birth", F.coalesce("_c", F.lit(False))).drop("_c")
+        alone = births.join(targets.select("node_id"), "node_id", "left_anti").withColumn("birth", F.lit(True))
+        pool = pool.unionByName(alone)
     needs_past = rule.predictor != "none" or rule.cone is not None
-    iterate = needs_past or rule.policy == "cluster"
-    position = pool.select(F.col("node_id").alias("prev_id"), F.col("x").alias("_prev_x"), F.col("y").alias("_prev_y"))
-
-    def state_of(links: DataFrame | None) -> DataFrame:
-        """Live nodes with their predecessor."""
-        if links is None:
-            return births.select(*by, "t", "node_id", F.lit(None).cast("long").alias("prev_id"))
-        linked = links.select(*by, "t", F.col("b").alias("node_id"), F.col("a").alias("prev_id"))
-        if rule.policy == "cluster":
-            used = links.select("item").distinct()
-            free = births.withColumn("item", F.struct(*by, "t", F.col("cluster").cast("long").alias("k"))).join(
-                used, "item", "left_anti")
-            rest = free.select(*by, "t", "node_id")
-        else:
-            rest = births.select(*by, "t", "node_id").join(linked.select("node_id"), "node_id", "left_anti").select(*by, "t", "node_id")
-        return linked.unionByName(rest.withColumn("prev_id", F.lit(None).cast("long")))
-
-    state = cut_lineage(state_of(None))
-    links = None
+    item = F.struct(*by, "t", F.col("cluster").cast("long").alias("k")) if by_cluster else F.struct(*by, "t", F.col("node_id").alias("k"))
+    state = cut_lineage(pool.withColumns({
+        "item": item, "live": F.col("birth"), "prev_id": F.lit(None).cast("long"), "changed": F.col("birth")}))
+    reach = rule.hw_scale * float(state.agg(F.max("rad").alias("r")).first()["r"] or 1.0)
     dirty = None
     while True:
-        ends = pool.join(state.select("node_id", "prev_id"), "node_id")
+        ends = state.where("live")
         if dirty is not None:
             ends = ends.join(dirty, [*by, "t"], "left_semi")
-        ends = ends.join(position, "prev_id", "left") if needs_past else ends.withColumns(
-            {"_prev_x": F.lit(None).cast("int"), "_prev_y": F.lit(None).cast("int")})
-        edges = _edges(ends, targets, by, rule, shape, axes, reach)
-        fresh = dominant_matching(edges)
-        fresh = fresh.select(*[F.col("item")[c].alias(c) for c in [*by, "t"]], "a", "b", "item")
-        if links is None:
-            links = cut_lineage(fresh)
+        if needs_past:
+            past = state.select(F.col("node_id").alias("prev_id"), F.col("x").alias("_prev_x"), F.col("y").alias("_prev_y"))
+            ends = ends.join(past, "prev_id", "left")
+        else:
+            ends = ends.withColumns({"_prev_x": F.lit(None).cast("int"), "_prev_y": F.lit(None).cast("int")})
+        fresh = dominant_matching(_edges(ends, targets, by, rule, shape, axes, reach))
+        hit = fresh.select(F.col("b").alias("node_id"), F.col("a").alias("_new"))
+        after = state.drop("changed").join(hit, "node_id", "left")
+        if dirty is None:
+            after = after.withColumn("_redo", F.lit(True))
         else:
-            redone = dirty.select(*by, (F.col("t") + 1).alias("t"))
-            links = cut_lineage(links.join(redone, [*by, "t"], "left_anti").select(*fresh.columns).unionByName(fresh))
-        after = cut_lineage(state_of(links))
-        if not iterate:
-            return after
-        same = ["node_id", "prev_id"] if needs_past else ["node_id"]
-        moved = after.select(*by, "t", *same).exceptAll(state.select(*by, "t", *same)).unionByName(
-            state.select(*by, "t", *same).exceptAll(after.select(*by, "t", *same)))
-        dirty = cut_lineage(moved.select(*by, "t").distinct())
-        state = after
-        if dirty.isEmpty():
-            return state
+            redo = dirty.select(*by, (F.col("t") + 1).alias("t")).withColumn("_redo", F.lit(True))
+            after = after.join(redo, [*by, "t"], "left").withColumn("_redo", F.coalesce("_redo", F.lit(False)))
+        live = F.lit(True)
+        if by_cluster:
+            used = fresh.select("item").distinct().withColumn("_used", F.lit(True))
+            after = after.join(used, "item", "left")
+            live = F.col("_new").isNotNull() | (F.col("birth") & F.col("_used").isNull())
+        after = after.withColumns({"_live": F.when(F.col("_redo"), live).otherwise(F.col("live")),
+                                   "_prev": F.when(F.col("_redo"), F.col("_new")).otherwise(F.col("prev_id"))})
+        # a first point without a past behaves the same however it came to be
+        differs = F.col("_live") != F.col("live")
+        if needs_past:
+            differs = differs | ~F.col("_prev").eqNullSafe(F.col("prev_id"))
+        after = after.withColumn("changed", differs).drop("live", "prev_id", "_new", "_redo", "_used")
+        state = cut_lineage(after.withColumnsRenamed({"_live": "live", "_prev": "prev_id"}))
+        if not (needs_past or by_cluster) or state.where("changed").isEmpty():
+            return state.where("live").select(*by, "t", "node_id", "prev_id")
+        dirty = state.where("changed").select(*by, "t").distinct()
 
 
 def track_roots(members: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gyrespark.functions import geo
 from gyrespark.functions.aggregates import circular_mean_lon
 from gyrespark.operators import aggregate, grid
+from gyrespark.session import spread
 
 
 def extrema(cells: DataFrame, by: list[str], min_distance: int = 1) -> DataFrame:
@@ -22,28 +23,26 @@ def extrema(cells: DataFrame, by: list[str], min_distance: int = 1) -> DataFrame
     return both.join(stats.select(*by, "cluster", "rad_eff", "n_cells"), [*by, "cluster"])
 
 
-def _half_way_radius(key, peaks: pd.DataFrame, cells: pd.DataFrame, by: list[str], samples: int) -> pd.DataFrame:
+def _half_way_radius(peaks: pd.DataFrame, cells: pd.DataFrame, samples: int) -> pd.DataFrame:
     """Radii of the extrema of one cluster from the weakest point on the way to the nearest other one."""
     import numpy as np
 
     peaks = peaks.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
     radius = peaks["rad_eff"].to_numpy(dtype=float).copy()
     if len(peaks) > 1 and len(cells):
-        cells = cells.sort_values(["y", "x"], kind="stable")
+        cells = cells.sort_values(["site_y", "site_x"], kind="stable")
         at = peaks[["x", "y"]].to_numpy(dtype=float)
-        site = cells[["x", "y"]].to_numpy(dtype=float)
-        value = np.abs(cells["crit"].to_numpy(dtype=float))
+        site = cells[["site_x", "site_y"]].to_numpy(dtype=float)
+        value = np.abs(cells["site_crit"].to_numpy(dtype=float))
         largest = radius.max()
         for i, p in enumerate(at):
             d = np.hypot(*(at - p).T)
             d[d == 0] = np.inf
             path = np.linspace(p, at[int(d.argmin())], num=samples)
-            weakest, where = np.inf, p
-            for q in path:  # one row of distances at a time bounds memory
-                v = value[int(((site - q) ** 2).sum(axis=1).argmin())]
-                if v < weakest:
-                    weakest, where = v, q
-            radius[i] = np.hypot(*(p - where))
+            # blocks of path points bound the size of the distance table
+            blocks = np.array_split(path, max(1, len(path) * len(site) // 1_000_000))
+            nearest = np.concatenate([((site[None, :, :] - b[:, None, :]) ** 2).sum(axis=2).argmin(axis=1) for b in blocks])
+            radius[i] = np.hypot(*(p - path[int(value[nearest].argmin())]))
         radius[int(np.abs(peaks["crit"].to_numpy(dtype=float)).argmax())] = largest
     out = peaks.assign(rad_eff=np.maximum(radius, 1.0))
     return out
@@ -61,9 +60,11 @@ def reestimate_radii(peaks: DataFrame, cells: DataFrame, by: list[str], samples:
     many = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
     single = peaks.join(many, keys, "left_anti").withColumn("rad_eff", F.greatest("rad_eff", F.lit(1.0)))
     shared = peaks.join(many, keys, "left_semi")
-    sites = cells.join(many, keys, "left_semi").select(*keys, "y", "x", "crit")
-    kernel = partial(_half_way_radius, by=by, samples=samples)
-    done = shared.groupBy(*keys).cogroup(sites.groupBy(*keys)).applyInPandas(kernel, shared.schema)
+    sites = cells.join(many, keys, "left_semi").select(
+        *[F.col(k).alias(f"site_{k}") for k in [*keys, "y", "x", "crit"]])
+    kernel = partial(_half_way_radius, samples=samples)
+    site_keys = [f"site_{k}" for k in keys]
+    done = spread(shared, keys).groupBy(*keys).cogroup(spread(sites, site_keys).groupBy(*site_keys)).applyInPandas(kernel, shared.schema)
     return single.unionByName(done)
 
 
@@ -95,7 +96,7 @@ def geometric_nodes(cells: DataFrame, field: DataFrame, by: list[str], lon0: flo
     if min_cells is not None:
         g = g.where(F.col("n_cells") >= min_cells)
     offset = F.pmod(F.col("lon") - F.lit(lon0), F.lit(360.0))
-    g = g.withColumn("lon_idx", F.least(F.round(offset / dlon, 0), F.lit(float(nx - 1))).cast("int"))
+    g = g.withColumn("lon_idx", F.least(geo.nearest_index(offset / dlon), F.lit(nx - 1)))
     g = g.withColumn("lat_idx", geo.coord_to_index("lat", lat0, dlat, ny))
     at = field.select(*by, F.col("x").alias("lon_idx"), F.col("y").alias("lat_idx"), F.col("crit").alias("_c"),
                       F.col("wspd").alias("wspd"))

@@ -22,9 +22,9 @@ big AS (SELECT slice, sg, root, row_number() OVER (PARTITION BY slice, sg ORDER
 lc AS (SELECT m.slice, o.y, o.x, o.crit, CAST(big.no * m.sg AS INTEGER) AS cluster FROM mem m JOIN big ON big.slice = m.slice AND big.sg = m.sg AND big.root = m.root JOIN occ o ON o.slice = m.slice AND o.cid = m.cid)"""
 
 
-def labelled(spark, folder):
+def labelled(spark, folder, size=SIZE):
     f = sparse_field(spark, folder).select("slice", "y", "x", F.col("u").cast("double").alias("crit"))
-    return label_cells(f, ["slice"], "crit", EPS, MIN_SAMPLES, SIZE)
+    return label_cells(f, ["slice"], "crit", EPS, MIN_SAMPLES, size)
 
 
 @query("density_cluster_labels", f"WITH RECURSIVE {LABELS} SELECT slice, y, x, crit, cluster FROM lc")
@@ -61,7 +61,7 @@ def size_filter_variants(spark, folder):
 
 
 @query("geometric_nodes", f"""WITH RECURSIVE {LABELS}, c AS (SELECT *, -90.0 + x * 0.25 AS lon, 40.0 + y * 0.25 AS lat FROM lc), g AS (SELECT slice, cluster, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS clon, avg(lat) AS clat, sqrt(count(*) / pi()) AS rad FROM c GROUP BY 1, 2),
-i AS (SELECT *, CAST(round((clon + 90.0) / 0.25) AS INTEGER) AS lon_idx, CAST(round((clat - 40.0) / 0.25) AS INTEGER) AS lat_idx FROM g), j AS (SELECT i.*, f.u AS fc, sqrt(f.u * f.u + f.v * f.v) AS wspd FROM i LEFT JOIN cells f ON f.slice = i.slice AND f.x = i.lon_idx AND f.y = i.lat_idx),
+i AS (SELECT *, CAST(ceil(round((clon + 90.0) / 0.25, 6) - 0.5) AS INTEGER) AS lon_idx, CAST(ceil(round((clat - 40.0) / 0.25, 6) - 0.5) AS INTEGER) AS lat_idx FROM g), j AS (SELECT i.*, f.u AS fc, sqrt(f.u * f.u + f.v * f.v) AS wspd FROM i LEFT JOIN cells f ON f.slice = i.slice AND f.x = i.lon_idx AND f.y = i.lat_idx),
 nr AS (SELECT * FROM (SELECT c.slice, c.cluster, c.crit, row_number() OVER (PARTITION BY c.slice, c.cluster ORDER BY pow(c.lat - i.clat, 2) + pow(c.lon - i.clon, 2), c.y, c.x) AS rn FROM c JOIN i ON i.slice = c.slice AND i.cluster = c.cluster) WHERE rn = 1)
 SELECT j.slice, j.cluster, lon_idx, lat_idx, round(clon, 6) AS lon, round(clat, 6) AS lat, round(rad, 6) AS rad, CAST(coalesce(fc, nr.crit) AS DOUBLE) AS crit, round(wspd, 6) AS wspd FROM j JOIN nr ON nr.slice = j.slice AND nr.cluster = j.cluster WHERE NOT (fc IS NULL)""")
 def geometric_nodes(spark, folder):
@@ -84,8 +84,8 @@ def merged_extrema(spark, folder):
 
 
 def track_nodes(spark, folder):
-    """Extrema of the cyclonic cells as nodes; the slice number is the time step."""
-    cells = labelled(spark, folder)
+    """Extrema of cyclonic clusters of ten cells or more; the slice is the time step."""
+    cells = labelled(spark, folder, 10)
     ex = nodes.extrema(cells, ["slice"], 1).where("crit > 0")
     ident = (F.col("slice") * NY + F.col("y")) * NX + F.col("x")
     return cut_lineage(ex.select(F.lit("C").alias("sense"), F.col("slice").cast("int").alias("t"), ident.cast("long").alias("node_id"), "x", "y", F.col("rad_eff").alias("rad"), "crit", "cluster",

@@ -53,7 +53,7 @@ def grid_distances(spark, folder):
                                         r6(geo.radius_cells_to_km_fixed("crit", 27750.0)).alias("rad_fixed_km"))
 
 
-@query("index_coordinate_mapping", f"""WITH {PTS} SELECT event_id, -180.0 + least(greatest(crit, 0), 99) * 3.6 AS lon_at, CAST(least(greatest(round((lat - 90.0) / -0.7), 0), 99) AS INTEGER) AS lat_idx, y * 6.0 / 111.0 AS lat_affine FROM pts""")
+@query("index_coordinate_mapping", f"""WITH {PTS} SELECT event_id, -180.0 + least(greatest(crit, 0), 99) * 3.6 AS lon_at, CAST(least(greatest(ceil(round((lat - 90.0) / -0.7, 6) - 0.5), 0), 99) AS INTEGER) AS lat_idx, y * 6.0 / 111.0 AS lat_affine FROM pts""")
 def index_coordinate_mapping(spark, folder):
     lat, _ = geo.grid_to_latlon("x", "y", 6.0)
     return points(spark, folder).select("event_id", geo.index_to_coord("crit", -180.0, 3.6, 100).alias("lon_at"), geo.coord_to_index("lat", 90.0, -0.7, 100).alias("lat_idx"), lat.alias("lat_affine"))

@@ -59,3 +59,13 @@ def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder and drop its plan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, keys: list[str]):
+    """Shuffle by ``keys`` into the configured number of partitions.
+
+    Used in front of Python group kernels: their cost is in CPU, not bytes, so
+    AQE must not merge their (small) partitions into a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
