@@ -16,27 +16,32 @@ from gyrespark.operators import ordered
 from gyrespark.session import cut_lineage
 
 
+def _stripped() -> Column:
+    """Line without surrounding blanks and tabs."""
+    return F.btrim(F.col("value"), F.lit(" \t"))
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Lines with (file, block, line): order inside a file is (block, line)."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     # line numbers depend on task placement, so they are fixed before being used twice
-    return cut_lineage(lines.where(F.trim("value") != ""))
+    return cut_lineage(lines.where(_stripped() != ""))
 
 
 def read_nodes(spark: SparkSession, path, dense_ids: bool = False) -> DataFrame:
     """Node text: ``year month day n hour`` headers over tab-indented points."""
     lines = read_lines(spark, path)
     is_header = ~F.startswith(F.col("value"), F.lit("\t"))
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(_stripped(), r"\s+")
     head = F.when(is_header, F.make_timestamp_ntz(*[parts[i].cast("int") for i in (0, 1, 2, 4)], F.lit(0), F.lit(0)))
     marked = lines.withColumn("_h", head)
     timed = ordered.carry(marked, ["file"], ["block", "line"], ["_h"], F.col("block"), forward=True, suffix="time")
     names = ["lon_idx", "lat_idx", "lon", "lat", "rad", "crit", "wspd"]
     types = ["int", "int"] + ["double"] * 5
     points = timed.where(F.startswith(F.col("value"), F.lit("\t")))
-    cells = F.split(F.trim("value"), "\t")
+    cells = F.split(_stripped(), "\t")
     out = points.select(F.col("_h_time").alias("time"), *[cells[i].cast(t).alias(n) for i, (n, t) in enumerate(zip(names, types))],
                         "file_name", "file", "block", "line")
     if dense_ids:
@@ -53,7 +58,7 @@ def node_headers(spark: SparkSession, path) -> DataFrame:
     is_header = ~F.startswith(F.col("value"), F.lit("\t"))
     counted = ordered.running(lines.withColumn("_one", F.when(is_header, 1).otherwise(0).cast("long")), ["file"],
                               ["block", "line"], F.col("block"), sums={"_no": F.col("_one")})
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(_stripped(), r"\s+")
     g = counted.groupBy("file_name", "file", "_no").agg(
         F.max(F.when(F.col("_one") == 1, F.make_timestamp_ntz(*[parts[i].cast("int") for i in (0, 1, 2, 4)], F.lit(0), F.lit(0)))).alias("time"),
         F.max(F.when(F.col("_one") == 1, parts[3].cast("int"))).alias("announced"),
@@ -83,7 +88,7 @@ def read_tracks(spark: SparkSession, path, columns: list[tuple[str, str]] | None
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offset = per_file.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     points = local.where("_s = 0").join(offset, "file")
-    cells = F.split(F.trim("value"), "\t")
+    cells = F.split(_stripped(), "\t")
     out = points.select((F.col("_o") + F.col("_no") - 1).alias("track_id"),
                         *[cells[i].cast(t).alias(n) for i, (n, t) in enumerate(columns)], F.col("file_name").alias("source_file"))
     return out.select(
