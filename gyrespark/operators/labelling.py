@@ -31,53 +31,59 @@ def _label_tile(pdf: pd.DataFrame, by: list[str], eps: float, min_samples: int,
     reach = int(math.floor(eps))
     halo = 2 * reach
     ty, tx = int(pdf["_ty"].iloc[0]), int(pdf["_tx"].iloc[0])
-    y0, x0 = ty * tile - halo, tx * tile - halo
-    size = tile + 2 * halo
     names = [*by, "_sign", "cid", "crit", "core", "comp", "kind"]
     home = (pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)
     if not home.any():  # halo only: these cells are labelled by their own tiles
         return pd.DataFrame({c: [] for c in names})
     offsets = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)
                if 0 < dy * dy + dx * dx <= eps * eps]
+    # only the bounding box of the cells present is laid out
+    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+    ny, nx = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1
+    ys, xs = np.arange(ny) + y0, np.arange(nx) + x0
+    flat_ids = (ys[:, None] * _ROW + xs[None, :]).ravel()
+
+    def window(margin):
+        rows = (ys >= ty * tile - margin) & (ys < (ty + 1) * tile + margin)
+        cols = (xs >= tx * tile - margin) & (xs < (tx + 1) * tile + margin)
+        return rows[:, None] & cols[None, :]
+
+    own, known = window(0), window(reach)
     frames = []
-    flat_ids = ((np.arange(size)[:, None] + y0) * _ROW + (np.arange(size)[None, :] + x0)).ravel()
 
     def shifted(arr, dy, dx, fill):
         out = np.full_like(arr, fill)
-        ys, yd = (slice(dy, None), slice(None, size - dy)) if dy >= 0 else (slice(None, dy), slice(-dy, None))
-        xs, xd = (slice(dx, None), slice(None, size - dx)) if dx >= 0 else (slice(None, dx), slice(-dx, None))
-        out[yd, xd] = arr[ys, xs]
+        if abs(dy) < ny and abs(dx) < nx:
+            yf, yt = (slice(dy, None), slice(None, ny - dy)) if dy >= 0 else (slice(None, dy), slice(-dy, None))
+            xf, xt = (slice(dx, None), slice(None, nx - dx)) if dx >= 0 else (slice(None, dx), slice(-dx, None))
+            out[yt, xt] = arr[yf, xf]
         return out
 
     for sign, part in pdf.groupby("_sign"):
         iy, ix = part["y"].to_numpy() - y0, part["x"].to_numpy() - x0
-        occupied = np.zeros((size, size), dtype=bool)
+        occupied = np.zeros((ny, nx), dtype=bool)
         occupied[iy, ix] = True
-        crit = np.full((size, size), np.nan)
+        crit = np.full((ny, nx), np.nan)
         crit[iy, ix] = part["crit"].to_numpy()
         count = occupied.astype(np.int32)
         for dy, dx in offsets:
             count += shifted(occupied, dy, dx, False)
         core = occupied & (count >= min_samples)
         # core flags are exact up to one search radius outside the tile
-        known = np.zeros_like(core)
-        known[halo - reach:size - halo + reach, halo - reach:size - halo + reach] = True
         core &= known
-        none = size * size
-        label = np.where(core, np.arange(none).reshape(size, size), none)
+        none = ny * nx
+        label = np.where(core, np.arange(none).reshape(ny, nx), none)
         while True:
             best = label.copy()
             for dy, dx in offsets:
                 np.minimum(best, shifted(label, dy, dx, none), out=best)
             best = np.where(core, best, none)
             flat = np.append(best.ravel(), none)
-            best = flat[flat[:-1]].reshape(size, size)
+            best = flat[flat[:-1]].reshape(ny, nx)
             if np.array_equal(best, label):
                 break
             label = best
-        own = np.zeros_like(core)
-        own[halo:halo + tile, halo:halo + tile] = True
-        ids = flat_ids.reshape(size, size)
+        ids = flat_ids.reshape(ny, nx)
         lookup = np.append(flat_ids, -1)
 
         at = own & core

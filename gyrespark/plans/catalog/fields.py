@@ -154,7 +154,7 @@ sy AS (SELECT f.slice, f.y, f.x, sum(k.w * g.u) AS u FROM sx f CROSS JOIN k JOIN
 
 @query("gaussian_smoothing", f"WITH {FIELD}, {_smooth_sql(1.0)} SELECT slice, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(u, 6) AS u FROM sy")
 def gaussian_smoothing(spark, folder):
-    out = grid.gaussian_smooth(field(spark, folder), ["slice"], ["u"], 1.0)
+    out = grid.gaussian_smooth(field(spark, folder), ["slice"], ["u"], 1.0, NX, NY)
     return out.select("slice", "y", "x", r6("u").alias("u"))
 
 

@@ -18,20 +18,20 @@ def emb(spark, folder):
 @query("within_between_ss", f"""WITH {CENTRE}, w AS (SELECT sum(pow(list_distance(e.embedding, c.c), 2)) AS w FROM embeddings e JOIN c USING (label)), b AS (SELECT sum(n * pow(list_distance(c.c, g), 2)) AS b FROM c, gc)
 SELECT round(w, 5) AS within_ss, round(b, 5) AS between_ss FROM w, b""")
 def within_between_ss(spark, folder):
-    out = quality.scatter(emb(spark, folder), "label", "embedding", DIM)
+    out = quality.scatter(emb(spark, folder), "label", "embedding")
     return out.select(F.round("within_ss", 5).alias("within_ss"), F.round("between_ss", 5).alias("between_ss"))
 
 
 @query("calinski_harabasz", f"""WITH {CENTRE}, w AS (SELECT sum(pow(list_distance(e.embedding, c.c), 2)) AS w, count(*) AS n FROM embeddings e JOIN c USING (label)), b AS (SELECT sum(n * pow(list_distance(c.c, g), 2)) AS b, count(*) AS k FROM c, gc)
 SELECT round((b / (k - 1)) / (w / (n - k)), 5) AS calinski_harabasz FROM w, b""")
 def calinski_harabasz(spark, folder):
-    return quality.scatter(emb(spark, folder), "label", "embedding", DIM).select(F.round("calinski_harabasz", 5).alias("calinski_harabasz"))
+    return quality.scatter(emb(spark, folder), "label", "embedding").select(F.round("calinski_harabasz", 5).alias("calinski_harabasz"))
 
 
 @query("davies_bouldin", f"""WITH {CENTRE}, s AS (SELECT label, avg(list_distance(e.embedding, c.c)) AS s FROM embeddings e JOIN c USING (label) GROUP BY 1),
 p AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.c, b.c)) AS m FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1) SELECT round(avg(m), 6) AS davies_bouldin FROM p""")
 def davies_bouldin(spark, folder):
-    return quality.davies_bouldin(emb(spark, folder), "label", "embedding", DIM).select(r6("davies_bouldin").alias("davies_bouldin"))
+    return quality.davies_bouldin(emb(spark, folder), "label", "embedding").select(r6("davies_bouldin").alias("davies_bouldin"))
 
 
 @query("silhouette_exact", f"""WITH d AS (SELECT a.vec_id, a.label, b.label AS other, sum({PAIR}) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
@@ -53,7 +53,7 @@ def hubert_gamma(spark, folder):
 
 @query("cluster_centroids", f"""SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS c1, round(avg(embedding[64]), 6) AS c64 FROM embeddings GROUP BY 1""")
 def cluster_centroids(spark, folder):
-    out = quality.centroids(emb(spark, folder), "label", "embedding", DIM)
+    out = quality.centroids(emb(spark, folder), "label", "embedding")
     return out.select("label", "n", r6(F.col("centroid")[0]).alias("c1"), r6(F.col("centroid")[63]).alias("c64"))
 
 

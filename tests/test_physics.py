@@ -82,5 +82,5 @@ def test_lifted_parcel_conserves_equivalent_potential_temperature(spark):
 
 def test_gaussian_smoothing_keeps_constants(spark):
     f = spark.createDataFrame([(0, y, x, 3.0) for y in range(5) for x in range(9)], "s int, y int, x int, u double")
-    out = [r["u"] for r in grid.gaussian_smooth(f, ["s"], ["u"], 2.0).collect()]
+    out = [r["u"] for r in grid.gaussian_smooth(f, ["s"], ["u"], 2.0, 9, 5).collect()]
     assert len(out) == 45 and max(abs(v - 3.0) for v in out) < 1e-12
