@@ -152,11 +152,11 @@ def all_points_close(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, t
     near = joins.asof_nearest_pairs(ref, own, ref_id, own_id, time, [lon, lat], tolerance_hours)
     d = geo.haversine_km(f"{lon}_ref", f"{lat}_ref", f"{lon}_own", f"{lat}_own")
     near = near.withColumn("_d", d)
-    # the points of one pair are at most one reference track long
-    g = near.groupBy("id_ref", "id_own").agg(
-        F.count(F.lit(1)).alias("n_steps"), F.count_if(F.col("_d") <= max_km).alias("_ok"),
-        F.percentile("_d", F.lit(0.5)).alias("median_km"))
-    return g.where((F.col("_ok") == F.col("n_steps")) & (F.col("n_steps") >= min_steps)).drop("_ok")
+    keys = ["id_ref", "id_own"]
+    g = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(F.col("_d") <= max_km).alias("_ok"))
+    kept = g.where((F.col("_ok") == F.col("n_steps")) & (F.col("n_steps") >= min_steps)).drop("_ok")
+    middle = ordered.exact_percentiles(near.join(kept.select(*keys), keys, "left_semi"), keys, "_d", {"median_km": 0.5})
+    return kept.join(middle, keys)
 
 
 def common_time_distance(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, x: str, y: str,

@@ -25,14 +25,14 @@ def primary_type_priority(spark, folder):
     return aggregate.primary_type(genesis_group(points(spark, folder)), "track_id", "time", "label", "lon", "lat", LABELS, inside, ["event_id"])
 
 
-@query("primary_type_half_inside", f"""WITH {PTS}, g AS (SELECT track_id, count(*) AS n_points, count_if(lon BETWEEN -70 AND 125) AS n_inside, count_if(label = 'purchase') AS n_lead, count_if(label = 'purchase' AND lon BETWEEN -70 AND 125) AS n_lead_inside,
+@query("primary_type_half_inside", f"""WITH {PTS}, g AS (SELECT track_id, count(*) AS n_points, count(*) FILTER (WHERE lon BETWEEN -70 AND 125) AS n_inside, count(*) FILTER (WHERE label = 'purchase') AS n_lead, count(*) FILTER (WHERE label = 'purchase' AND lon BETWEEN -70 AND 125) AS n_lead_inside,
  bool_or(label = 'signup') AS "has_SS", bool_or(label = 'error') AS "has_PL" FROM pts WHERE crit > 80 GROUP BY 1)
 SELECT *, CASE WHEN n_lead > 0 THEN CASE WHEN n_lead_inside = n_lead AND n_inside >= 0.5 * n_points THEN 'TC' END WHEN "has_SS" THEN 'SS' WHEN "has_PL" THEN 'PL' END AS primary_type FROM g""")
 def primary_type_half_inside(spark, folder):
     return aggregate.primary_type_half_inside(points(spark, folder).where("crit > 80"), "track_id", "label", F.col("lon").between(-70.0, 125.0), LABELS)
 
 
-@query("node_statistics", f"""WITH {PTS} SELECT track_id, count(*) AS n_nodes, count_if(label = 'purchase') AS n_type_nodes, round(count_if(label = 'purchase') / count(*), 6) AS fraction_type_nodes,
+@query("node_statistics", f"""WITH {PTS} SELECT track_id, count(*) AS n_nodes, count(*) FILTER (WHERE label = 'purchase') AS n_type_nodes, round(count(*) FILTER (WHERE label = 'purchase') / count(*), 6) AS fraction_type_nodes,
  count(DISTINCT label) AS n_unique_labels, (SELECT string_agg(l, '|' ORDER BY l) FROM (SELECT DISTINCT label AS l FROM pts q WHERE q.track_id = pts.track_id)) AS labels FROM pts GROUP BY track_id""")
 def node_statistics(spark, folder):
     out = aggregate.node_label_statistics(points(spark, folder), "track_id", "label", "purchase")
@@ -44,7 +44,7 @@ def monthly_summary(spark, folder):
     return aggregate.monthly_summary(load(spark, folder, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("selection_summary", f"""WITH {PTS} SELECT count(*) AS n_points, count(DISTINCT track_id) AS n_tracks, count_if(label = 'error') AS n_type_points, count(DISTINCT CASE WHEN label = 'error' THEN track_id END) AS n_type_tracks, min(time) AS first_time, max(time) AS last_time FROM pts WHERE crit > 150""")
+@query("selection_summary", f"""WITH {PTS} SELECT count(*) AS n_points, count(DISTINCT track_id) AS n_tracks, count(*) FILTER (WHERE label = 'error') AS n_type_points, count(DISTINCT CASE WHEN label = 'error' THEN track_id END) AS n_type_tracks, min(time) AS first_time, max(time) AS last_time FROM pts WHERE crit > 150""")
 def selection_summary(spark, folder):
     return aggregate.selection_summary(points(spark, folder).where("crit > 150"), "track_id", "time", "label", "error")
 
@@ -82,19 +82,19 @@ def stale_partitions(spark, folder):
     return sweep.stale_partitions(li.where("l_returnflag = 'R'"), li.where("l_linestatus = 'O'"), ["l_suppkey"])
 
 
-@query("header_counters", """SELECT lang, count_if(starts_with(text, 'The')) AS n_headers, count(*) AS n_lines FROM documents GROUP BY 1""")
+@query("header_counters", """SELECT lang, count(*) FILTER (WHERE starts_with(text, 'The')) AS n_headers, count(*) AS n_lines FROM documents GROUP BY 1""")
 def header_counters(spark, folder):
     d = load(spark, folder, "documents")
     return d.groupBy("lang").agg(F.count_if(F.startswith(F.col("text"), F.lit("The"))).alias("n_headers"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("cluster_by_month_pivot", f"""WITH {PTS} SELECT CAST(day(time) AS INTEGER) AS day, count_if(label = 'click') AS click, count_if(label = 'error') AS error, count_if(label = 'purchase') AS purchase, count_if(label = 'signup') AS signup, count_if(label = 'view') AS view FROM pts GROUP BY 1""")
+@query("cluster_by_month_pivot", f"""WITH {PTS} SELECT CAST(day(time) AS INTEGER) AS day, count(*) FILTER (WHERE label = 'click') AS click, count(*) FILTER (WHERE label = 'error') AS error, count(*) FILTER (WHERE label = 'purchase') AS purchase, count(*) FILTER (WHERE label = 'signup') AS signup, count(*) FILTER (WHERE label = 'view') AS view FROM pts GROUP BY 1""")
 def cluster_by_month_pivot(spark, folder):
     p = points(spark, folder).withColumn("day", F.day("time"))
     return aggregate.cross_tab(p, "day", "label", ["click", "error", "purchase", "signup", "view"])
 
 
-@query("crosstab", """SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS "F", count_if(o_orderstatus = 'O') AS "O", count_if(o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+@query("crosstab", """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS "F", count(*) FILTER (WHERE o_orderstatus = 'O') AS "O", count(*) FILTER (WHERE o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
 def crosstab(spark, folder):
     return aggregate.cross_tab(load(spark, folder, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
@@ -302,14 +302,16 @@ def unequal_tracks(spark, folder):
     return sets.unequal_tracks(p, p.where("crit < 250"), "track_id", ["time", "lon", "lat"]).select("track_id").distinct()
 
 
-SCORE = """s AS (SELECT o_orderpriority AS cfg, year(o_orderdate) AS yr, count_if(o_orderstatus = 'F') / count(*) AS pod, CASE WHEN year(o_orderdate) < 2001 THEN quantile_cont(o_totalprice, 0.5) / 5000 END AS mo, quantile_cont(o_totalprice, 0.25) / 5000 AS mo1 FROM orders GROUP BY 1, 2)"""
+SCORE = """s AS (SELECT o_orderpriority AS cfg, year(o_orderdate) AS yr, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS pod, CASE WHEN year(o_orderdate) < 2001 THEN quantile_cont(o_totalprice, 0.5) / 5000 END AS mo, quantile_cont(o_totalprice, 0.25) / 5000 AS mo1 FROM orders GROUP BY 1, 2)"""
 
 
 def _scores(spark, folder):
     o = load(spark, folder, "orders")
-    g = o.groupBy(F.col("o_orderpriority").alias("cfg"), F.year("o_orderdate").alias("yr")).agg(
-        (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("POD"), F.percentile("o_totalprice", F.lit(0.5)).alias("_m"), (F.percentile("o_totalprice", F.lit(0.25)) / 5000).alias("median_overlap_percent_1to1"))
-    return g.withColumn("median_overlap_percent", F.when(F.col("yr") < 2001, F.col("_m") / 5000)).drop("_m")
+    o = o.withColumns({"cfg": F.col("o_orderpriority"), "yr": F.year("o_orderdate")})
+    keys = ["cfg", "yr"]
+    g = o.groupBy(*keys).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("POD"))
+    g = g.join(ordered.exact_percentiles(o, keys, "o_totalprice", {"_m": 0.5, "_q": 0.25}), keys)
+    return g.withColumns({"median_overlap_percent": F.when(F.col("yr") < 2001, F.col("_m") / 5000), "median_overlap_percent_1to1": F.col("_q") / 5000}).drop("_m", "_q")
 
 
 @query("combined_score_ranking", f"""WITH {SCORE} SELECT cfg, CAST(yr AS INTEGER) AS yr, round(100 * pod + mo + mo1, 6) AS combined_score FROM s""")

@@ -15,7 +15,7 @@ def left_join_params(spark, folder):
     return joins.left_lookup(li, o, [("l_orderkey", "o_orderkey")], ["o_orderstatus", "o_totalprice"])
 
 
-@query("join_count_unmatched", """SELECT l_returnflag, count(*) AS n_points, count_if(o_orderkey IS NULL) AS n_missing_params
+@query("join_count_unmatched", """SELECT l_returnflag, count(*) AS n_points, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missing_params
 FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o_orderkey GROUP BY 1""")
 def join_count_unmatched(spark, folder):
     li = load(spark, folder, "lineitem").select("l_orderkey", "l_returnflag")
@@ -67,7 +67,7 @@ def asof_match_steps(spark, folder):
 
 
 @query("asof_all_points_close", f"""WITH {PTS}, {HOURLY}, {PAIRS}, d AS (SELECT id_ref, id_own, {hav('lonr', 'latr', 'lono', 'lato')} AS d FROM near WHERE rn = 1)
-SELECT id_ref, id_own, count(*) AS n_steps, round(quantile_cont(d, 0.5), 6) AS median_km FROM d GROUP BY 1, 2 HAVING count_if(d <= 5000) = count(*) AND count(*) >= 4""")
+SELECT id_ref, id_own, count(*) AS n_steps, round(quantile_cont(d, 0.5), 6) AS median_km FROM d GROUP BY 1, 2 HAVING count(*) FILTER (WHERE d <= 5000) = count(*) AND count(*) >= 4""")
 def asof_all_points_close(spark, folder):
     out = skill.all_points_close(hourly(spark, folder, True), hourly(spark, folder, False), "track_id", "track_id", "time", "lon", "lat", 5000.0, 2.0, 4)
     return out.withColumn("median_km", r6("median_km"))
@@ -180,8 +180,8 @@ def reference_track_statistics(spark, folder):
                       *[r6(c).alias(c) for c in ("overlap_percent", "mean_distance_km", "reference_duration_hours", "overlap_duration_percent")])
 
 
-@query("summary_of_track_statistics", f"""WITH {PTS}, {HOURLY}, {MATCH}, {BEST}, {TSTAT} SELECT count(*) AS n_reference_tracks, count_if(detected) AS n_matched, count_if(NOT detected) AS n_unmatched,
- round(count_if(detected) / count(*), 6) AS "POD", round(avg(overlap_percent) FILTER (detected), 6) AS mean_overlap_percent, round(quantile_cont(overlap_percent, 0.5) FILTER (detected), 6) AS median_overlap_percent,
+@query("summary_of_track_statistics", f"""WITH {PTS}, {HOURLY}, {MATCH}, {BEST}, {TSTAT} SELECT count(*) AS n_reference_tracks, count(*) FILTER (WHERE detected) AS n_matched, count(*) FILTER (WHERE NOT detected) AS n_unmatched,
+ round(count(*) FILTER (WHERE detected) / count(*), 6) AS "POD", round(avg(overlap_percent) FILTER (detected), 6) AS mean_overlap_percent, round(quantile_cont(overlap_percent, 0.5) FILTER (detected), 6) AS median_overlap_percent,
  round(avg(overlap_duration_percent) FILTER (detected), 6) AS mean_temporal_overlap_percent, round(quantile_cont(overlap_duration_percent, 0.5) FILTER (detected), 6) AS median_temporal_overlap_percent,
  round(avg(mean_distance_km) FILTER (detected), 6) AS mean_distance_km, round(quantile_cont(mean_distance_km, 0.5) FILTER (detected), 6) AS median_distance_km,
  (SELECT count(DISTINCT track_id) FROM hown) AS n_own_tracks FROM ts""")

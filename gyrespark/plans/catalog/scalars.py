@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gyrespark.functions import geo, text, thermo
-from gyrespark.operators import filters
+from gyrespark.operators import filters, ordered
 from gyrespark.plans import sweep
 from gyrespark.plans.catalog.base import CELLS, PTS, hav, load, points, query, r6, sparse_field
 
@@ -122,7 +122,8 @@ def george_k_index(spark, folder):
 def lifted_index_p95(spark, folder):
     t = _thermo(spark, folder).withColumn("li", thermo.lifted_index(F.col("t5") - 25.0, F.col("sst") - 268.15, F.col("sst") - 271.15, "slp"))
     p = points(spark, folder).select("event_id", "track_id")
-    return t.join(p, "event_id").groupBy("track_id").agg(F.round(F.percentile("li", F.lit(0.95)), 4).alias("li_p95"))
+    top = ordered.exact_percentiles(t.join(p, "event_id"), ["track_id"], "li", {"li_p95": 0.95})
+    return top.withColumn("li_p95", F.round("li_p95", 4))
 
 
 @query("shear_vector", f"""WITH {PTS}, s AS (SELECT event_id, CAST(x AS DOUBLE) AS ad, y * 3.6 AS ap, crit AS m FROM pts), a AS (SELECT *, ((ad - ap) % 360.0 + 360.0) % 360.0 AS raw FROM s), b AS (SELECT *, CASE WHEN raw > 180 THEN raw - 360.0 ELSE raw END AS an FROM a)
