@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions import geo
-from gyrespark.operators import joins, ordered
+from gyrespark.operators import joins, ordered, sequences
 from gyrespark.session import cut_lineage
 
 
@@ -262,9 +262,7 @@ def build_tracks(members: DataFrame, nodes: DataFrame, by: list[str], columns: l
     kept = roots.join(enough.select("root"), "root", "left_semi").withColumnRenamed("root", "track_id")
     points = kept.join(nodes.select("node_id", *by, "t", "x", "y", *columns), "node_id")
     chunk = ordered.value_chunk("t", 720.0)
-    wide = ordered.neighbours(points, ["track_id"], ["t"], ["x", "y"], [-1], chunk)
-    step = F.coalesce(geo.euclid("x", "y", "x_lag1", "y_lag1"), F.lit(0.0))
-    return ordered.running(wide, ["track_id"], ["t"], chunk, sums={"track_len": step}).drop("x_lag1", "y_lag1")
+    return sequences.path_length(points, "track_id", "t", "x", "y", chunk)
 
 
 def track_nodes(nodes: DataFrame, by: list[str], rule: LinkRule | str = "local_2_phase",

@@ -174,11 +174,12 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, outputs: dict[st
 
     Equal values are counted first; each key's value range is cut into bins;
     a scan over the bin totals finds the bins that hold the wanted ranks and
-    only those are ranked in detail.
+    only those are ranked in detail.  Every later step starts from the counted
+    values, whose exchange Spark reuses, so the input is read once.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    span = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("_n"))
     placed = _left_on(counted, span, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
     placed = placed.withColumn(CHUNK, F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(F.lit(0)).cast("long"))
@@ -207,6 +208,17 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, outputs: dict[st
     return ranked.groupBy(*by).agg(*aggs)
 
 
+def exact_percentiles_of(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact percentiles of several columns in one pass: ``{output: (column, q)}``."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    quantiles = {f"_q{i}": q for i, q in enumerate(dict.fromkeys(q for _, q in wanted.values()))}
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = df.select(*by, items.alias("_i")).select(*by, F.col("_i.c").alias("_name"), F.col("_i.v").alias("_val"))
+    found = exact_percentiles(long, [*by, "_name"], "_val", quantiles)
+    slot = {q: n for n, q in quantiles.items()}
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == c, F.col(slot[q]))).alias(out) for out, (c, q) in wanted.items()])
+
+
 def _left_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on null-safe equality of ``keys`` (or a cross join with one row)."""
     if not keys:

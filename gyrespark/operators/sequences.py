@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions import geo, thermo
@@ -18,12 +18,29 @@ def _chunk(time: str, chunk: Column | None) -> Column:
 
 def path_length(df: DataFrame, track: str, time: str, x: str, y: str, chunk: Column | None = None,
                 tie: list[str] | None = None, out: str = "track_len") -> DataFrame:
-    """Cumulative path length per track; the first point has length 0."""
-    c, order = _chunk(time, chunk), [time, *(tie or [])]
-    steps = ordered.neighbours(df, [track], order, [x, y], [-1], c)
-    step = F.coalesce(geo.euclid(x, y, f"{x}_lag1", f"{y}_lag1"), F.lit(0.0))
-    done = ordered.running(steps, [track], order, c, sums={out: step})
-    return done.drop(f"{x}_lag1", f"{y}_lag1")
+    """Cumulative path length per track; the first point has length 0.
+
+    One summary per chunk (its ends and inner length) gives both the bridges
+    between chunks and the length before them.
+    """
+    order = [time, *(tie or [])]
+    inside = Window.partitionBy(track, ordered.CHUNK).orderBy(*ordered._order(order))
+    over = ordered._over_chunks([track])
+    base = df.withColumn(ordered.CHUNK, _chunk(time, chunk))
+    step = geo.euclid(F.col(x), F.col(y), F.lag(x).over(inside), F.lag(y).over(inside))
+    base = base.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    at, key = F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(*order)
+    parts = base.groupBy(track, ordered.CHUNK).agg(
+        F.sum("_step").alias("_inner"), F.min_by(at, key).alias("_first"), F.max_by(at, key).alias("_last"))
+    before = F.lag("_last").over(over)
+    bridge = geo.euclid(F.col("_first")["x"], F.col("_first")["y"], before["x"], before["y"])
+    parts = parts.withColumn("_bridge", F.coalesce(bridge, F.lit(0.0)))
+    earlier = F.coalesce(F.sum("_inner").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bridges = F.sum("_bridge").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("_prefix", earlier + bridges).select(track, ordered.CHUNK, "_prefix")
+    joined = ordered._join_summary(base, parts, [track])
+    local = F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(out, local + F.col("_prefix")).drop(ordered.CHUNK, "_step", "_prefix")
 
 
 def peak_speed(df: DataFrame, track: str, time: str, x: str, y: str, peak: Column, scale: float,
@@ -178,10 +195,7 @@ def resample(df: DataFrame, track: str, time: str, values: list[str], length: in
 
 def composite(df: DataFrame, step: str, values: list[str]) -> DataFrame:
     """Median and population spread per normalised step over all tracks."""
-    medians = None
-    for v in values:
-        one = ordered.exact_percentiles(df, [step], v, {v: 0.5})
-        medians = one if medians is None else ordered._left_on(medians, one, [step])
+    medians = ordered.exact_percentiles_of(df, [step], {v: (v, 0.5) for v in values})
     spread = df.groupBy(step).agg(*[F.stddev_pop(v).alias(f"{v}_std") for v in values])
     return ordered._left_on(medians, spread, [step])
 

@@ -84,9 +84,8 @@ def summarise(stats: DataFrame, own: DataFrame, own_id: str, by: list[str] | Non
         *[F.avg(F.when(F.col("detected"), F.col(c))).alias(f"mean_{n}") for c, n in _SUMMARY.items()])
     counts = counts.withColumn("POD", ratio("n_matched", "n_reference_tracks"))
     counts = counts.withColumn("mean_overlap_percent_1to1", F.col("mean_temporal_overlap_percent"))
-    hit = base.where("detected")
-    for column, name in _SUMMARY.items():
-        counts = ordered._left_on(counts, ordered.exact_percentiles(hit, keys, column, {f"median_{name}": 0.5}), keys)
+    wanted = {f"median_{name}": (column, 0.5) for column, name in _SUMMARY.items()}
+    counts = ordered._left_on(counts, ordered.exact_percentiles_of(base.where("detected"), keys, wanted), keys)
     counts = counts.withColumn("median_overlap_percent_1to1", F.col("median_temporal_overlap_percent"))
     n_own = own.agg(F.count_distinct(own_id).alias("n_own_tracks"))
     out = counts.crossJoin(F.broadcast(n_own))  # one row
