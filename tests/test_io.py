@@ -125,3 +125,33 @@ def test_streaming_sessions(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["k"], r["n_points"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_log_is_append_only_and_typed(spark, tmp_path):
+    out = str(tmp_path / "log")
+    names = [f.name for f in schemas.RUN_LOG.fields]
+    row = {n: None for n in names} | {"timestamp": "2020-01-01", "eps": 1, "year": 2010, "prioritize": "True", "status": "ok"}
+    for year in (2010, 2011):
+        sinks.append_log(spark.createDataFrame([tuple({**row, "year": year}.values())], schemas.RUN_LOG), out)
+    got = sorted((r["year"], r["eps"], r["prioritize"]) for r in tables.read_run_log(spark, out).collect())
+    assert got == [(2010, 1, True), (2011, 1, True)]
+
+
+def test_newest_catalogue_file_wins(spark, tmp_path):
+    import os
+
+    for i, (name, tid) in enumerate([("TC_2010_a.csv", 1), ("TC_2010_b.csv", 2), ("TC_2011.csv", 3)]):
+        path = tmp_path / name
+        path.write_text(f"TID,LON\n{tid},350.0\n")
+        os.utime(path, (1_600_000_000 + i, 1_600_000_000 + i))
+    df = tables.read_catalogue_csv(spark, str(tmp_path), "TID long, LON double")
+    assert sorted((r["TID"], r["LON"]) for r in df.collect()) == [(2, -10.0), (3, -10.0)]
+
+
+def test_config_and_catalogue_output(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"dist_m": 5.0, "other": 1}')
+    assert schemas.dialect("ERA5", tables.load_config(str(tmp_path / "c.json"))).dist_m == 5.0
+    out = str(tmp_path / "csv")
+    sinks.write_catalogue_csv(spark.createDataFrame([(1, when(3))], "TID long, ISOTIME timestamp_ntz"), out)
+    back = spark.read.option("header", True).csv(out).collect()
+    assert [(r["TID"], r["ISOTIME"]) for r in back] == [("1", "2020-01-01 03:00:00")]
