@@ -99,6 +99,42 @@ def test_equals_sequential(spark, policy, how, seed):
     assert sorted(tuple(s["node_id"] for s in r["p"]) for r in got) == sequential(rows, policy, how)
 
 
+def great_circle(lon1, lat1, lon2, lat2):
+    la1, la2 = math.radians(lat1), math.radians(lat2)
+    a = math.sin((la2 - la1) / 2) ** 2 + math.cos(la1) * math.cos(la2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(a))
+
+
+def test_great_circle_links_cross_the_date_line(spark):
+    rows, axes = fixture(8), (176.0, 0.6, 55.0, 0.6)
+
+    def place(r):
+        return axes[0] + r["x"] * axes[1], axes[2] + r["y"] * axes[3]
+
+    live, done = [], []
+    for t in range(max(r["t"] for r in rows) + 1):
+        free = [r for r in rows if r["t"] == t]
+        nxt = []
+        for track in sorted(live, key=lambda tr: (-tr[-1]["crit"], tr[-1]["node_id"])):
+            last = track[-1]
+            lat = place(last)[1]
+            cell = math.sqrt(111.0 * axes[1] * math.cos(math.radians(lat)) * 111.0 * axes[3])
+            near = [(great_circle(*place(last), *place(r)), -r["crit"], r["node_id"], r) for r in free]
+            near = [n for n in near if n[0] <= 1.5 * last["rad"] * cell]
+            if not near:
+                done.append(track)
+                continue
+            pick = min(near, key=lambda n: n[:3])[3]
+            nxt.append(track + [pick])
+            free = [r for r in free if r["node_id"] != pick["node_id"]]
+        live = nxt + [[r] for r in free]
+    want = sorted(tuple(r["node_id"] for r in tr) for tr in done + live if len(tr) >= 3)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    tracks = linking.track_nodes(df, ["g"], "local_2_phase_km", (NY, NX), axes)
+    got = tracks.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t", "node_id"))).alias("p")).collect()
+    assert want and sorted(tuple(s["node_id"] for s in r["p"]) for r in got) == want
+
+
 def test_stitching_bridges_gaps_and_drops_short_tracks(spark):
     rows = [(1, "2020-01-01 00:00:00", 10.0, 50.0), (2, "2020-01-01 01:00:00", 10.5, 50.0), (3, "2020-01-01 03:00:00", 11.0, 50.2),
             (4, "2020-01-01 00:00:00", 179.9, 10.0), (5, "2020-01-01 01:00:00", -179.9, 10.0), (6, "2020-01-01 02:00:00", -179.5, 10.0),
