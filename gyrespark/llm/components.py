@@ -11,24 +11,27 @@ from gyrespark.llm.common import persisted
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of ``links``; root is the smallest node reachable.
 
-    Each round points every node to its smallest neighbour, follows one pointer
-    further, renames both ends of all links and drops those inside a group, so
-    the number of rounds is logarithmic in the length of the longest chain.
-    Only links travel; a hub is reduced by partial minima.  Self links and null
-    ends are ignored; an empty table gives an empty one.
+    Each round points every node to the neighbour (or itself) with the smallest
+    hash of that round, follows one pointer further, renames both ends of all
+    links and drops those inside a group.  Random order shrinks any graph by a
+    constant factor, so the number of rounds is logarithmic.  Only links travel;
+    a hub is reduced by partial minima.  Self links and null ends are ignored;
+    an empty table gives an empty one.
     """
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b AND a IS NOT NULL AND b IS NOT NULL")
-    edges = persisted(edges.distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    found = persisted(nodes.withColumn("root", F.col("node")))
+    edges = persisted(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    ends = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = ends(edges).select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    turn = 0
     while not edges.isEmpty():
-        up = edges.groupBy("a").agg(F.min("b").alias("p"))
-        up = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
-        up = persisted(up)
-        step = up.select(F.col("a").alias("root"), "p")
-        found = persisted(found.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        to = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(up, "a").select("p", "b").join(to, "b", "left").select(
-            F.col("p").alias("x"), F.coalesce("pb", "b").alias("y"))
-        edges = persisted(edges.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    return found
+        turn += 1
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("v"))  # noqa: E731,B023
+        up = ends(edges).groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["v"].alias("p"))
+        far = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        up = persisted(up.join(far, "p").select("a", F.col("pp").alias("p")))
+        found = persisted(found.join(up.select(F.col("a").alias("root"), "p"), "root", "left").select(
+            "node", F.coalesce("p", "root").alias("root")))
+        to = up.select(F.col("a").alias("b"), F.col("p").alias("q"))
+        edges = edges.join(up, "a").select("b", "p").join(to, "b").where("p <> q")
+        edges = persisted(edges.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct())
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
