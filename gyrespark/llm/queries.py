@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gyrespark.llm import bpe, quality, simhash
+from gyrespark.llm import bpe, quality, simhash, wordpiece
 from gyrespark.llm.common import load
 
 QUERIES = {
     "op3_bpe_lexicon": (lambda spark, d: bpe.op3(load(spark, d, "documents")), None),
     "op4_line_first_quality": (lambda spark, d: quality.op4(load(spark, d, "documents")), None),
     "op8_simhash_pigeonring": (lambda spark, d: simhash.op8(load(spark, d, "documents")), None),
+    "op7_wordpiece_counts": (lambda spark, d: wordpiece.op7(load(spark, d, "documents")), None),
 }
