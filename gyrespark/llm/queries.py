@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gyrespark.llm import bpe, quality, simhash, wordpiece
+from gyrespark.llm import bpe, interpolation, quality, simhash, wordpiece
 from gyrespark.llm.common import load
 
 QUERIES = {
+    "op1_deleted_interpolation": (lambda spark, d: interpolation.op1(load(spark, d, "documents")), None),
     "op3_bpe_lexicon": (lambda spark, d: bpe.op3(load(spark, d, "documents")), None),
     "op4_line_first_quality": (lambda spark, d: quality.op4(load(spark, d, "documents")), None),
     "op8_simhash_pigeonring": (lambda spark, d: simhash.op8(load(spark, d, "documents")), None),
