@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrespark.llm import bpe, interpolation, langid, mixing, quality, simhash, wordpiece
+from gyrespark.llm import bpe, interpolation, langid, mixing, quality, simhash, suffixes, wordpiece
 from gyrespark.llm.common import load
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_bpe_lexicon": (lambda spark, d: bpe.op3(load(spark, d, "documents")), None),
     "op4_line_first_quality": (lambda spark, d: quality.op4(load(spark, d, "documents")), None),
     "op8_simhash_pigeonring": (lambda spark, d: simhash.op8(load(spark, d, "documents")), None),
+    "op5_deep_shallow_dedup": (lambda spark, d: suffixes.op5(load(spark, d, "documents")), None),
     "op6_capped_water_filling": (lambda spark, d: mixing.op6(load(spark, d, "documents")), mixing.SQL),
     "op7_wordpiece_counts": (lambda spark, d: wordpiece.op7(load(spark, d, "documents")), None),
 }
