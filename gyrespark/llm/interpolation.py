@@ -42,7 +42,8 @@ CLASSES = 64        # classes of a frequency's logarithm, and one for zero
 ROUNDS = 60
 LEAST_WEIGHT = 1e-4
 FIT, EVENTS, TEST = 0, 1, 2
-TOKENS_PER_BUCKET = 3_000_000
+TOKENS_PER_BUCKET = 750_000
+BUCKETS_PER_TASK = 4  # several small ones even out what a task gets
 BLOCKS = "block bigint, kind int, ids array<{id}>, roles binary, lengths binary, tokens binary, words binary, n_tokens bigint"
 
 
@@ -229,9 +230,10 @@ def score_texts(docs: DataFrame, role, id_col: str = "doc_id", text_col: str = "
     id_sql = dict(rows.dtypes)["doc_id"]
     blocks = persisted(rows.mapInArrow(_blocks, BLOCKS.format(id=id_sql)))
     n_tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = parts_for(spark, n_tokens, TOKENS_PER_BUCKET)
+    parts = parts_for(spark, n_tokens, TOKENS_PER_BUCKET * BUCKETS_PER_TASK)
+    buckets = parts * BUCKETS_PER_TASK
     asked = blocks.mapInArrow(_asker(buckets), "bucket int, block bigint, kind int, keys binary, fit binary, events binary")
-    answers = persisted(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+    answers = persisted(asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(
         _answer, "block bigint, kind int, bucket int, fit binary, events binary, totals array<bigint>"))
     totals = answers.agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(4)]).first()
     n, v, n_fit, v_fit = (int(x or 0) for x in totals)
