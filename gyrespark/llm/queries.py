@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrespark.llm import bpe, interpolation, langid, mixing, quality, simhash, suffixes, wordpiece
+from gyrespark.llm import bpe, interpolation, langid, mixing, quality, simhash, suffixes, vptree, wordpiece
 from gyrespark.llm.common import load
 
 QUERIES = {
@@ -14,4 +14,5 @@ QUERIES = {
     "op5_deep_shallow_dedup": (lambda spark, d: suffixes.op5(load(spark, d, "documents")), None),
     "op6_capped_water_filling": (lambda spark, d: mixing.op6(load(spark, d, "documents")), mixing.SQL),
     "op7_wordpiece_counts": (lambda spark, d: wordpiece.op7(load(spark, d, "documents")), None),
+    "op9_vantage_point_trees": (lambda spark, d: vptree.op9(load(spark, d, "embeddings")), vptree.SQL),
 }
