@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections import Counter
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from gyrespark.llm.common import per_batch, texts
 from gyrespark.session import checkpoint_dir
 
 LEXICON_WORDS = 65_536
-CACHE_WORDS = 200_000   # encoded words a worker remembers at most
-COUNT_WORDS = 200_000   # distinct words a task counts before it hands them on
+CACHE_WORDS = 300_000   # encoded words, and parts, a worker remembers before it forgets them
+COUNT_WORDS = 300_000   # distinct words a task counts before it hands them on
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 CONTROLS = "\x1c\x1d\x1e\x1f"  # Python splits at these, the tokenizer does not
@@ -65,15 +66,16 @@ class Model:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.token = {i: t for t, i in self.vocab.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # pair of ids -> rank and id of the merged token, all as one number
+        self.merges: dict[int, int] = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.merges[self.vocab[a] << 20 | self.vocab[b]] = rank << 20 | self.vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
-        self.parts = regex.compile(PARTS).findall
+        self.parts = regex.compile(PARTS + r"|\n").findall
         self.split = regex.compile(f"[{SPACE}]+").split
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.marks = tuple(s[:2] for s in self.special)
@@ -84,49 +86,65 @@ class Model:
             return [w for w in self.split(text) if w]
         return text.split()
 
-    def pieces(self, word: str) -> list:
-        """Normalised parts of a word as UTF-8, and ids of special tokens."""
+    def pieces(self, words: list[str]) -> list[list]:
+        """Normalised parts of each word, and ids of special tokens."""
+        if self.special_split and any(m in w for m in self.marks for w in words):
+            out = []
+            for word in words:
+                runs = [r for r in self.special_split(word) if r]
+                plain = iter(self.pieces_of_plain([r for r in runs if r not in self.special]))
+                out.append([p for r in runs for p in ([self.special[r]] if r in self.special else next(plain))])
+            return out
+        return self.pieces_of_plain(words)
+
+    def pieces_of_plain(self, words: list[str]) -> list[list[str]]:
+        """Parts of words without special tokens, found in one pass over all."""
         import unicodedata
 
-        out: list = []
-        runs = self.special_split(word) if any(m in word for m in self.marks) else [word]
-        for run in runs:
-            if run in self.special:
-                out.append(self.special[run])
-            elif run:
-                low = run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")
-                out += [p.encode() for p in self.parts(low.lower())]
-        return out
+        text = "\n".join(words)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        out: list[list[str]] = [[]]
+        for part in self.parts(text.lower()):
+            if part == "\n":
+                out.append([])
+            else:
+                out[-1].append(part)
+        return out if words else []
 
     def merge(self, part: bytes) -> list[int]:
         """Ids of one part: the best-ranked, leftmost pair is merged until none is left."""
         ids = [self.inner[b] for b in part[:-1]] + [self.last[part[-1]]]
-        if len(ids) > 48:
+        if len(ids) > 100:
             return self._merge_long(ids)
-        merges = self.merges.get
-        while len(ids) > 1:
-            best = min((m[0], i, m[1]) if (m := merges(p)) else (1 << 60, 0, 0) for i, p in enumerate(zip(ids, ids[1:])))
-            if best[0] == 1 << 60:
-                break
-            ids[best[1]:best[1] + 2] = [best[2]]
+        get, none = self.merges.get, 1 << 60
+        best = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while best and (least := min(best)) < none:
+            i = best.index(least)
+            ids[i:i + 2] = [least & 0xFFFFF]
+            del best[i]
+            if i:
+                best[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(best):
+                best[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
+        n, get = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, to = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = to, -1, after[j]
+            ids[i], ids[j], after[i] = m & 0xFFFFF, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y < n and (m := get(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
     def decode(self, ids) -> str:
@@ -140,36 +158,42 @@ def model(path: str) -> Model:
 
 
 class Encoder:
-    """Encodes whole texts word by word; remembers a bounded number of words."""
+    """Encodes whole texts word by word; remembers a bounded number of words and parts."""
 
     def __init__(self, path: str, lexicon_file: str | None):
-        self.model, self.known = model(path), {}
+        self.model, self.known, self.parts = model(path), {}, {}
         self.lexicon = lexicon.Lexicon.mapped(lexicon_file) if lexicon_file else None
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words: the automaton answers for all parts at once, merges do the rest."""
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: the automaton answers for all new parts at once, merges do the rest."""
         m = self.model
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        words = [w for w in words if w not in self.known]
-        split = [m.pieces(w) for w in words]
-        parts = list({p for s in split for p in s if isinstance(p, bytes)})
-        found = self.lexicon.numbers(parts) if self.lexicon else np.full(len(parts), -1)
-        ids = {p: self.lexicon.output(n) if n >= 0 else m.merge(p) for p, n in zip(parts, found.tolist())}
+        split = m.pieces(words)
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        known = self.parts
+        new = list({p for s in split for p in s}.difference(known))
+        raw = [p.encode() if isinstance(p, str) else b"" for p in new]
+        found = self.lexicon.numbers(raw).tolist() if self.lexicon else [-1] * len(raw)
+        for p, r, n in zip(new, raw, found):
+            ids = [p] if isinstance(p, int) else m.merge(r) if n < 0 else self.lexicon.output(n)
+            known[p] = struct.pack(f"<{len(ids)}I", *ids), m.decode(ids)
         for w, s in zip(words, split):
-            own = [i for p in s for i in (ids[p] if isinstance(p, bytes) else (p,))]
-            self.known[w] = (np.array(own, "<u4").tobytes(), m.decode(own))
+            if len(s) == 1:
+                self.known[w] = known[s[0]]
+            else:
+                both = [known[p] for p in s]
+                self.known[w] = b"".join([b[0] for b in both]), " ".join([b[1] for b in both])
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian uint32, decoded text) of each text."""
         split = [self.model.words(t) for t in batch]
-        new = set().union(*split).difference(self.known) if split else set()
-        if new:
-            self.learn(set().union(*split))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.learn(list(set().union(*split).difference(self.known)))
         get = self.known.__getitem__
         out = []
         for words in split:
-            both = [get(w) for w in words]
+            both = list(map(get, words))
             out.append((b"".join([b[0] for b in both]), " ".join([b[1] for b in both])))
         return out
 
@@ -178,34 +202,32 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n) of the normalised parts of all texts, pre-counted in the tasks."""
+    """(word, n) of the white-space words of all texts in lower case, pre-counted in the tasks."""
     def run(batches):
-        m, seen = model(path), Counter()
+        words, seen = model(path).words, Counter()
 
         def flush():
-            parts: Counter = Counter()
-            for w, n in seen.items():
-                for p in m.pieces(w):
-                    if isinstance(p, bytes):
-                        parts[p] += n
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array(list(parts.values()), pa.int64())], ["word", "n"])
+            return out
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(m.words(text.as_py()))
-                if len(seen) > COUNT_WORDS:
-                    yield flush()
+            for i in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(i, 64).to_pylist():
+                    seen.update(words(text.lower()))
+                    if len(seen) > COUNT_WORDS:
+                        yield flush()
         yield flush()
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_lexicon(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words, put the file into the shared folder, hand it to the executors; its name."""
+    """Compile the parts of the most frequent words, put the file into the shared folder, hand it to the executors; its name."""
     spark = docs.sparkSession
     top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
     m = model(path)
-    words = sorted(bytes(r["word"]) for r in top)
+    parts = {p for s in m.pieces([r["word"] for r in top]) for p in s if isinstance(p, str)}
+    words = sorted(p.encode() for p in parts)
     data = lexicon.build(words, [m.merge(w) for w in words])
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     jvm = spark.sparkContext._jvm

@@ -73,7 +73,7 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, path: str) -> "Lexicon":
-        return cls(np.memmap(path, dtype=np.int64, mode="r"))
+        return cls(np.asarray(np.memmap(path, dtype=np.int64, mode="r")))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, or -1; all words walk one byte at a time together."""
