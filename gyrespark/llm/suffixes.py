@@ -42,6 +42,8 @@ SHALLOW = 24
 KEY_BITS = 48
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 20        # strings of a long text handled at once
+CHUNK_BYTES = 1 << 20    # text whose anchors are found at once
+SORTED = 400_000         # strings sorted at once
 BUCKET_BYTES = 4 << 20   # text per bucket
 BUCKETS_PER_TASK = 4
 NO_ID = np.iinfo(np.int64).max
@@ -119,7 +121,7 @@ class Anchors:
                 piece = text[at:at + SEGMENT + length - 1]
                 chunk.append((row, at, piece))
                 size += len(piece)
-                if size > BLOCK_BYTES:
+                if size > CHUNK_BYTES:
                     parts.append(self._of(chunk, length))
                     chunk, size = [], 0
         if chunk:
@@ -150,7 +152,13 @@ class Anchors:
         segment = np.searchsorted(begin, at[new], side="right") - 1
         shift = np.array([a for _, a, _ in chunk])[segment] - begin[segment]
         rows = np.array([r for r, _, _ in chunk])[segment]
-        return rows, at[new] + shift, at[last] + shift, gram[owner[new]] >> np.uint64(64 - KEY_BITS)
+        return rows, at[new] + shift, at[last] + shift, mix(gram[owner[new]]) >> np.uint64(64 - KEY_BITS)  # least hashes are small: scrambled again
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """Rows of a block in an order that does not depend on how they arrived."""
+    rows = sorted(range(table.num_rows), key=list(zip(_ids(table).tolist(), table["text"].to_pylist())).__getitem__)
+    return table.take(pa.array(rows, pa.int64()))
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -187,101 +195,129 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
                      "cell": pa.array(cells, pa.binary()), "runs": pa.array([None] * len(cells), pa.binary())})
 
 
-class _Pieces:
-    """Distinct pieces of text around the shared anchors of a block, in order of (hash, text)."""
+PIECES = "bucket int, block bigint, kind int, pieces binary, lengths binary, least binary"
+ANSWER = "block bigint, bucket int, kind int, cell binary, runs binary"
+SHARED, LEAST, USES = 0, 1, 2  # kinds of rows
+
+
+def _cells(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, types[kind]) for (name, kind), c in zip(fields, columns)})
+
 
-    def __init__(self, left: pa.Table, answers: list[dict], length: int, buckets: int):
-        self.texts = left["text"].to_pylist()
-        self.ids = _ids(left)
-        anchors = Anchors(self.texts, length)
+def _asked_pieces(buckets: int, length: int):
+    """Distinct pieces of text around a block's shared anchors, in order of (hash, text), and where they are used."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _cells([], PIECES)
+        left = _in_order(left)
+        texts, ids, block = left["text"].to_pylist(), _ids(left), left["block"][0].as_py()
+        anchors = Anchors(texts, length)
         every = np.unique(anchors.key)
         ends = bucket_bounds(every, buckets, KEY_BITS)
         shared = np.zeros(len(every), dtype=bool)
-        for r in answers:
+        for r in right.to_pylist():
             a, b = ends[r["bucket"]], ends[r["bucket"] + 1]
             shared[a:b] = np.unpackbits(np.frombuffer(expand(r["cell"]), np.uint8), count=b - a)
-        use = np.flatnonzero(shared[np.searchsorted(every, anchors.key)]) if len(every) else np.empty(0, np.int64)
-        self.row, self.first, self.last = anchors.row[use], anchors.first[use], anchors.last[use]
-        texts, found = self.texts, {}
-        number = np.empty(len(use), dtype=np.int64)
-        for i, (k, r, a, b) in enumerate(zip(anchors.key[use].tolist(), self.row.tolist(), self.first.tolist(), self.last.tolist())):
-            number[i] = found.setdefault((k, texts[r][a:b + length]), len(found))
+        use = np.flatnonzero(shared[np.searchsorted(every, anchors.key)])
+        row, first, last = anchors.row[use], anchors.first[use], anchors.last[use]
+        found: dict[tuple[int, bytes], int] = {}
+        number = np.array([found.setdefault((k, texts[r][a:b + length]), len(found))
+                           for k, r, a, b in zip(anchors.key[use].tolist(), row.tolist(), first.tolist(), last.tolist())], dtype=np.int64)
         names = sorted(found)
         rank = np.empty(len(found), dtype=np.int64)
         rank[[found[n] for n in names]] = np.arange(len(names))
-        self.number = rank[number]           # piece of each use
-        self.pieces = [p for _, p in names]
-        self.least = np.full(len(names), NO_ID)
-        np.minimum.at(self.least, self.number, self.ids[self.row])
-        self.ends = bucket_bounds(np.array([k for k, _ in names], dtype=np.uint64), buckets, KEY_BITS)
+        number, pieces = rank[number], [p for _, p in names]
+        least = np.full(len(names), NO_ID)
+        np.minimum.at(least, number, ids[row])
+        size = np.array([len(p) for p in pieces], dtype=np.uint8)
+        ends = bucket_bounds(np.array([k for k, _ in names], dtype=np.uint64), buckets, KEY_BITS)
+        out = [(i, block, LEAST, squeeze(b"".join(pieces[a:b])), pack(size[a:b]), pack(least[a:b]))
+               for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if a < b]
+        # the block's own table of uses takes the way of one of its questions and comes back with the answer
+        uses = [pack(x.astype(np.int64)) for x in (np.diff(row, prepend=0), first - np.r_[0, first[:-1]], number)]
+        return _cells([*out, (block % buckets, block, USES, uses[2], pack(size), _joined(uses[0], uses[1]))] if len(use) else out, PIECES)
+    return run
 
 
-def _asked_pieces(buckets: int, length: int):
-    names = ["bucket", "block", "pieces", "lengths", "least"]
+def _joined(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int32() if c == "bucket" else pa.int64() if c == "block" else pa.binary()) for c in names})
-        p = _Pieces(left, right.to_pylist(), length, buckets)
-        used = np.flatnonzero(np.diff(p.ends))
-        cut = [slice(p.ends[i], p.ends[i + 1]) for i in used]
-        return pa.table({
-            "bucket": pa.array(used, pa.int32()), "block": pa.array([left["block"][0].as_py()] * len(used), pa.int64()),
-            "pieces": pa.array([squeeze(b"".join(p.pieces[c])) for c in cut], pa.binary()),
-            "lengths": pa.array([pack(np.array([len(x) for x in p.pieces[c]], dtype=np.uint8)) for c in cut], pa.binary()),
-            "least": pa.array([pack(p.least[c]) for c in cut], pa.binary())})
-    return run
+
+def _parted(cell: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(cell[:8], "little")
+    return cell[8:8 + n], cell[8 + n:]
 
 
 def _least_ids(length: int):
     """The smallest id of every string of a bucket's pieces, as runs, for every block."""
     def run(table: pa.Table) -> pa.Table:
-        raw = [expand(x) for x in table["pieces"].to_pylist()]
-        sizes = [unpack(x, np.uint8).astype(np.int64) for x in table["lengths"].to_pylist()]
-        text = np.frombuffer(b"".join(raw) + bytes(8), dtype=np.uint8)
-        size = np.concatenate(sizes)
+        rows = table.to_pylist()
+        out = [(r["block"], r["bucket"], USES, r["pieces"], _joined(r["lengths"], r["least"])) for r in rows if r["kind"] == USES]
+        rows = [r for r in rows if r["kind"] == LEAST]
+        sizes = [unpack(r["lengths"], np.uint8).astype(np.int64) for r in rows]
+        found: dict[bytes, int] = {}
+        numbers = []
+        for r, size in zip(rows, sizes):
+            raw, end = expand(r["pieces"]), np.cumsum(size)
+            numbers.append(np.array([found.setdefault(raw[a:b], len(found)) for a, b in zip((end - size).tolist(), end.tolist())], dtype=np.int64))
+        if not rows:
+            return _cells(out, ANSWER)
+        # equal pieces of several blocks are sorted once, with their smallest id
+        id_of = np.full(len(found), NO_ID)
+        for r, number in zip(rows, numbers):
+            np.minimum.at(id_of, number, unpack(r["least"], np.int64))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        text = np.frombuffer(b"".join(found) + bytes(8), dtype=np.uint8)
         strings = size - length + 1
-        begin = np.cumsum(size) - size
-        start = np.arange(int(strings.sum())) + np.repeat(begin - (np.cumsum(strings) - strings), strings)
-        ids = np.repeat(np.concatenate([unpack(x, np.int64) for x in table["least"].to_pylist()]), strings)
-        order, group = deep_shallow(text, start, length)
+        begin, offset = np.cumsum(size) - size, np.cumsum(strings) - strings
+        start = np.arange(int(strings.sum())) + np.repeat(begin - offset, strings)
+        ids = np.repeat(id_of, strings)
+        # equal strings begin alike: a hash of their first bytes deals them to sorts of bounded size
+        lots = math.ceil(len(start) / SORTED)
+        lot = (mix(words_at(text, "<u8")[start]) % np.uint64(lots)).astype(np.int32)
         least = np.empty(len(start), dtype=np.int64)
-        least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
-        cells, runs, at = [], [], 0
-        for own in sizes:
-            n = int((own - length + 1).sum())
-            part = least[at:at + n]
-            at += n
+        for i in range(lots):
+            some = np.flatnonzero(lot == i)
+            if len(some):
+                order, group = deep_shallow(text, start[some], length)
+                own = ids[some][order]
+                least[some[order]] = np.minimum.reduceat(own, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
+        for r, number in zip(rows, numbers):
+            n = strings[number]
+            part = least[np.arange(int(n.sum())) + np.repeat(offset[number] - (np.cumsum(n) - n), n)]
             new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            cells.append(pack(part[new]))
-            runs.append(pack(np.diff(np.r_[new, n]).astype(np.uint32)))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "kind": pa.array([1] * len(cells), pa.int32()),
-                         "cell": pa.array(cells, pa.binary()), "runs": pa.array(runs, pa.binary())})
+            out.append((r["block"], r["bucket"], LEAST, pack(part[new]), pack(np.diff(np.r_[new, len(part)]).astype(np.uint32))))
+        return _cells(out, ANSWER)
     return run
 
 
-def _marked(buckets: int, length: int, schema: pa.Schema):
+def _marked(length: int, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
+        left = _in_order(left)
+        texts, ids = left["text"].to_pylist(), _ids(left)
         answers = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        p = _Pieces(left, [r for r in answers if r["kind"] == 0], length, buckets)
-        told = [np.repeat(unpack(r["cell"], np.int64), unpack(r["runs"], np.uint32).astype(np.int64)) for r in answers if r["kind"] == 1]
+        told = [np.repeat(unpack(r["cell"], np.int64), unpack(r["runs"], np.uint32).astype(np.int64)) for r in answers if r["kind"] == LEAST]
         told = np.concatenate(told) if told else np.empty(0, np.int64)
-        strings = np.array([len(x) - length + 1 for x in p.pieces], dtype=np.int64)
+        row = first = number = strings = np.empty(0, np.int64)
+        for r in answers:
+            if r["kind"] == USES:
+                sizes, places = _parted(r["runs"])
+                row, first = (np.cumsum(unpack(x, np.int64)) for x in _parted(places))
+                number, strings = unpack(r["cell"], np.int64), unpack(sizes, np.uint8).astype(np.int64) - length + 1
         offset = np.cumsum(strings) - strings
-        # every use of a piece: its strings in the text, and the smallest id that has them
-        n = strings[p.number]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(p.row, n)
-        gone = told[np.repeat(offset[p.number], n) + inside] < p.ids[row]
-        row, at = row[gone], (np.repeat(p.first, n) + inside)[gone]
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        bounds = np.searchsorted(row, np.arange(len(p.texts) + 1))
+        bounds = np.searchsorted(row, np.arange(len(texts) + 1))
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for i, text in enumerate(p.texts):
-            starts = at[bounds[i]:bounds[i + 1]]
+        for i, text in enumerate(texts):
+            # the strings of every piece in this text, and the smallest id that has each
+            own = number[bounds[i]:bounds[i + 1]]
+            n = strings[own]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            starts = (np.repeat(first[bounds[i]:bounds[i + 1]], n) + inside)[told[np.repeat(offset[own], n) + inside] < ids[i]]
             removed, kept, spans = 0, text, 0
             if len(starts):
                 new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + length])
@@ -313,15 +349,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def to_buckets(frame: DataFrame, run, schema: str) -> DataFrame:
         return frame.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, schema)
 
-    answer = "block bigint, bucket int, kind int, cell binary, runs binary"
     asked = grouped(dealt).applyInArrow(_asked_anchors(buckets, length), "bucket int, block bigint, keys binary, several binary")
-    shared = to_buckets(asked, _shared_anchors, answer)
-    pieces = grouped(dealt).cogroup(grouped(shared)).applyInArrow(
-        _asked_pieces(buckets, length), "bucket int, block bigint, pieces binary, lengths binary, least binary")
-    least = to_buckets(pieces, _least_ids(length), answer)
+    shared = to_buckets(asked, _shared_anchors, ANSWER)
+    pieces = grouped(dealt).cogroup(grouped(shared)).applyInArrow(_asked_pieces(buckets, length), PIECES)
+    least = to_buckets(pieces, _least_ids(length), ANSWER)
     fields = [f for f in dealt.schema.fields if f.name in ("doc_id", "row")]
     schema = StructType([*fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    return grouped(dealt).cogroup(grouped(shared.union(least))).applyInArrow(_marked(buckets, length, to_arrow_schema(schema)), schema)
+    return grouped(dealt).cogroup(grouped(least)).applyInArrow(_marked(length, to_arrow_schema(schema)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
