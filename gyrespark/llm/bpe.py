@@ -1,7 +1,7 @@
 """BPE encoding by a lexicon automaton of frequent words, with exact merges for the rest.
 
-Words are counted over the whole corpus; the ``lexicon_words`` most frequent
-ones are compiled with their ids into a minimal acyclic automaton.  Its file
+Words are counted over the whole corpus; the most frequent ones, at most
+``lexicon_words``, are compiled with their ids into a minimal acyclic automaton.  Its file
 lies in the shared folder, Spark hands it to the executors, and each Python
 worker maps it.  Any other word is merged by rank, so ids never depend on what
 the lexicon holds.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import math
 import struct
 from collections import Counter
 from functools import lru_cache
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrespark.llm import lexicon
-from gyrespark.llm.common import per_batch, texts
+from gyrespark.llm.common import per_batch, persisted, texts
 from gyrespark.session import checkpoint_dir
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 200_000
+LEAST_COUNT = 4         # rarer words are not compiled
+STEPS = 8               # classes of a count per doubling
 CACHE_WORDS = 300_000   # encoded words, and parts, a worker remembers before it forgets them
 COUNT_WORDS = 300_000   # distinct words a task counts before it hands them on
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -224,7 +227,15 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 def frequent_lexicon(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> str:
     """Compile the parts of the most frequent words, put the file into the shared folder, hand it to the executors; its name."""
     spark = docs.sparkSession
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    counts = persisted(word_counts(docs, path).where(F.col("n") >= LEAST_COUNT).withColumn("class", F.floor(F.log2("n") * STEPS)))
+    # the highest classes of counts that hold no more than the wanted number of words
+    least, found = math.inf, 0
+    for r in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        found += r["n"]
+        if found > lexicon_words:
+            break
+        least = r["class"]
+    top = counts.where(F.col("class") >= least).select("word").collect() if math.isfinite(least) else []
     m = model(path)
     parts = {p for s in m.pieces([r["word"] for r in top]) for p in s if isinstance(p, str)}
     words = sorted(p.encode() for p in parts)

@@ -32,7 +32,8 @@ from gyrespark.llm.common import SPACES, texts, words_of
 
 FIT_DOCS = 10_000
 FEATURES = 1 << 16
-KEPT = 0.5
+KEPT = 0.3      # in doubt a document stays
+PENALTY = 1e-7  # the features are shares of a document, so weights are large
 ROUNDS = 100
 PRIOR = 0.85          # first guess of the share of good documents
 GUESS = (0.2, 0.005)  # first guess of how often a heuristic calls a bad and a good document bad
@@ -56,13 +57,15 @@ def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     return {
         "_n": F.size(words), "_chars": F.length(F.translate(text, SPACES, "")), "_distinct": F.size(F.array_distinct(words)),
         "_upper": number_of(UPPER), "_loud": number_of("!?"), "_signs": number_of("#*$%&|<>=_~^"), "_stops": number_of(".;:"),
-        "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)), "_phrase": F.lower(text).rlike(PHRASES)}
+        "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x)),
+        "_bars": number_of("|\u00bb\u2022"), "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)), "_phrase": F.lower(text).rlike(PHRASES)}
 
 
 def votes() -> dict[str, Column]:
     """Vote of every heuristic from the measures of a document."""
     n, c = F.col("_n"), F.col
     distinct, upper, loud = _share(c("_distinct"), n), _share(c("_upper"), c("_chars")), _share(c("_loud"), n)
+    dense, bars, again = _share(c("_signs"), c("_chars")), _share(c("_bars"), n), _share(c("_again"), n)
     signs, stops, length, copies = _share(c("_signs"), n), _share(c("_stops"), n), _share(c("_chars"), n), _share(c("_lines") - c("_own_lines"), c("_lines"))
     return {
         "length": _vote(n >= 50, n < 5),
@@ -70,6 +73,9 @@ def votes() -> dict[str, Column]:
         "capitals": _vote(upper < 0.15, upper > 0.3),
         "loudness": _vote(loud < 0.02, loud > 0.3),
         "signs": _vote(signs < 0.03, signs > 0.25),
+        "sign_density": _vote(dense < 0.01, dense > 0.04),
+        "bars": _vote(bars < 0.02, bars > 0.15),
+        "echoes": _vote(again < 0.03, (n >= 10) & (again > 0.1)),
         "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 15)),
         "sentences": _vote((stops >= 0.02) & (stops <= 0.35), (n >= 30) & ((stops < 0.005) | (stops > 0.7))),
         "copied_lines": _vote((c("_lines") >= 3) & (copies == 0), copies > 0.3),
@@ -133,9 +139,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     two = two.persist()
     if two.isEmpty():
         two = ready.limit(1).select("features", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"))
-    model = LogisticRegression(regParam=1e-4, maxIter=50, standardization=False, weightCol="weight").fit(two)
+    model = LogisticRegression(regParam=PENALTY, maxIter=100, standardization=False, weightCol="weight").fit(two)
     two.unpersist()
-    print(model.summary.objectiveHistory, two.count())
     scored = model.transform(ready).select(
         "doc_id", "votes", "posterior", F.when(F.col("_any"), vector_to_array("probability")[1]).otherwise(0.0).alias("score"))
     return scored.withColumn("kept", F.col("score") >= KEPT)
