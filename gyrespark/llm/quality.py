@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrespark.llm.common import SPACES, words_of
+from gyrespark.llm.common import SPACES, without, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -28,7 +28,8 @@ SEPARATORS = "|»›•·>"
 SHORT_LINE = 3        # words; a shorter line needs no closing mark
 HEADING_LINE = 8      # words; up to here a line without a closing mark is a heading or a menu
 PHRASE_LINE = 40      # words; phrases are looked for in lines up to this length
-CLOSED = r"[.!?:;,…\"'”’»)\]]$"
+WORD = r"[^\x20\x09-\x0D]"
+CLOSED = r"[.!?:;,…\"'”’»)\]][\x20\x09-\x0D]*$"
 LOUD = r"[!?]{2,}(?:[\x20\x09-\x0D]|$)"
 NAVIGATION = r"skip to (?:main )?content|read more|sign in|log in|next page|previous page|back to top|site map|click here"
 BOILERPLATE = r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|licensed under|copyright|javascript|subscribe to|powered by"
@@ -38,34 +39,34 @@ def _count(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line with words fails a rule."""
-    n = F.size(words_of(line))
+def bad_line(line: Column, n: Column) -> Column:
+    """Whether a line of ``n`` words fails a rule."""
     low = F.lower(line)
-    seps = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
+    seps = F.length(line) - F.length(without(line, SEPARATORS))
     loud = F.size(F.regexp_extract_all(line, F.lit(LOUD), F.lit(0)))
-    open_end = ~F.rtrim(F.translate(line, SPACES[1:], " " * 5)).rlike(CLOSED)
     return (
         ~line.rlike(r"\p{L}")
-        | (loud * 2 > n)
-        | ((n > SHORT_LINE) & (n <= HEADING_LINE) & open_end)
-        | ((seps >= 2) & (n <= 4 * seps))
+        | (line.rlike(r"[!?]{2}") & (loud * 2 > n))
+        | ((n > SHORT_LINE) & (n <= HEADING_LINE) & ~line.rlike(CLOSED))
+        | (line.rlike(f"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]") & (n <= 4 * seps))
         | ((n <= PHRASE_LINE) & (low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)))
     )
 
 
 def _repeat_words(h: str) -> list[tuple[str, Column]]:
-    """Steps from word hashes ``h`` to the words covered by repeated three-word windows."""
-    n = F.size(h)
-    windows = F.when(n >= 3, F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("p"))))
+    """Steps from word hashes ``h`` to the words covered by repeated three-word windows.
+
+    Windows are sorted as plain numbers first; only a text in which two are equal
+    sorts them again with their places.
+    """
+    last = F.size(h) - 3
+    beside = lambda x, j: F.coalesce(F.get("_s", j - 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get("_s", j + 1)["k"] == x["k"], F.lit(False))
     return [
-        ("_s", F.sort_array(windows)),
-        ("_d", F.array_sort(F.transform(
-            F.filter("_s", lambda x, j: F.coalesce(F.get("_s", j - 1)["k"] == x["k"], F.lit(False))
-                     | F.coalesce(F.get("_s", j + 1)["k"] == x["k"], F.lit(False))),
-            lambda x: x["p"]))),
+        ("_k", F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))),
+        ("_o", F.sort_array("_k")),
+        ("_any", F.exists(F.arrays_zip(F.col("_o").alias("a"), F.slice("_o", 2, F.greatest(F.size("_o"), F.lit(1))).alias("b")), lambda x: x["a"] == x["b"])),
+        ("_s", F.when(F.col("_any"), F.sort_array(F.transform("_k", lambda x, i: F.struct(x.alias("k"), i.alias("p")))))),
+        ("_d", F.array_sort(F.transform(F.filter("_s", beside), lambda x: x["p"]))),
         ("n_repeat_words", F.coalesce(F.aggregate(
             "_d", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
             lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
@@ -73,6 +74,12 @@ def _repeat_words(h: str) -> list[tuple[str, Column]]:
     ]
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that a filter on a computed column is not
+    pushed into the arrays it comes from, where it would be computed for every element."""
+    return frame.select(F.explode(F.array(F.struct(*frame.columns))).alias("_r")).select("_r.*")
+
+
 def line_first(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """Add measures, ``base_failed``, ``kept`` and ``clean_text`` to a frame of (doc_id, text, ...).
 
@@ -80,24 +87,25 @@ def line_first(docs: DataFrame, text_col: str = "text", max_lost_percent: int =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("_t", text).withColumn("_w", words_of(F.col("_t"))).withColumn(
-        "_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
-    out = out.withColumn("_u", F.array_distinct("_l"))
-    out = out.withColumns({"_h": F.transform("_w", lambda w: F.xxhash64(w)), "_bad": F.filter("_u", bad_line), "n_words": _count(F.col("_w"))})
+        "_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
+    out = out.withColumn("_u", F.transform(F.array_distinct("_l"), lambda x: F.struct(x.alias("l"), F.size(words_of(x)).alias("n"))))
+    out = out.withColumns({"_h": F.transform("_w", lambda w: F.xxhash64(w)), "_bad": F.filter("_u", lambda x: bad_line(x["l"], x["n"])), "n_words": _count(F.col("_w"))})
     for name, column in _repeat_words("_h"):
         out = out.withColumn(name, column)
-    words_in = lambda lines: F.size(words_of(F.array_join(lines, "\n")))
+    words_in = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + x["n"])
     out = out.withColumns({
-        "word_chars": F.length(F.translate("_t", SPACES, "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(without(F.col("_t"), SPACES)).cast("long"),
+        "n_symbols": (F.length("_t") - F.length(without(F.col("_t"), SYMBOLS))).cast("long"),
         "n_dup_lines": _count(F.col("_l")) - _count(F.col("_u")),
-        "n_kept_words": (words_in(F.col("_u")) - words_in(F.col("_bad"))).cast("long"),
+        "n_kept_words": (words_in("_u") - words_in("_bad")).cast("long"),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     touched = (F.size("_bad") > 0) | (F.col("n_dup_lines") > 0)
-    return out.withColumns({
+    out = out.withColumns({
         "kept": ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_kept_words")) <= max_lost_percent * F.col("n_words")),
-        "clean_text": F.when(touched, F.array_join(F.array_except(F.split("_t", "\n"), "_bad"), "\n")).otherwise(F.col("_t")),
-    }).drop("_t", "_w", "_l", "_u", "_h", "_bad", "_s", "_d")
+        "clean_text": F.when(touched, F.array_join(F.array_except(F.split("_t", "\n"), F.transform("_bad", lambda x: x["l"])), "\n")).otherwise(F.col("_t")),
+    }).drop("_t", "_w", "_l", "_u", "_h", "_bad", "_k", "_o", "_any", "_s", "_d")
+    return settled(out)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
