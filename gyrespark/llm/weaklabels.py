@@ -19,8 +19,6 @@ empty one.
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -28,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrespark.llm.common import SPACES, texts, words_of
+from gyrespark.llm.common import SPACES, texts, without, words_of
 
 FIT_DOCS = 10_000
 FEATURES = 1 << 16
@@ -39,7 +37,6 @@ PRIOR = 0.85          # first guess of the share of good documents
 GUESS = (0.2, 0.005)  # first guess of how often a heuristic calls a bad and a good document bad
 PULL = 0.02           # weight of these guesses, as a share of all documents
 PHRASES = r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|licensed under|sign in|log in|click here|subscribe to|skip to content"
-UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -52,11 +49,11 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     def number_of(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
+        return F.length(text) - F.length(without(text, chars))
 
     return {
-        "_n": F.size(words), "_chars": F.length(F.translate(text, SPACES, "")), "_distinct": F.size(F.array_distinct(words)),
-        "_upper": number_of(UPPER), "_loud": number_of("!?"), "_signs": number_of("#*$%&|<>=_~^"), "_stops": number_of(".;:"),
+        "_n": F.size(words), "_chars": F.length(without(text, SPACES)), "_distinct": F.size(F.array_distinct(words)),
+        "_upper": F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", "")), "_loud": number_of("!?"), "_signs": number_of("#*$%&|<>=_~^"), "_stops": number_of(".;:"),
         "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x)),
         "_bars": number_of("|\u00bb\u2022"), "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)), "_phrase": F.lower(text).rlike(PHRASES)}
 
@@ -85,7 +82,7 @@ def votes() -> dict[str, Column]:
 
 def with_votes(docs: DataFrame) -> DataFrame:
     """Add the words and the list of votes to (doc_id, text)."""
-    out = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
+    out = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumns(measures(F.col("text"), F.col("_w"), F.col("_l")))
     return out.select("doc_id", "text", "_w", F.array(*[v.cast("int") for v in votes().values()]).alias("votes"))
 
@@ -126,7 +123,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     _, _, good = label_model(np.array([r["votes"] for r in table]), n)
     key = F.concat_ws(",", F.col("votes").cast("array<string>"))
     known = F.create_map(*[F.lit(x) for r, g in zip(table, good.tolist()) for x in (",".join(map(str, r["votes"])), g)])
-    shape = F.translate("text", UPPER + LOWER + DIGITS, "A" * 26 + "a" * 26 + "0" * 10)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     tokens = F.concat(F.transform(words_of(shape), lambda x: F.concat(F.lit("\t"), x)), words_of(F.lower("text")))
     rows = rows.select("doc_id", "votes", F.element_at(known, key).alias("posterior"), (F.size("_w") > 0).alias("_any"),
                        F.xxhash64("doc_id", "text").alias("_h"), tokens.alias("_tokens"))

@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gyrespark.llm.common import per_batch, texts
+from gyrespark.llm.common import slices, texts
 
 WORD_START = "▁"
-CACHE_WORDS = 300_000  # counted words a worker remembers at most
+CACHE_WORDS = 300_000  # counted words a worker remembers before it forgets them
 ROOT, GO_ON = 0, 1     # roots of pieces that begin and that continue a word
 
 
@@ -113,29 +113,24 @@ class _Counts(dict):
         return n
 
 
-@lru_cache(maxsize=2)
-def _counts(path: str) -> _Counts:
-    return _Counts(path)
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown); an unknown word is one token."""
     path = path or vocabulary_path()
     rows = texts(docs, id_col, text_col)
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        known = _counts(path)
-        out = []
-        for raw in pc.cast(part.column(1), pa.binary()).to_pylist():
-            counts = list(map(known.__getitem__, raw.split()))
-            unknown = counts.count(-1)
-            out.append((len(counts), sum(counts) + 2 * unknown, unknown))
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        columns = zip(*out)
-        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
-
-    return per_batch(rows, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, n_tokens bigint, n_unknown bigint", kernel)
+    def run(batches):
+        known = _Counts(path)  # its memory ends with the task
+        for part in slices(batches, 1):
+            out = []
+            for raw in pc.cast(part.column(1), pa.binary()).to_pylist():
+                counts = list(map(known.__getitem__, raw.split()))
+                unknown = counts.count(-1)
+                out.append((len(counts), sum(counts) + 2 * unknown, unknown))
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*out))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, n_tokens bigint, n_unknown bigint")
 
 
 def op7(docs: DataFrame) -> DataFrame:
