@@ -120,3 +120,31 @@ def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op4(docs: DataFrame) -> DataFrame:
     judged = line_first(docs.select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    words = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    quote = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    count = lambda chars: f"length({{0}}) - length(regexp_replace({{0}}, '[{chars}]', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {words.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {quote(WORD)})) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k FROM w WHERE len(w) >= 3),
+c AS (SELECT r, k FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT g.r, g.p + o AS p FROM g JOIN c ON c.r = g.r AND c.k = g.k, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY 1),
+u0 AS (SELECT r, unnest(list_distinct(l)) AS line FROM w),
+u AS (SELECT *, len({words.format("line")}) AS n, {count(SEPARATORS).format("line")} AS seps FROM u0),
+b AS (SELECT r, n, NOT regexp_matches(line, '\p{{L}}') OR (2 * len(regexp_extract_all(line, {quote(LOUD)})) > n)
+  OR (n > {SHORT_LINE} AND n <= {HEADING_LINE} AND NOT regexp_matches(line, {quote(CLOSED)})) OR (seps >= 2 AND n <= 4 * seps)
+  OR (n <= {PHRASE_LINE} AND (regexp_matches(lower(line), {quote(NAVIGATION)}) OR regexp_matches(lower(line), {quote(BOILERPLATE)}))) AS bad FROM u),
+k AS (SELECT r, sum(n) FILTER (WHERE NOT bad) AS n FROM b GROUP BY 1),
+m AS (SELECT w.r, doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, {count(SYMBOLS).format("t")} AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(k.n, 0) AS n_kept FROM w LEFT JOIN rep ON rep.r = w.r LEFT JOIN k ON k.r = w.r),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND 100 * (n_words - n_kept) <= {MAX_LOST_PERCENT} * n_words AS kept FROM f
+"""
+
+
+SQL = _sql()

@@ -9,7 +9,7 @@ QUERIES = {
     "op1_deleted_interpolation": (lambda spark, d: interpolation.op1(load(spark, d, "documents")), None),
     "op2_kneser_ney_languages": (lambda spark, d: langid.op2(load(spark, d, "documents")), None),
     "op3_bpe_lexicon": (lambda spark, d: bpe.op3(load(spark, d, "documents")), None),
-    "op4_line_first_quality": (lambda spark, d: quality.op4(load(spark, d, "documents")), None),
+    "op4_line_first_quality": (lambda spark, d: quality.op4(load(spark, d, "documents")), quality.SQL),
     "op8_simhash_pigeonring": (lambda spark, d: simhash.op8(load(spark, d, "documents")), None),
     "op5_deep_shallow_dedup": (lambda spark, d: suffixes.op5(load(spark, d, "documents")), None),
     "op6_capped_water_filling": (lambda spark, d: mixing.op6(load(spark, d, "documents")), mixing.SQL),
