@@ -83,7 +83,10 @@ def lifted_parcel_temperature(t_c, td_c, p_hpa, target_hpa: float = 500.0, steps
         return F.struct(F.when(warm, acc["lo"]).otherwise(mid).alias("lo"),
                         F.when(warm, mid).otherwise(acc["hi"]).alias("hi"), acc["te"].alias("te"))
 
-    start = F.struct(F.lit(180.0).alias("lo"), F.lit(310.0).alias("hi"), theta_e.alias("te"))
+    # a parcel is colder than its theta-e, and its vapour pressure below the level's
+    a = F.log(F.lit(0.99 * target_hpa / 6.112))
+    boiling = (17.67 * 273.15 - 29.65 * a) / (17.67 - a)
+    start = F.struct(F.lit(100.0).alias("lo"), F.least(theta_e, boiling).alias("hi"), theta_e.alias("te"))
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps * 3)), start, halve)
     return F.when(p_l <= target_hpa, dry).otherwise((solved["lo"] + solved["hi"]) / 2.0)
 

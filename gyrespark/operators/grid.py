@@ -7,12 +7,14 @@ grid, so a slice is a bounded group; parallelism comes from the slices.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions.geo import _c
 from gyrespark.operators import joins, ordered
+from gyrespark.session import cut_lineage
 
 
 def densify(cells: DataFrame, by: list[str], nx: int, ny: int, values: list[str], fill: float | None = None) -> DataFrame:
@@ -256,19 +258,34 @@ def bilinear_regrid(points: DataFrame, grid: DataFrame, on: list[str], x: str, y
 
 def nearest_grid_cell(points: DataFrame, grid: DataFrame, point_id: str, lon: str, lat: str, grid_lon: str,
                       grid_lat: str, cell: float) -> DataFrame:
-    """Nearest cell of a curvilinear grid whose spacing is at most ``cell``.
+    """Nearest cell of a curvilinear grid for every point, wherever it lies.
 
-    With spacing up to ``cell`` the nearest cell of a point inside the grid is
-    less than one bucket away, so nine buckets hold it.
+    Nine buckets around a point hold every cell nearer than one bucket.  Points
+    whose best hit is farther, or that have none, are searched again with
+    buckets of twice the width.  Longitudes wrap; equal distances go to the
+    smaller (y, x).  An empty grid has no nearest cell and gives no rows.
     """
-    p = points.withColumn("_near", F.explode(F.array(*[F.struct(
-        (F.floor(F.col(lon) / cell) + i).alias("bx"), (F.floor(F.col(lat) / cell) + j).alias("by"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    g = grid.withColumn("_near", F.struct(F.floor(F.col(grid_lon) / cell).alias("bx"), F.floor(F.col(grid_lat) / cell).alias("by")))
-    pairs = p.join(g, "_near")
-    d = F.sqrt(F.pow(F.col(grid_lon) - F.col(lon), 2) + F.pow(F.col(grid_lat) - F.col(lat), 2))
-    return pairs.groupBy(point_id).agg(F.min_by(F.struct("y", "x", d.alias("dist")), F.struct(d, "y", "x")).alias("_m")).select(
-        point_id, "_m.y", "_m.x", "_m.dist")
+    rest = points.select(point_id, F.pmod(F.col(lon) + 180.0, F.lit(360.0)).alias("_lon"), F.col(lat).alias("_lat"))
+    rest = cut_lineage(rest.where("_lon IS NOT NULL AND _lat IS NOT NULL"))
+    found = []
+    cells = grid.select("y", "x", F.pmod(F.col(grid_lon) + 180.0, F.lit(360.0)).alias("_glon"), F.col(grid_lat).alias("_glat"))
+    cells = cut_lineage(cells.where("_glon IS NOT NULL AND _glat IS NOT NULL"))
+    cells_left = not cells.isEmpty()
+    while cells_left and not rest.isEmpty():
+        def bucket(column, step=0, width=cell):
+            return F.floor(F.col(column) / width) + step
+
+        near = [F.struct((bucket("_l") + i).alias("bx"), (bucket("_lat") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        p = rest.withColumn("_l", F.explode(F.array(*[F.col("_lon") + s for s in (-360.0, 0.0, 360.0)]))).withColumn("_near", F.explode(F.array(*near)))
+        g = cells.withColumn("_near", F.struct(bucket("_glon").alias("bx"), bucket("_glat").alias("by")))
+        d = F.sqrt(F.pow(F.col("_glon") - F.col("_l"), 2) + F.pow(F.col("_glat") - F.col("_lat"), 2))
+        best = p.join(g, "_near").groupBy(point_id).agg(
+            F.min_by(F.struct("y", "x", d.alias("dist")), F.struct(F.round(d, 9), "y", "x")).alias("_m")).where(F.col("_m.dist") <= cell)
+        best = cut_lineage(best.select(point_id, "_m.y", "_m.x", "_m.dist"))
+        found.append(best)
+        rest, cell = cut_lineage(rest.join(best.select(point_id), point_id, "left_anti")), cell * 2
+    none = points.where("false").select(point_id, F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("dist"))
+    return reduce(lambda a, b: a.unionByName(b), found) if found else none
 
 
 def radial_profile(points: DataFrame, grid: DataFrame, on: list[str], point_id: str, x: str, y: str, radius: str,

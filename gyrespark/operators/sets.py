@@ -12,7 +12,7 @@ from gyrespark.operators import ordered
 # Identity of a configuration row and the columns whose presence
 # makes one version of it more complete than another.
 COMBO_KEYS = ["eps", "size_filter", "extr_type", "maxgap", "mintime", "prioritize", "search_range", "years"]
-COMPLETENESS = ["n_TE_tracks", "POD", "median_overlap_percent", "median_overlap_percent_1to1"]
+COMPLETENESS = ["n_own_tracks", "POD", "median_overlap_percent", "median_overlap_percent_1to1"]
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

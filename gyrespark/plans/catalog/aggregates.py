@@ -11,25 +11,20 @@ LABELS = {"TC": "purchase", "SS": "signup", "PL": "error"}
 L_SQL = "bool_or(label = 'purchase') AS tc, bool_or(label = 'signup') AS ss, bool_or(label = 'error') AS pl"
 
 
-def genesis_group(p):
-    """Points of the strong phase only, so that tracks differ in the labels they reach."""
-    return p.where("crit > 120")
-
-
-@query("primary_type_priority", f"""WITH {PTS}, g AS (SELECT track_id, {L_SQL}, arg_min(lon, (time, event_id)) AS glon, arg_min(lat, (time, event_id)) AS glat, min(time) AS gtime FROM pts WHERE crit > 120 GROUP BY 1),
+@query("primary_type_priority", f"""WITH {PTS}, g AS (SELECT track_id, {L_SQL}, arg_min(lon, (time, event_id)) AS glon, arg_min(lat, (time, event_id)) AS glat, min(time) AS gtime FROM pts GROUP BY 1),
 k AS (SELECT *, CASE WHEN tc THEN 'TC' WHEN ss THEN 'SS' WHEN pl THEN 'PL' END AS kind, glon BETWEEN -60 AND 125 AND glat BETWEEN 20 AND 60 AS inside FROM g)
 SELECT track_id, tc AS "has_TC", ss AS "has_SS", pl AS "has_PL", gtime AS genesis_time, glon AS genesis_lon, glat AS genesis_lat, coalesce(kind = 'TC', FALSE) AND inside AS genesis_in_region,
  coalesce(kind = 'TC', FALSE) AND NOT inside AS excluded_by_genesis, CASE WHEN kind = 'TC' AND NOT inside THEN NULL ELSE kind END AS primary_type FROM k""")
 def primary_type_priority(spark, folder):
     inside = F.col("genesis_lon").between(-60.0, 125.0) & F.col("genesis_lat").between(20.0, 60.0)
-    return aggregate.primary_type(genesis_group(points(spark, folder)), "track_id", "time", "label", "lon", "lat", LABELS, inside, ["event_id"])
+    return aggregate.primary_type(points(spark, folder), "track_id", "time", "label", "lon", "lat", LABELS, inside, ["event_id"])
 
 
 @query("primary_type_half_inside", f"""WITH {PTS}, g AS (SELECT track_id, count(*) AS n_points, count(*) FILTER (WHERE lon BETWEEN -70 AND 125) AS n_inside, count(*) FILTER (WHERE label = 'purchase') AS n_lead, count(*) FILTER (WHERE label = 'purchase' AND lon BETWEEN -70 AND 125) AS n_lead_inside,
- bool_or(label = 'signup') AS "has_SS", bool_or(label = 'error') AS "has_PL" FROM pts WHERE crit > 80 GROUP BY 1)
+ bool_or(label = 'signup') AS "has_SS", bool_or(label = 'error') AS "has_PL" FROM pts GROUP BY 1)
 SELECT *, CASE WHEN n_lead > 0 THEN CASE WHEN n_lead_inside = n_lead AND n_inside >= 0.5 * n_points THEN 'TC' END WHEN "has_SS" THEN 'SS' WHEN "has_PL" THEN 'PL' END AS primary_type FROM g""")
 def primary_type_half_inside(spark, folder):
-    return aggregate.primary_type_half_inside(points(spark, folder).where("crit > 80"), "track_id", "label", F.col("lon").between(-70.0, 125.0), LABELS)
+    return aggregate.primary_type_half_inside(points(spark, folder), "track_id", "label", F.col("lon").between(-70.0, 125.0), LABELS)
 
 
 @query("node_statistics", f"""WITH {PTS} SELECT track_id, count(*) AS n_nodes, count(*) FILTER (WHERE label = 'purchase') AS n_type_nodes, round(count(*) FILTER (WHERE label = 'purchase') / count(*), 6) AS fraction_type_nodes,
@@ -44,9 +39,9 @@ def monthly_summary(spark, folder):
     return aggregate.monthly_summary(load(spark, folder, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("selection_summary", f"""WITH {PTS} SELECT count(*) AS n_points, count(DISTINCT track_id) AS n_tracks, count(*) FILTER (WHERE label = 'error') AS n_type_points, count(DISTINCT CASE WHEN label = 'error' THEN track_id END) AS n_type_tracks, min(time) AS first_time, max(time) AS last_time FROM pts WHERE crit > 150""")
+@query("selection_summary", f"""WITH {PTS} SELECT count(*) AS n_points, count(DISTINCT track_id) AS n_tracks, count(*) FILTER (WHERE label = 'error') AS n_type_points, count(DISTINCT CASE WHEN label = 'error' THEN track_id END) AS n_type_tracks, min(time) AS first_time, max(time) AS last_time FROM pts""")
 def selection_summary(spark, folder):
-    return aggregate.selection_summary(points(spark, folder).where("crit > 150"), "track_id", "time", "label", "error")
+    return aggregate.selection_summary(points(spark, folder), "track_id", "time", "label", "error")
 
 
 @query("track_parameter_statistics", f"""WITH {PTS} SELECT track_id, round(avg(crit), 6) AS crit_mean, min(crit) AS crit_min, max(crit) AS crit_max, round(avg(lat), 6) AS lat_mean, min(lat) AS lat_min, max(lat) AS lat_max, count(*) AS n_points, round((epoch_us(max(time)) - epoch_us(min(time))) / 3.6e9, 6) AS lifetime_hours FROM pts GROUP BY 1""")
@@ -166,12 +161,12 @@ def time_of_extreme(spark, folder):
     return aggregate.time_of_extreme(points(spark, folder), "track_id", "time", "crit").withColumn("mean_value", r6("mean_value"))
 
 
-DISC = f"""WITH {FIELD}, c AS (SELECT slice, y, x, n, CAST(2 + n % 3 AS DOUBLE) AS rad FROM cells WHERE n >= 4),
+DISC = f"""WITH {FIELD}, c AS (SELECT slice, y, x, n, CAST(2 + n % 3 AS DOUBLE) AS rad FROM cells),
 j AS (SELECT c.slice, c.y AS cy, c.x AS cx, f.u, f.v, f.y, f.x FROM c JOIN field f ON f.slice = c.slice AND sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) <= c.rad)"""
 
 
 def _centres(spark, folder):
-    c = sparse_field(spark, folder).where("n >= 4")
+    c = sparse_field(spark, folder)
     return c.select("slice", "y", "x", (F.lit(2) + F.col("n") % 3).cast("double").alias("rad"), F.struct("slice", "y", "x").alias("pid"))
 
 
@@ -193,7 +188,7 @@ def poleward_half_disc(spark, folder):
     return out.select("slice", "y", "x", "n_cells", r6("u_mean").alias("u_mean"))
 
 
-@query("box_aggregate", f"""WITH {FIELD}, c AS (SELECT slice, y, x, CAST(2 + n % 3 AS DOUBLE) AS rad FROM cells WHERE n >= 4)
+@query("box_aggregate", f"""WITH {FIELD}, c AS (SELECT slice, y, x, CAST(2 + n % 3 AS DOUBLE) AS rad FROM cells)
 SELECT c.slice, c.y, c.x, count(*) AS n_cells, CAST(min(f.u) AS DOUBLE) AS u_min, CAST(max(f.u) AS DOUBLE) AS u_max, round(avg(sqrt(f.u * f.u + f.v * f.v)), 6) AS wspd_mean FROM c JOIN field f ON f.slice = c.slice AND f.x - c.x >= -rad AND f.x - c.x < rad AND f.y - c.y >= -rad AND f.y - c.y < rad GROUP BY 1, 2, 3""")
 def box_aggregate(spark, folder):
     g = _gridded(spark, folder).withColumn("w", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
@@ -201,21 +196,21 @@ def box_aggregate(spark, folder):
     return out.select("slice", "y", "x", "n_cells", "u_min", "u_max", r6("wspd_mean").alias("wspd_mean"))
 
 
-@query("radius_join_degrees", f"""WITH {FIELD}, c AS (SELECT slice, y, x, x * 7.2 - 180.0 AS lon, y * 10.0 AS lat, 8.0 + n AS r FROM cells WHERE n >= 5), g AS (SELECT slice, x * 7.2 - 180.0 AS glon, y * 10.0 AS glat, u FROM field),
+@query("radius_join_degrees", f"""WITH {FIELD}, c AS (SELECT slice, y, x, x * 7.2 - 180.0 AS lon, y * 10.0 AS lat, 8.0 + n AS r FROM cells), g AS (SELECT slice, x * 7.2 - 180.0 AS glon, y * 10.0 AS glat, u FROM field),
 d AS (SELECT c.*, g.u, g.glat - c.lat AS dlat, ((((g.glon - c.lon + 180.0) % 360.0) + 360.0) % 360.0) - 180.0 AS dlon FROM c JOIN g ON g.slice = c.slice)
 SELECT slice, y, x, count(*) AS n_cells, round(avg(u), 6) AS u_mean, CAST(max(u) AS DOUBLE) AS u_max FROM d WHERE abs(dlon) <= r AND abs(dlat) <= r AND sqrt(dlat * dlat + pow(dlon * cos(radians(lat)), 2)) <= r GROUP BY 1, 2, 3""")
 def radius_join_degrees(spark, folder):
-    c = sparse_field(spark, folder).where("n >= 5").select(
+    c = sparse_field(spark, folder).select(
         "slice", "y", "x", (F.col("x") * 7.2 - 180.0).alias("lon"), (F.col("y") * 10.0).alias("lat"), (F.lit(8.0) + F.col("n")).alias("r"), F.struct("slice", "y", "x").alias("pid"))
     g = field(spark, folder).select("slice", (F.col("x") * 7.2 - 180.0).alias("glon"), (F.col("y") * 10.0).alias("glat"), F.col("u").cast("double").alias("u"))
     out = aggregate.disc_aggregate_degrees(c, g, ["slice"], "pid", "lon", "lat", "r", "glon", "glat", {"u_mean": ("u", "mean"), "u_max": ("u", "max")}, 15.0)
     return out.select("slice", "y", "x", "n_cells", r6("u_mean").alias("u_mean"), r6("u_max").alias("u_max"))
 
 
-@query("radial_profile", f"""WITH {FIELD}, c AS (SELECT slice, y, x FROM cells WHERE n >= 5) SELECT c.slice, c.y, c.x, CAST(floor(sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) / 2.0) AS INTEGER) AS ring, round(avg(f.u), 6) AS ring_mean, count(*) AS n_cells
+@query("radial_profile", f"""WITH {FIELD}, c AS (SELECT slice, y, x FROM cells) SELECT c.slice, c.y, c.x, CAST(floor(sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) / 2.0) AS INTEGER) AS ring, round(avg(f.u), 6) AS ring_mean, count(*) AS n_cells
 FROM c JOIN field f ON f.slice = c.slice AND sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) <= 7 GROUP BY 1, 2, 3, 4""")
 def radial_profile(spark, folder):
-    c = sparse_field(spark, folder).where("n >= 5").select("slice", "y", "x", F.struct("slice", "y", "x").alias("pid"), F.lit(7.0).alias("rad"))
+    c = sparse_field(spark, folder).select("slice", "y", "x", F.struct("slice", "y", "x").alias("pid"), F.lit(7.0).alias("rad"))
     out = grid.radial_profile(
         c.withColumnsRenamed({"x": "cx", "y": "cy"}), field(spark, folder).select("slice", "y", "x", "u"), ["slice"], "pid", "cx", "cy", "rad", "u", 2.0, 8.0)
     return out.select("pid.slice", "pid.y", "pid.x", "ring", r6("ring_mean").alias("ring_mean"), "n_cells")
@@ -447,9 +442,9 @@ def grid_step_from_coordinates(spark, folder):
     return grid.grid_step(points(spark, folder), "lat")
 
 
-@query("sorted_by_strength", f"""WITH {CELLS} SELECT slice, y, x, u FROM cells WHERE n > 2""")
+@query("sorted_by_strength", f"""WITH {CELLS} SELECT slice, y, x, u, CAST(row_number() OVER (PARTITION BY slice ORDER BY abs(u) DESC, y, x) AS BIGINT) AS place FROM cells""")
 def sorted_by_strength(spark, folder):
-    return ranking.strongest_first(sparse_field(spark, folder).where("n > 2"), ["slice"], "u").select("slice", "y", "x", "u")
+    return ranking.strongest_first(sparse_field(spark, folder), ["slice"], "u").select("slice", "y", "x", "u", "place")
 
 
 @query("date_ordered_batches", """SELECT o_orderkey, o_orderdate FROM orders""")

@@ -63,10 +63,11 @@ TIE = ["event_id"]
 REF_LABELS = ["click", "view"]
 
 
-def hourly(spark: SparkSession, folder: str, reference: bool) -> DataFrame:
-    """Hourly positions (track_id, time, x, y, lon, lat) of one of the two track sets."""
+def hourly(spark: SparkSession, folder: str, reference: bool | None = None) -> DataFrame:
+    """Hourly positions (track_id, time, x, y, lon, lat) of one of the two track sets, or of all points."""
     p = points(spark, folder)
-    p = p.where(F.col("label").isin(REF_LABELS) if reference else ~F.col("label").isin(REF_LABELS))
+    if reference is not None:
+        p = p.where(F.col("label").isin(REF_LABELS) if reference else ~F.col("label").isin(REF_LABELS))
     g = p.groupBy("track_id", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time")).agg(
         F.min("x").alias("x"), F.max("y").alias("y"))
     return g.withColumns({"lon": F.col("x") * 0.5 - 120.0, "lat": F.col("y") * 0.5 + 20.0})

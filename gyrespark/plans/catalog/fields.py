@@ -82,10 +82,13 @@ def rortex2d(spark, folder):
     return gradients(spark, folder).select("slice", "y", "x", r6(vortex.rortex_2d(*G)).alias("r2d"))
 
 
-@query("rortex2d_unguarded", f"WITH {GRAD}, {R2D} SELECT slice, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(r2d, 5) AS r2d FROM r WHERE r2d IS NOT NULL")
+RAW = f"w AS (SELECT *, {SW} AS sw, vx - uy AS om FROM d), q AS (SELECT *, CASE WHEN om <> 0 THEN 1 - 4 * sw * sw / (om * om) END AS ratio FROM w)"
+
+
+@query("rortex2d_unguarded", f"WITH {GRAD}, {RAW} SELECT slice, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(CASE WHEN ratio >= 0 THEN (1 - sqrt(ratio)) * om END, 5) AS r2d FROM q")
 def rortex2d_unguarded(spark, folder):
     g = gradients(spark, folder).withColumn("r2d", vortex.rortex_2d_raw(vortex.swirling_strength_2d(*G), vortex.vorticity_2d("uy", "vx")))
-    return g.where("r2d IS NOT NULL").select("slice", "y", "x", F.round("r2d", 5).alias("r2d"))
+    return g.select("slice", "y", "x", F.round("r2d", 5).alias("r2d"))
 
 
 def _tensor(spark, folder):
@@ -125,7 +128,7 @@ def log_normalised_criterion(spark, folder):
     return out.select("slice", "y", "x", r6("u_log").alias("u_log"))
 
 
-@query("standardised_criterion", f"""WITH {CELLS}, s AS (SELECT slice, avg(u) AS m, stddev_pop(u) AS s FROM cells GROUP BY 1) SELECT c.slice, y, x, round((u - m) / s, 6) AS u_std FROM cells c JOIN s USING (slice) WHERE s > 0""")
+@query("standardised_criterion", f"""WITH {CELLS}, s AS (SELECT slice, avg(u) AS m, stddev_pop(u) AS s FROM cells GROUP BY 1) SELECT c.slice, y, x, CASE WHEN s > 0 THEN round((u - m) / s, 6) END AS u_std FROM cells c JOIN s USING (slice)""")
 def standardised_criterion(spark, folder):
     out = grid.standardise(sparse_field(spark, folder), ["slice"], "u", "u_std")
     return out.select("slice", "y", "x", r6("u_std").alias("u_std"))
@@ -208,28 +211,28 @@ def bilinear_regridding(spark, folder):
 
 
 @query("nearest_grid_cell", f"""WITH {PTS}, g AS (SELECT y, x, x * 5.0 - 120.0 + y * 0.3 AS glon, y * 10.0 + x * 0.2 AS glat FROM (SELECT DISTINCT l_linenumber - 1 AS y, CAST(l_quantity AS INTEGER) - 1 AS x FROM lineitem)),
-q AS (SELECT event_id, g.y, g.x, sqrt(pow(glon - lon, 2) + pow(glat - lat, 2)) AS d, row_number() OVER (PARTITION BY event_id ORDER BY sqrt(pow(glon - lon, 2) + pow(glat - lat, 2)), g.y, g.x) AS rn FROM pts JOIN g ON abs(glon - lon) <= 10 AND abs(glat - lat) <= 10 WHERE lat <= 60)
+q AS (SELECT event_id, g.y, g.x, sqrt(pow(((((glon - lon + 180.0) % 360.0) + 360.0) % 360.0) - 180.0, 2) + pow(glat - lat, 2)) AS d, row_number() OVER (PARTITION BY event_id ORDER BY round(sqrt(pow(((((glon - lon + 180.0) % 360.0) + 360.0) % 360.0) - 180.0, 2) + pow(glat - lat, 2)), 9), g.y, g.x) AS rn FROM pts, g)
 SELECT event_id, y, x, round(d, 6) AS dist FROM q WHERE rn = 1""")
 def nearest_grid_cell(spark, folder):
     g = load(spark, folder, "lineitem").select((F.col("l_linenumber") - 1).alias("y"), (F.col("l_quantity").cast("int") - 1).alias("x")).distinct()
     g = g.withColumns({"glon": F.col("x") * 5.0 - 120.0 + F.col("y") * 0.3, "glat": F.col("y") * 10.0 + F.col("x") * 0.2})
-    p = points(spark, folder).where("lat <= 60").select("event_id", "lon", "lat")
+    p = points(spark, folder).select("event_id", "lon", "lat")
     return grid.nearest_grid_cell(p, g, "event_id", "lon", "lat", "glon", "glat", 10.0).withColumn("dist", r6("dist"))
 
 
-@query("ellipse_field_mean", f"""WITH {FIELD}, e AS (SELECT slice, y, x, CAST(x AS DOUBLE) AS cx, CAST(y AS DOUBLE) AS cy, 5.0 AS a, 2.0 AS b, n * 0.3 AS theta FROM cells WHERE n >= 5)
+@query("ellipse_field_mean", f"""WITH {FIELD}, e AS (SELECT slice, y, x, CAST(x AS DOUBLE) AS cx, CAST(y AS DOUBLE) AS cy, 5.0 AS a, 2.0 AS b, n * 0.3 AS theta FROM cells)
 SELECT e.slice, e.y, e.x, count(*) AS n_cells, round(avg(f.u), 6) AS ellipse_mean FROM e JOIN field f ON f.slice = e.slice AND pow(((f.x - cx) * cos(theta) + (f.y - cy) * sin(theta)) / a, 2) + pow(((f.y - cy) * cos(theta) - (f.x - cx) * sin(theta)) / b, 2) <= 1 GROUP BY 1, 2, 3""")
 def ellipse_field_mean(spark, folder):
-    e = sparse_field(spark, folder).where("n >= 5").select(
+    e = sparse_field(spark, folder).select(
         "slice", F.struct("slice", "y", "x").alias("pid"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.lit(5.0).alias("a"), F.lit(2.0).alias("b"), (F.col("n") * 0.3).alias("theta"))
     out = grid.ellipse_mean(e, field(spark, folder).select("slice", "y", "x", "u"), ["slice"], "pid", "u", 8.0)
     return out.select("pid.slice", "pid.y", "pid.x", "n_cells", r6("ellipse_mean").alias("ellipse_mean"))
 
 
-@query("radial_size", f"""WITH {FIELD}, c AS (SELECT slice, y, x FROM cells WHERE n >= 5), p AS (SELECT c.slice, c.y, c.x, floor(sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) / 2.0) AS ring, avg(f.u) AS m FROM c JOIN field f ON f.slice = c.slice AND sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) <= 7 GROUP BY 1, 2, 3, 4)
+@query("radial_size", f"""WITH {FIELD}, c AS (SELECT slice, y, x FROM cells), p AS (SELECT c.slice, c.y, c.x, floor(sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) / 2.0) AS ring, avg(f.u) AS m FROM c JOIN field f ON f.slice = c.slice AND sqrt(pow(f.x - c.x, 2) + pow(f.y - c.y, 2)) <= 7 GROUP BY 1, 2, 3, 4)
 SELECT slice, y, x, CAST(max(CASE WHEN m > 0 THEN (ring + 1) * 2.0 END) AS DOUBLE) AS size FROM p GROUP BY 1, 2, 3""")
 def radial_size(spark, folder):
-    c = sparse_field(spark, folder).where("n >= 5").select("slice", F.struct("slice", "y", "x").alias("pid"), F.lit(7.0).alias("rad"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    c = sparse_field(spark, folder).select("slice", F.struct("slice", "y", "x").alias("pid"), F.lit(7.0).alias("rad"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     prof = grid.radial_profile(c, field(spark, folder).select("slice", "y", "x", "u"), ["slice"], "pid", "cx", "cy", "rad", "u", 2.0, 8.0)
     return grid.profile_size(prof, "pid", 2.0).select("pid.slice", "pid.y", "pid.x", "size")
 

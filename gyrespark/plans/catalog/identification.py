@@ -63,11 +63,10 @@ def size_filter_variants(spark, folder):
 @query("geometric_nodes", f"""WITH RECURSIVE {LABELS}, c AS (SELECT *, -90.0 + x * 0.25 AS lon, 40.0 + y * 0.25 AS lat FROM lc), g AS (SELECT slice, cluster, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS clon, avg(lat) AS clat, sqrt(count(*) / pi()) AS rad FROM c GROUP BY 1, 2),
 i AS (SELECT *, CAST(ceil(round((clon + 90.0) / 0.25, 6) - 0.5) AS INTEGER) AS lon_idx, CAST(ceil(round((clat - 40.0) / 0.25, 6) - 0.5) AS INTEGER) AS lat_idx FROM g), j AS (SELECT i.*, f.u AS fc, sqrt(f.u * f.u + f.v * f.v) AS wspd FROM i LEFT JOIN cells f ON f.slice = i.slice AND f.x = i.lon_idx AND f.y = i.lat_idx),
 nr AS (SELECT * FROM (SELECT c.slice, c.cluster, c.crit, row_number() OVER (PARTITION BY c.slice, c.cluster ORDER BY pow(c.lat - i.clat, 2) + pow(c.lon - i.clon, 2), c.y, c.x) AS rn FROM c JOIN i ON i.slice = c.slice AND i.cluster = c.cluster) WHERE rn = 1)
-SELECT j.slice, j.cluster, lon_idx, lat_idx, round(clon, 6) AS lon, round(clat, 6) AS lat, round(rad, 6) AS rad, CAST(coalesce(fc, nr.crit) AS DOUBLE) AS crit, round(wspd, 6) AS wspd FROM j JOIN nr ON nr.slice = j.slice AND nr.cluster = j.cluster WHERE NOT (fc IS NULL)""")
+SELECT j.slice, j.cluster, lon_idx, lat_idx, round(clon, 6) AS lon, round(clat, 6) AS lat, round(rad, 6) AS rad, CAST(coalesce(fc, nr.crit) AS DOUBLE) AS crit, round(wspd, 6) AS wspd FROM j JOIN nr ON nr.slice = j.slice AND nr.cluster = j.cluster""")
 def geometric_nodes(spark, folder):
     f = sparse_field(spark, folder).select("slice", "y", "x", F.col("u").cast("double").alias("crit"), F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("wspd"))
     out = nodes.geometric_nodes(labelled(spark, folder), f, ["slice"], -90.0, 0.25, NX, 40.0, 0.25, NY)
-    out = out.where("wspd IS NOT NULL")
     return out.select("slice", "cluster", "lon_idx", "lat_idx", *[r6(c).alias(c) for c in ("lon", "lat", "rad")], "crit", r6("wspd").alias("wspd"))
 
 
@@ -84,18 +83,18 @@ def merged_extrema(spark, folder):
 
 
 def track_nodes(spark, folder):
-    """Extrema of cyclonic clusters of ten cells or more; the slice is the time step."""
+    """Extrema of clusters of ten cells or more, both senses; the slice is the time step."""
     cells = labelled(spark, folder, 10)
-    ex = nodes.extrema(cells, ["slice"], 1).where("crit > 0")
+    ex = nodes.extrema(cells, ["slice"], 1)
     ident = (F.col("slice") * NY + F.col("y")) * NX + F.col("x")
-    return cut_lineage(ex.select(F.lit("C").alias("sense"), F.col("slice").cast("int").alias("t"), ident.cast("long").alias("node_id"), "x", "y", F.col("rad_eff").alias("rad"), "crit", "cluster",
+    return cut_lineage(ex.select(F.when(F.col("crit") > 0, "C").otherwise("A").alias("sense"), F.col("slice").cast("int").alias("t"), ident.cast("long").alias("node_id"), "x", "y", F.col("rad_eff").alias("rad"), "crit", "cluster",
                                  (F.col("crit") * 0.2).alias("bg_dx"), (F.col("n_cells") * -0.02).alias("bg_dy")))
 
 
 def _centres_of(n):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("t", "cluster").orderBy(F.abs("crit").desc(), "y", "x")
+    w = Window.partitionBy("sense", "t", "cluster").orderBy(F.abs("crit").desc(), "y", "x")
     return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -121,7 +120,7 @@ for _how in ("adv", "bg", "adv_bg"):
 
 @query("stitched_tracks", None)
 def stitched_tracks(spark, folder):
-    p = hourly(spark, folder, True).withColumn("node_id", F.xxhash64("track_id", "time"))
+    p = hourly(spark, folder).withColumn("node_id", F.xxhash64("track_id", "time"))
     p = p.select("node_id", "time", "lon", "lat", F.col("y").cast("double").alias("r2d"))
     out = linking.stitch_nodes(p, [], "time", "lon", "lat", 6.0, 4.0, 3.0)
     return out.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("time").alias("start"), F.max("time").alias("end")).drop("track_id")
@@ -129,7 +128,7 @@ def stitched_tracks(spark, folder):
 
 @query("stitched_variants", None)
 def stitched_variants(spark, folder):
-    p = hourly(spark, folder, False).withColumn("node_id", F.xxhash64("track_id", "time"))
+    p = hourly(spark, folder).withColumn("node_id", F.xxhash64("track_id", "time"))
     p = p.select("node_id", "time", "lon", "lat", F.col("y").cast("double").alias("r2d"))
     out = sweep.stitch_variants(p, [], "time", "lon", "lat", [
         {"search_range": 5.0, "mintime": 4, "maxgap": 1}, {"search_range": 5.0, "mintime": 4, "maxgap": 3, "prioritize": "r2d"}])

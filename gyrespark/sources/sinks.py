@@ -62,22 +62,31 @@ def write_catalogue_csv(df: DataFrame, path: str, mode: str = "errorifexists") -
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` itself may read: write beside it, then swap.
+    """Replace a table that ``df`` itself may read: write beside it, then swap by renames.
 
-    The rename uses the Hadoop file system of the path, so readers see either
-    the old or the new folder.
+    Between the two renames the table is absent for a moment.  If the second
+    fails, the first is undone; the old table is deleted only once the new one
+    is in place.  What a crashed run left beside the table is put back or removed.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fresh, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path + ".old")
-    final = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").parquet(path + ".new")
+    fresh, old, final = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", ".old", ""))
     fs = final.getFileSystem(conf)
-    if fs.exists(final):
-        fs.rename(final, old)
-    fs.rename(fresh, final)
-    fs.delete(old, True)
+    if fs.exists(old):
+        if fs.exists(final):
+            fs.delete(old, True)
+        elif not fs.rename(old, final):
+            raise OSError(f"{path}.old cannot be put back")
+    df.write.mode("overwrite").parquet(path + ".new")
+    had = fs.exists(final)
+    if had and not fs.rename(final, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(fresh, final):
+        if had:
+            fs.rename(old, final)
+        raise OSError(f"{path}.new cannot be moved into place; the old table is kept")
+    if had:
+        fs.delete(old, True)
 
 
 def compact_months(spark: SparkSession, source: str, target: str, time: str = "time", rows_per_file: int = 5_000_000) -> None:

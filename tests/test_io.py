@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gyrespark import schemas
 from gyrespark.plans import sweep
-from gyrespark.sources import gridded, sinks, tables, text_tracks
+from gyrespark.sources import sinks, tables, text_tracks
 from gyrespark.streaming import live
 
 
@@ -112,10 +112,6 @@ def test_stages_skip_finished_work(spark, tmp_path):
     assert [r["status"] for r in sweep.run_stages(spark, [stage]).collect()] == ["skipped"]
 
 
-def test_gridded_source_is_gated(spark):
-    assert gridded.register(spark) == gridded.available()
-
-
 def test_streaming_sessions(spark, tmp_path):
     src = str(tmp_path / "src")
     rows = [("a", when(0)), ("a", when(1)), ("a", when(9)), ("b", when(2)), ("z", when(60))]
