@@ -26,8 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrespark.llm.common import SPACES, texts, without, words_of
+from gyrespark.llm.common import SPACES, persisted, texts, without, words_of
 
+WORD = r"[^\x20\x09-\x0D]"
 FIT_DOCS = 10_000
 FEATURES = 1 << 16
 KEPT = 0.3      # in doubt a document stays
@@ -36,7 +37,10 @@ ROUNDS = 100
 PRIOR = 0.85          # first guess of the share of good documents
 GUESS = (0.2, 0.005)  # first guess of how often a heuristic calls a bad and a good document bad
 PULL = 0.02           # weight of these guesses, as a share of all documents
-PHRASES = r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|licensed under|sign in|log in|click here|subscribe to|skip to content"
+PHRASES = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "licensed under", "sign in", "log in",
+           "click here", "subscribe to", "skip to content"]
+SIGNS, BARS, LOUD, STOPS = "#*$%&|<>=_~^", "|", "!?", ".;:"
+PHRASED = 200  # words; longer documents are not searched for phrases
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -48,14 +52,21 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    def number_of(chars: str) -> Column:
-        return F.length(text) - F.length(without(text, chars))
-
     return {
+        # without the many characters that are not counted, which go in one pass
+        "_marks": F.regexp_replace(text, "[a-z \\n\\x{80}-\\x{10ffff}]+", ""),
         "_n": F.size(words), "_chars": F.length(without(text, SPACES)), "_distinct": F.size(F.array_distinct(words)),
-        "_upper": F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", "")), "_loud": number_of("!?"), "_signs": number_of("#*$%&|<>=_~^"), "_stops": number_of(".;:"),
         "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x)),
-        "_bars": number_of("|\u00bb\u2022"), "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)), "_phrase": F.lower(text).rlike(PHRASES)}
+        "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)),
+        "_phrase": F.when(F.size(words) < PHRASED, F.lower(text).rlike("|".join(PHRASES)))}
+
+
+def counts() -> dict[str, Column]:
+    """Numbers of the characters in ``_marks``."""
+    marks = F.col("_marks")
+    number = lambda chars: F.length(marks) - F.length(without(marks, chars))
+    return {"_upper": F.length(marks) - F.length(F.regexp_replace(marks, "[A-Z]+", "")), "_signs": number(SIGNS), "_bars": number(BARS),
+            "_loud": number(LOUD), "_stops": number(STOPS)}
 
 
 def votes() -> dict[str, Column]:
@@ -76,15 +87,15 @@ def votes() -> dict[str, Column]:
         "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 15)),
         "sentences": _vote((stops >= 0.02) & (stops <= 0.35), (n >= 30) & ((stops < 0.005) | (stops > 0.7))),
         "copied_lines": _vote((c("_lines") >= 3) & (copies == 0), copies > 0.3),
-        "phrases": F.when(c("_phrase"), F.when(n < 200, -1).otherwise(0)).otherwise(F.when(n >= 30, 1).otherwise(0)),
+        "phrases": F.when(c("_phrase"), -1).when(c("_phrase").isNotNull() & (n >= 30), 1).otherwise(0),
     }
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    """Add the words and the list of votes to (doc_id, text)."""
-    out = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumns(measures(F.col("text"), F.col("_w"), F.col("_l")))
-    return out.select("doc_id", "text", "_w", F.array(*[v.cast("int") for v in votes().values()]).alias("votes"))
+    """Add the list of votes to (doc_id, text)."""
+    out = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
+    out = out.withColumns(measures(F.col("text"), F.col("_w"), F.col("_l"))).withColumns(counts())
+    return out.select("doc_id", "text", F.array(*[v.cast("int") for v in votes().values()]).alias("votes"))
 
 
 def label_model(patterns: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -123,25 +134,30 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     _, _, good = label_model(np.array([r["votes"] for r in table]), n)
     key = F.concat_ws(",", F.col("votes").cast("array<string>"))
     known = F.create_map(*[F.lit(x) for r, g in zip(table, good.tolist()) for x in (",".join(map(str, r["votes"])), g)])
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
-    tokens = F.concat(F.transform(words_of(shape), lambda x: F.concat(F.lit("\t"), x)), words_of(F.lower("text")))
-    rows = rows.select("doc_id", "votes", F.element_at(known, key).alias("posterior"), (F.size("_w") > 0).alias("_any"),
-                       F.xxhash64("doc_id", "text").alias("_h"), tokens.alias("_tokens"))
-    counted = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_counts").transform(rows)
-    ready = Normalizer(p=2.0, inputCol="_counts", outputCol="features").transform(counted)
+    posterior = F.element_at(known, key).alias("posterior")
+    # runs of small letters, capitals and digits become one sign each
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-z]+", "\x01"), "[A-Z]+", "\x02"), "[0-9]+", "\x03")
+    tokens = F.concat(words_of(shape), words_of(F.lower("text")))
+    count = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_counts")
+    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="features")
+
+    def ready(frame: DataFrame) -> DataFrame:
+        return unit.transform(count.transform(frame.withColumn("_tokens", tokens)))
+
     share = min(1.0, fit_docs / n.sum())
-    sample = ready.where(F.shiftrightunsigned("_h", 34) < share * (1 << 30)).select("features", "posterior")
-    two = sample.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).union(
-        sample.select("features", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))).where("weight > 0")
-    two = two.persist()
-    if two.isEmpty():
-        two = ready.limit(1).select("features", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"))
+    sample = persisted(texts(docs, id_col, text_col).where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) < share * (1 << 30)))
+    if sample.isEmpty():
+        sample = texts(docs, id_col, text_col).limit(1)
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), p.alias("weight")) for y, p in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))]))
+    two = persisted(ready(with_votes(sample).select("text", posterior)).select("features", each.alias("_y")).select("features", "_y.*"))
+    two = two.where("weight > 0").persist()
     model = LogisticRegression(regParam=PENALTY, maxIter=100, standardization=False, weightCol="weight").fit(two)
     two.unpersist()
-    scored = model.transform(ready).select(
-        "doc_id", "votes", "posterior", F.when(F.col("_any"), vector_to_array("probability")[1]).otherwise(0.0).alias("score"))
-    return scored.withColumn("kept", F.col("score") >= KEPT)
+    scored = model.transform(ready(rows.select("doc_id", "text", "votes", posterior)))
+    score = F.when(F.col("text").rlike(WORD), vector_to_array("probability")[1]).otherwise(0.0)
+    return scored.select("doc_id", "votes", "posterior", score.alias("score"), (score >= KEPT).alias("kept"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return classify(docs)
+    """Scores and verdicts; votes and posteriors are not asked for, so they are not computed again."""
+    return classify(docs).select("doc_id", "score", "kept")
