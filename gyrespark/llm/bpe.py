@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrespark.llm import lexicon
-from gyrespark.llm.common import per_batch, persisted, texts
+from gyrespark.llm.common import give_back, persisted, slices, texts
 from gyrespark.session import checkpoint_dir
 
 LEXICON_WORDS = 200_000
+SLICE = 1 << 20         # bytes of text encoded at once
 LEAST_COUNT = 4         # rarer words are not compiled
 STEPS = 8               # classes of a count per doubling
-CACHE_WORDS = 300_000   # encoded words, and parts, a worker remembers before it forgets them
-COUNT_WORDS = 300_000   # distinct words a task counts before it hands them on
+CACHE_WORDS = 150_000   # encoded words, and parts, a worker remembers before it forgets them
+COUNT_WORDS = 200_000   # distinct words a task counts before it hands them on
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 CONTROLS = "\x1c\x1d\x1e\x1f"  # Python splits at these, the tokenizer does not
@@ -201,9 +202,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
     """(word, n) of the white-space words of all texts in lower case, pre-counted in the tasks."""
     def run(batches):
@@ -221,6 +219,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
                     if len(seen) > COUNT_WORDS:
                         yield flush()
         yield flush()
+        give_back()
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -257,15 +256,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     rows = texts(docs, id_col, text_col)
     name = frequent_lexicon(rows, path, lexicon_words) if lexicon_words else None
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        if (path, name) not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[path, name] = Encoder(path, SparkFiles.get(name) if name else None)
-        pairs = _ENCODERS[path, name].encode(part.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return per_batch(rows, f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary, decoded string", kernel)
+    def run(batches):
+        encoder = Encoder(path, SparkFiles.get(name) if name else None)  # its memory ends with the task
+        for part in slices(batches, 1, SLICE):
+            pairs = encoder.encode(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], ["doc_id", "ids", "decoded"])
+        del encoder
+        give_back()
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary, decoded string")
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -78,6 +80,13 @@ def per_batch(frame: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch],
     return frame.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle Python worker does not sit on it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def persisted(frame: DataFrame) -> DataFrame:
     """Write a frame that several jobs read to the shared folder."""
     return cut_lineage(frame)

@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from gyrespark.llm.blobs import bucket_bounds, expand, mix, pack, pack_sorted, squeeze, unpack, unpack_sorted
-from gyrespark.llm.common import parts_for
+from gyrespark.llm.common import give_back, parts_for
 
 LENGTH = 50
 GRAM = 16
@@ -236,6 +236,8 @@ def _asked_pieces(buckets: int, length: int):
         ends = bucket_bounds(np.array([k for k, _ in names], dtype=np.uint64), buckets, KEY_BITS)
         out = [(i, block, LEAST, squeeze(b"".join(pieces[a:b])), pack(size[a:b]), pack(least[a:b]))
                for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if a < b]
+        del found, names
+        give_back()
         # the block's own table of uses takes the way of one of its questions and comes back with the answer
         uses = [pack(x.astype(np.int64)) for x in (np.diff(row, prepend=0), first - np.r_[0, first[:-1]], number)]
         return _cells([*out, (block % buckets, block, USES, uses[2], pack(size), _joined(uses[0], uses[1]))] if len(use) else out, PIECES)
@@ -285,6 +287,8 @@ def _least_ids(length: int):
                 order, group = deep_shallow(text, start[some], length)
                 own = ids[some][order]
                 least[some[order]] = np.minimum.reduceat(own, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
+        del found, text, start, ids, lot
+        give_back()
         for r, number in zip(rows, numbers):
             n = strings[number]
             part = least[np.arange(int(n.sum())) + np.repeat(offset[number] - (np.cumsum(n) - n), n)]
