@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions.text import micros
+from gyrespark.session import cut_lineage
 
 CHUNK = "_chunk"
 _UNITS = {"hour": 3600, "day": 86400, "minute": 60, "second": 1}
@@ -122,6 +123,26 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk: Column,
     return out.drop(CHUNK, "_all", *[f"_v_{n}" for n in names], *[f"_p_{n}" for n in names])
 
 
+def sum_before(df: DataFrame, column: str, name: str, value: Column | None = None) -> DataFrame:
+    """Add the sum of ``value`` (default: 1 a row) over the rows before each in the order of a unique column.
+
+    Rows are range-partitioned and summed within their part; the offset of a
+    part is the total of those before it, of which there is one figure a part.
+    """
+    value = F.lit(1) if value is None else value
+    dealt = df.withColumn("_value", value.cast("long")).repartitionByRange(F.col(column))
+    dealt = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
+    totals = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.sum("_value").alias("n")).collect()}
+    if not totals:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    starts, before = {}, 0
+    for part in sorted(totals):
+        starts[part], before = before, before + totals[part]
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_part"))
+    inside = F.sum("_value").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn(name, (F.coalesce(inside, F.lit(0)) + start).cast("long")).drop("_value", "_part")
+
+
 def carry(df: DataFrame, by: list[str], order: list[str], values: list[str], chunk: Column,
           forward: bool = True, suffix: str | None = None, inclusive: bool = True) -> DataFrame:
     """Nearest earlier (``forward``) or later non-null value of each column.

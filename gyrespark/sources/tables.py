@@ -66,11 +66,7 @@ def read_manual_tracks(spark: SparkSession, path, schema=None) -> DataFrame:
 
 def with_file_ids(df: DataFrame, name: str = "track_id") -> DataFrame:
     """Number the source files in name order, from zero."""
-    from pyspark.sql import Window
-
-    files = df.select("source_file").distinct()  # one row per file
-    ids = files.withColumn(name, (F.row_number().over(Window.orderBy("source_file")) - 1).cast("long"))
-    return df.join(ids, "source_file")
+    return df.join(ordered.sum_before(df.select("source_file").distinct(), "source_file", name), "source_file")
 
 
 def resolve_track_columns(df: DataFrame, extra: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ file split.  No file is ever read whole by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrespark.operators import ordered
@@ -85,8 +85,7 @@ def read_tracks(spark: SparkSession, path, columns: list[tuple[str, str]] | None
     local = ordered.running(marked, ["file"], ["block", "line"], F.col("block"), sums={"_no": F.col("_s")})
     # one row per file: the id offset of a file is the number of tracks before it
     per_file = marked.groupBy("file").agg(F.sum("_s").alias("_t"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per_file.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    offset = ordered.sum_before(per_file, "file", "_o", F.col("_t")).drop("_t")
     points = local.where("_s = 0").join(offset, "file")
     cells = F.split(_stripped(), "\t")
     out = points.select((F.col("_o") + F.col("_no") - 1).alias("track_id"),
