@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gyrespark.llm.blobs import bucket_bounds, expand, mix, pack, pack_sorted, squeeze, unpack, unpack_sorted
 from gyrespark.llm.common import give_back, parts_for
@@ -330,13 +330,21 @@ def _marked(length: int, schema: pa.Schema):
                 kept = b"".join(text[a:b] for a, b in zip(np.r_[0, end].tolist(), np.r_[begin, len(text)].tolist()))
             for name, value in zip(out, (len(text), removed, spans, kept)):
                 out[name].append(value)
+        out["kept_text"] = [x.decode("utf-8", "ignore") for x in out["kept"]] if "kept_text" in schema.names else []
         columns = [left[c] if c in left.column_names else pa.array(out[c], schema.field(c).type) for c in schema.names]
-        return pa.table(columns, schema=schema)
+        done = pa.table(columns, schema=schema)
+        del texts, told, number, row, first, answers, out, columns
+        give_back()
+        return done
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``carry`` columns go along as struct ``row``."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None,
+                   as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``carry`` columns go along as struct ``row``.
+
+    ``as_text`` gives ``kept_text`` instead of the bytes ``kept``: characters cut in two by a removal go with it.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
@@ -358,19 +366,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = grouped(dealt).cogroup(grouped(shared)).applyInArrow(_asked_pieces(buckets, length), PIECES)
     least = to_buckets(pieces, _least_ids(length), ANSWER)
     fields = [f for f in dealt.schema.fields if f.name in ("doc_id", "row")]
-    schema = StructType([*fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    schema = StructType([*fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept_text", StringType()) if as_text else StructField("kept", BinaryType())])
     return grouped(dealt).cogroup(grouped(least)).applyInArrow(_marked(length, to_arrow_schema(schema)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated strings removed; characters cut in two by a removal go with it."""
-    def decode(batches):
-        for b in batches:
-            text = pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), text], ["row", "text"])
-
-    out = remove_repeats(docs, carry=docs.columns).select("row", "kept")
-    out = out.mapInArrow(decode, StructType([out.schema["row"], StructField("text", docs.schema["text"].dataType)]))
+    out = remove_repeats(docs, carry=docs.columns, as_text=True).select("row", F.col("kept_text").alias("text"))
     return out.select(*[F.when(F.col("row.text").isNotNull(), F.col("text")).alias(c) if c == "text"
                         else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
