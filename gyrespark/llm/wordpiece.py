@@ -3,7 +3,9 @@
 The vocabulary's pieces form one trie, pieces that go on a word under a second
 root.  Each node has a failure link to the node reached once the longest piece
 above it is popped, and the number of tokens popped on the way, so greedy
-longest-match counts need one step per character and never build a piece.
+longest-match counts need one step per character and never build a piece.  A
+vocabulary's bare word-start piece is popped at the first root, so a word that no
+longer piece begins is that piece and pieces that go on a word.
 
 Cases: a null or blank text has no words and no tokens; a word that cannot be
 covered counts as one unknown token; rows are counted one by one, so repeated
@@ -43,10 +45,19 @@ def read_pieces(path: str) -> tuple[list[str], list[str]]:
     return first, [p for p in plain if WORD_START not in p]
 
 
+def has_bare_start(path: str) -> bool:
+    """Whether the word-start mark is a piece by itself, so a word may go on right after it."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    i = model.piece_to_id(WORD_START)
+    return not model.is_unknown(i) and model.id_to_piece(i) == WORD_START
+
+
 class Automaton:
     """Trie with failure links and counts of popped tokens."""
 
-    def __init__(self, first: list[str], further: list[str]):
+    def __init__(self, first: list[str], further: list[str], bare: bool = False):
         step: list[dict[str, int]] = [{}, {}]
         ends = [False, False]
         order: list[tuple[int, str, int]] = []  # (parent, character, node), parents first
@@ -66,6 +77,8 @@ class Automaton:
             depth[node] = depth[parent] + 1
         order.sort(key=lambda x: depth[x[2]])
         fail, popped = [-1] * len(step), [0] * len(step)
+        if bare:
+            fail[ROOT], popped[ROOT] = GO_ON, 1
         for parent, c, node in order:
             if ends[node]:
                 fail[node], popped[node] = GO_ON, 1
@@ -99,7 +112,7 @@ class Automaton:
 
 @lru_cache(maxsize=2)
 def automaton(path: str) -> Automaton:
-    return Automaton(*read_pieces(path))
+    return Automaton(*read_pieces(path), has_bare_start(path))
 
 
 class _Counts(dict):

@@ -40,3 +40,25 @@ def test_texts(spark):
         want.append((i, len(counts), sum(abs(c) for c in counts), counts.count(-1)))
     assert sorted(map(str, (tuple(r) for r in wordpiece.op7(frame).collect()))) == sorted(map(str, want))
     assert wordpiece.op7(frame.limit(0)).count() == 0
+
+
+def test_words_that_only_the_bare_start_begins(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=wordpiece.vocabulary_path())
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    assert "▁" in pieces and "▁2" not in pieces
+
+    def longest(word):
+        n, rest = 0, "▁" + word
+        while rest:
+            end = next((e for e in range(len(rest), 0, -1) if rest[:e] in pieces), None)
+            if end is None:
+                return -1
+            n, rest = n + 1, rest[end:]
+        return n
+
+    words = ["2024", "ñandú", "日本語", "3.14", "word", "çà", "日☃", "\U0001f9ff", "x2", "2x"]
+    got = wordpiece.op7(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id bigint, text string")).collect()
+    assert {words[r.doc_id]: r.n_tokens if not r.n_unknown else -1 for r in got} == {w: longest(w) for w in words}
+    assert longest("2024") == 5
