@@ -54,14 +54,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of a frame (doc_id, text)."""
+    """(doc_id, fp) of a frame (doc_id, text); columns after these two go along."""
+    more = [(c, t) for c, t in docs.dtypes if c not in ("doc_id", "text")]
     id_type = dict(docs.dtypes)["doc_id"]
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         raw = pc.cast(part.column(1), pa.binary()).to_pylist()
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t, shingle, seed) for t in raw], pa.int64())], ["doc_id", "fp"])
+        prints = pa.array([fingerprint(t, shingle, seed) for t in raw], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]], ["doc_id", "fp", *(c for c, _ in more)])
 
-    return per_batch(docs, f"doc_id {id_type}, fp bigint", kernel)
+    return per_batch(docs, ", ".join([f"doc_id {id_type}, fp bigint", *(f"{c} {t}" for c, t in more)]), kernel)
 
 
 def _rotate(x: np.ndarray, bits) -> np.ndarray:
@@ -158,6 +160,12 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``prints``; one without links is its own root."""
+    group = connected(links(prints)).withColumnRenamed("node", "fp")
+    return prints.select("fp").join(group, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): fingerprint and smallest id reachable over links of 3 bits or fewer."""
     marked = persisted(fingerprints(texts(docs, id_col, text_col)))
@@ -171,13 +179,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest id of each near-duplicate group, each id once.
+    """One row of each near-duplicate group: the smallest id, nulls last, then the smallest hash of the text.
 
-    Rows without an id stay if a group consists of such rows only.
+    Rows are told apart by id and text, so rows of one id, or without an id, stay
+    if their texts are in different groups; of equal rows one stays.
     """
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    hashes = {"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)}  # 128 bits
+    marked = fingerprints(texts(docs).withColumns(hashes))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g")
+    prints = persisted(marked.groupBy("fp").agg(F.min(row).alias("least")))
+    least = prints.join(_roots(prints), "fp").groupBy("root").agg(F.min("least").alias("k"))
+    kept = least.select(F.col("k.doc_id").alias("_kept"), F.col("k._h").alias("_kh"), F.col("k._g").alias("_kg"))
+    rows = docs.withColumns(hashes)
+    same = rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows["_h"] == kept["_kh"]) & (rows["_g"] == kept["_kg"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h", "_g"]).drop("_h", "_g")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -99,3 +99,14 @@ def test_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (500, 501), (None, 5)], "a bigint, b bigint")
     got = {r.node: r.root for r in connected(links).collect()}
     assert got == {i: 0 for i in range(301)} | {500: 500, 501: 500}
+
+
+def test_one_of_each_decides_by_row(spark):
+    unlike = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    rows = [(None, t) for t in unlike[:5]] + [(None, unlike[0])]  # unlike texts without an id, one twice
+    rows += [(7, unlike[4]), (7, unlike[5]), (7, unlike[6]), (9, unlike[6]), (2, unlike[7]), (None, unlike[7])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = simhash.one_of_each(frame).collect()
+    assert frame.columns == simhash.one_of_each(frame).columns
+    want = [(None, t) for t in unlike[:4]] + [(7, t) for t in unlike[4:7]] + [(2, unlike[7])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
