@@ -19,6 +19,9 @@ empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -39,8 +42,8 @@ GUESS = (0.2, 0.005)  # first guess of how often a heuristic calls a bad and a g
 PULL = 0.02           # weight of these guesses, as a share of all documents
 PHRASES = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "licensed under", "sign in", "log in",
            "click here", "subscribe to", "skip to content"]
-SIGNS, BARS, LOUD, STOPS = "#*$%&|<>=_~^", "|", "!?", ".;:"
-PHRASED = 200  # words; longer documents are not searched for phrases
+SIGNS, BARS, LOUD, STOPS = "#*$%&|<>=_~^", "|\u00bb\u2022", "!?", ".;:"
+PHRASED = 200  # words; in longer documents a phrase does not speak against the text
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -54,19 +57,19 @@ def _vote(good: Column, bad: Column) -> Column:
 def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     return {
         # without the many characters that are not counted, which go in one pass
-        "_marks": F.regexp_replace(text, "[a-z \\n\\x{80}-\\x{10ffff}]+", ""),
+        "_marks": F.regexp_replace(text, "[a-z \\n\\x{80}-\\x{ba}\\x{bc}-\\x{2021}\\x{2023}-\\x{10ffff}]+", ""),
         "_n": F.size(words), "_chars": F.length(without(text, SPACES)), "_distinct": F.size(F.array_distinct(words)),
         "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x)),
         "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)),
-        "_phrase": F.when(F.size(words) < PHRASED, F.lower(text).rlike("|".join(PHRASES)))}
+        "_low": F.lower(text)}
 
 
 def counts() -> dict[str, Column]:
-    """Numbers of the characters in ``_marks``."""
+    """Numbers of the characters in ``_marks``, and whether ``_low`` has a phrase."""
     marks = F.col("_marks")
     number = lambda chars: F.length(marks) - F.length(without(marks, chars))
     return {"_upper": F.length(marks) - F.length(F.regexp_replace(marks, "[A-Z]+", "")), "_signs": number(SIGNS), "_bars": number(BARS),
-            "_loud": number(LOUD), "_stops": number(STOPS)}
+            "_loud": number(LOUD), "_stops": number(STOPS), "_phrase": reduce(or_, [F.contains(F.col("_low"), F.lit(p)) for p in PHRASES])}
 
 
 def votes() -> dict[str, Column]:
@@ -87,7 +90,7 @@ def votes() -> dict[str, Column]:
         "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 15)),
         "sentences": _vote((stops >= 0.02) & (stops <= 0.35), (n >= 30) & ((stops < 0.005) | (stops > 0.7))),
         "copied_lines": _vote((c("_lines") >= 3) & (copies == 0), copies > 0.3),
-        "phrases": F.when(c("_phrase"), -1).when(c("_phrase").isNotNull() & (n >= 30), 1).otherwise(0),
+        "phrases": F.when(c("_phrase"), F.when(n < PHRASED, -1).otherwise(0)).when(n >= 30, 1).otherwise(0),
     }
 
 

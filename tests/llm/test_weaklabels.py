@@ -43,3 +43,11 @@ def test_odd_rows(spark):
     full = weaklabels.classify(frame).collect()
     assert all(0 <= r.posterior <= 1 and set(r.votes) <= {-1, 0, 1} for r in full)
     assert weaklabels.op10(spark.createDataFrame([(1, None)], "doc_id bigint, text string")).first().kept is False
+
+
+def test_long_texts_and_all_menu_marks_vote(spark):
+    long = " ".join(f"Word{i} flows." for i in range(150))
+    rows = [(0, long), (1, long + " All rights reserved."), (2, "sign in " * 20 + "now"), (3, "Home » News » Sport » About » Help"), (4, "Home • News • Sport • About • Help")]
+    got = {r.doc_id: dict(zip(weaklabels.votes(), r.votes)) for r in weaklabels.with_votes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i]["phrases"] for i in range(3)] == [1, 0, -1]
+    assert [got[i]["bars"] for i in (0, 3, 4)] == [1, -1, -1]
