@@ -9,7 +9,7 @@ scorer over hashed words and word shapes is trained on the soft labels and then
 scores all documents, also where the heuristics abstain.
 
 Bound of the fit: about ``FIT_DOCS`` documents, chosen by a hash of id and text;
-votes and their counts cover all documents.
+votes and their counts cover all documents and are written once, beside the texts.
 
 Cases: a null text counts as empty; texts without words are not kept and have
 score 0.  Documents of equal votes have equal posteriors.  A null id is scored
@@ -19,6 +19,7 @@ empty one.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyrespark.llm.common import SPACES, persisted, texts, without, words_of
+from gyrespark.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]"
 FIT_DOCS = 10_000
@@ -128,7 +130,9 @@ def label_model(patterns: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tu
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, features: int = FEATURES) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of every row."""
-    rows = with_votes(texts(docs, id_col, text_col))
+    folder = f"{checkpoint_dir(docs.sparkSession)}/votes-{uuid.uuid4().hex}"
+    with_votes(texts(docs, id_col, text_col)).write.option("compression", "zstd").parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)  # counted, learned from and scored
     table = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     if not table:
         return rows.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
@@ -148,11 +152,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
         return unit.transform(count.transform(frame.withColumn("_tokens", tokens)))
 
     share = min(1.0, fit_docs / n.sum())
-    sample = persisted(texts(docs, id_col, text_col).where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) < share * (1 << 30)))
+    sample = persisted(rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) < share * (1 << 30)))
     if sample.isEmpty():
-        sample = texts(docs, id_col, text_col).limit(1)
+        sample = rows.limit(1)
     each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), p.alias("weight")) for y, p in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))]))
-    two = persisted(ready(with_votes(sample).select("text", posterior)).select("features", each.alias("_y")).select("features", "_y.*"))
+    two = persisted(ready(sample.select("text", posterior)).select("features", each.alias("_y")).select("features", "_y.*"))
     two = two.where("weight > 0").persist()
     model = LogisticRegression(regParam=PENALTY, maxIter=100, standardization=False, weightCol="weight").fit(two)
     two.unpersist()
@@ -162,5 +166,4 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """Scores and verdicts; votes and posteriors are not asked for, so they are not computed again."""
-    return classify(docs).select("doc_id", "score", "kept")
+    return classify(docs)

@@ -51,3 +51,12 @@ def test_long_texts_and_all_menu_marks_vote(spark):
     got = {r.doc_id: dict(zip(weaklabels.votes(), r.votes)) for r in weaklabels.with_votes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[i]["phrases"] for i in range(3)] == [1, 0, -1]
     assert [got[i]["bars"] for i in (0, 3, 4)] == [1, -1, -1]
+
+
+def test_registered_query_returns_the_full_result(spark):
+    from gyrespark.llm.queries import QUERIES
+
+    got = QUERIES["op10_weak_label_scorer"][0](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "votes", "posterior", "score", "kept"]
+    rows = got.collect()
+    assert len(rows[0].votes) == len(weaklabels.votes()) and all(0 <= r.posterior <= 1 for r in rows)
