@@ -13,8 +13,9 @@ calibration part of the learning rows; a text is flagged ``rejected`` if its
 score or its cross-entropy is worse than nearly all right calibration rows.
 
 Bound of the fit: ``FIT_CHARS`` characters in total, shared equally between the
-languages, chosen by a hash of id and text; so the model has at most ``FIT_CHARS
-* ORDER`` n-grams whatever the input.  Labels are taken to be few.
+languages, chosen by a hash of id and text, but ``LEAST_ROWS`` rows of every
+language at least; so the model has at most ``FIT_CHARS * ORDER`` n-grams, and
+those of these rows, whatever the input.  Labels are taken to be few.
 
 Cases: a null text, a text without letters, or a fit without any labelled row
 gives ``und`` with score 0, rejected.  Equal entropies go to the smaller label.
@@ -28,7 +29,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.llm.blobs import mix
@@ -36,6 +37,7 @@ from gyrespark.llm.common import id_class, per_batch, texts
 
 ORDER = 4
 FIT_CHARS = 1_000_000
+LEAST_ROWS = 5       # chosen of each language at least
 CALIBRATION = 5      # one chosen row of so many calibrates instead of fitting
 REJECTED = 0.005     # share of right calibration rows that a limit may reject
 UNKNOWN = "und"
@@ -229,15 +231,26 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
 
 
 def chosen_rows(rows: DataFrame, fit_chars: int) -> DataFrame:
-    """About ``fit_chars`` characters of labelled rows, an equal share for each language, with ``part`` for calibration."""
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
+    """About ``fit_chars`` characters of labelled rows, an equal share for each language, with ``part`` for calibration.
+
+    The ``LEAST_ROWS`` rows with letters that come first by hash are chosen in
+    every language, also where they exceed its share, and the first one always
+    fits, so no language with labelled text is lost.
+    """
+    step = 1 / float(1 << 24)
+    drawn = rows.withColumn("_bits", F.xxhash64("doc_id", "text")).withColumn("_unit", F.shiftrightunsigned("_bits", 40) * step)
+    sizes = drawn.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
     share = fit_chars / max(len(sizes), 1)
     if not sizes:
         return rows.where("false").withColumn("part", F.lit(0))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, share / max(r["n"] or 1, 1)))])
-    bits = F.xxhash64("doc_id", "text")
-    unit = F.shiftrightunsigned(bits, 40) / float(1 << 24)
-    return rows.where(unit < F.element_at(rate, F.col("lang"))).withColumn("part", F.pmod(bits, F.lit(CALIBRATION)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "_bits"))  # limited before it is dealt out
+    first = drawn.where(F.col("text").rlike(r"\p{L}")).select("lang", "_unit", "_bits").withColumn("_i", place).where(F.col("_i") <= LEAST_ROWS).collect()
+    least: dict[str, float] = defaultdict(float)
+    for r in first:
+        least[r["lang"]] = max(least[r["lang"]], r["_unit"] + step)
+    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(min(1.0, share / max(r["n"] or 1, 1)), least[r["lang"]]))])
+    part = F.when(F.col("_bits").isin([r["_bits"] for r in first if r["_i"] == 1]), 1).otherwise(F.pmod("_bits", F.lit(CALIBRATION)))
+    return drawn.where(F.col("_unit") < F.element_at(rate, F.col("lang"))).withColumn("part", part).drop("_bits", "_unit")
 
 
 def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

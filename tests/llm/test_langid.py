@@ -82,3 +82,16 @@ def test_odd_rows(spark):
     assert langid.op2(frame.limit(0)).count() == 0
     unlabelled = frame.withColumn("lang", frame["lang"].substr(100, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")
     assert {(r.lang_pred, r.score) for r in langid.op2(unlabelled).collect()} == {("und", 0.0)}
+
+
+def test_no_language_is_lost_by_the_bound(spark):
+    rng = random.Random(3)
+    rows = [(i, "the dog and the cat " * 20, "en") for i in range(40)]
+    rows += [(100 + i, " ".join("".join(rng.choice("кошкадм") for _ in range(6)) for _ in range(3000)), "ru") for i in range(6)]  # long against its share
+    rows += [(200 + i, "αβγ δεζ ηθι", f"g{i}") for i in range(20)]  # languages of one row
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labelled = frame.select("doc_id", "text", "lang")
+    fitted = Counter(r.lang for r in langid.chosen_rows(labelled, 200).where("part <> 0").collect())
+    assert set(fitted) == {r[2] for r in rows}
+    chosen = Counter(r.lang for r in langid.chosen_rows(labelled, 200).collect())
+    assert chosen["ru"] == langid.LEAST_ROWS and all(chosen[f"g{i}"] == 1 for i in range(20))
