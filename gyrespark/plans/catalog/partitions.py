@@ -119,22 +119,22 @@ def principal_components(spark, folder):
 
 @query("cluster_number_sweep", None)
 def cluster_number_sweep(spark, folder):
-    return climatology.sweep_clusters(_features(spark, folder), "vec_id", NAMES, [2, 3], "kmeans")
+    return climatology.sweep_clusters(_features(spark, folder), "vec_id", NAMES, list(range(2, 16)), "kmeans")
 
 
 @query("partition_stability", None)
 def partition_stability(spark, folder):
     f = _features(spark, folder)
-    s = clustering.stability(f, "vec_id", NAMES, "label", 10, runs=2)
-    c = clustering.classifiability(f, "vec_id", NAMES, 4, runs=3)
-    r = clustering.reproducibility(f, "vec_id", NAMES, 4, repeats=2, runs=2)
+    s = clustering.stability(f, "vec_id", NAMES, "label", 10)
+    c = clustering.classifiability(f, "vec_id", NAMES, 4)
+    r = clustering.reproducibility(f, "vec_id", NAMES, 4)
     return f.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(s).alias("stability"), F.lit(c).alias("classifiability"), F.lit(r).alias("reproducibility"))
 
 
 @query("partition_noise_level", None)
 def partition_noise_level(spark, folder):
     f = _features(spark, folder)
-    value, p = clustering.with_noise_level(clustering.classifiability, f, "vec_id", NAMES, 4, n_noise=2, runs=2)
+    value, p = clustering.with_noise_level(clustering.classifiability, f, "vec_id", NAMES, 4)
     return f.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(value).alias("classifiability"), F.lit(p).alias("p_value"))
 
 
