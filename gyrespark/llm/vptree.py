@@ -37,6 +37,7 @@ LEAF = 64
 QUERY_BLOCK = 4_096  # queries that walk a shard together
 SPARE = 4            # candidates kept beyond k until their exact scores are known
 SLACK = 1e-9         # on distances, for rounding
+ROUNDED = 2e-12      # on cosines, which are rounded to 12 digits; only widens the ball
 FACTOR = 1.0
 
 
@@ -142,7 +143,7 @@ class Best:
 
     def radius(self, rows: np.ndarray) -> np.ndarray:
         kth = self.cos[rows, self.k - 1]
-        return np.minimum(self.start[rows], np.where(np.isfinite(kth), apart(np.where(np.isfinite(kth), kth, 1.0)), np.inf))
+        return np.minimum(self.start[rows], np.where(np.isfinite(kth), apart(np.where(np.isfinite(kth), kth, 1.0) - ROUNDED), np.inf))
 
     def offer(self, rows: np.ndarray, cos: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray) -> None:
         cos = np.where(ids[None, :] == own[rows][:, None], -np.inf, np.round(cos, 12))  # equal vectors tie
@@ -226,7 +227,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, factor: float = FACTOR, id
                 cos = np.where(ids[members][None, :] == own[at][:, None], -np.inf, q[at] @ tree.points[members].T)
                 if len(members) > k:
                     kth = np.partition(cos, -k, axis=1)[:, -k]
-                    radius[at] = np.where(np.isfinite(kth), apart(np.where(np.isfinite(kth), kth, 1.0)), np.inf)
+                    radius[at] = np.where(np.isfinite(kth), apart(np.where(np.isfinite(kth), kth, 1.0) - ROUNDED), np.inf)
             for leaf, at in tree.reach(q, radius, factor):
                 for salt in range(salts.get(leaf, 0)):
                     yield pa.RecordBatch.from_arrays(

@@ -69,3 +69,10 @@ def test_small_tables(spark):
     assert vptree.op9(frame.where("vec_id = 7")).count() == 0
     tiny = spark.createDataFrame([(0, [1e-200, 0.0], 1), (1, [1e200, 1e200], 1)], SCHEMA)
     assert abs(vptree.op9(tiny).first().score - math.sqrt(0.5)) < 1e-12
+
+
+def test_radius_covers_rounded_cosines():
+    best = vptree.Best(1, 1, np.array([np.inf]))
+    near = 1 - 4e-13  # rounds to 1, though about 9e-7 away
+    best.offer(np.array([0]), np.array([[near]]), np.array([5]), np.array([0]), np.array([-1]))
+    assert best.radius(np.array([0]))[0] >= vptree.apart(np.array([near]))[0] > 1e-7
