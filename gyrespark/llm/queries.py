@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrespark.llm import bpe, fourrussians, interpolation, langid, mixing, quality, simhash, suffixes, turns, vptree, weaklabels, wordpiece
+from gyrespark.llm import bpe, combinations, fourrussians, interpolation, langid, mixing, quality, simhash, suffixes, turns, vptree, weaklabels, wordpiece
 from gyrespark.llm.common import load
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_wordpiece_counts": (lambda spark, d: wordpiece.op7(load(spark, d, "documents")), None),
     "op9_vantage_point_trees": (lambda spark, d: vptree.op9(load(spark, d, "embeddings")), vptree.SQL),
     "op10_weak_label_scorer": (lambda spark, d: weaklabels.op10(load(spark, d, "documents")), None),
+    "op11_token_combination_join": (lambda spark, d: combinations.op11(load(spark, d, "documents")), combinations.SQL),
     "op12_four_russians_negatives": (lambda spark, d: fourrussians.op12(load(spark, d, "embeddings")), fourrussians.SQL),
     "op13_checkpointed_turn_repair": (lambda spark, d: turns.op13(load(spark, d, "conversations")), turns.SQL),
 }
