@@ -95,6 +95,16 @@ def key_bits(tokens: float, spare: int) -> int:
     return int(min(64, max(24, np.ceil(np.log2(max(tokens, 2))) + spare)))
 
 
+def measured(frame: DataFrame) -> DataFrame:
+    """Persist a frame and forget the sizes its plan was estimated at.
+
+    A checkpoint keeps them, and every join multiplies them; after two chains of
+    contraction rounds they are numbers of many kilobytes each.
+    """
+    frame, spark = persisted(frame), frame.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(frame._jdf.toJavaRDD(), frame._jdf.schema()), spark)
+
+
 # ---- 1: documents that may have a partner
 
 def _ask(bits: int, buckets: int, id_type: str):
@@ -411,7 +421,7 @@ def links_between(sets: DataFrame, signs: DataFrame, pool: int = POOL) -> DataFr
     spark = sets.sparkSession
     signs = persisted(signs.distinct())
     lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    pools = connected(signs.join(lead, "sig").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    pools = measured(connected(signs.join(lead, "sig").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))))
     placed = persisted(sets.select("node", "n", "tokens").join(pools.withColumnRenamed("root", "pool"), "node"))
     weight = persisted(placed.groupBy("pool").agg(F.sum("n").alias("weight")))
     parts = parts_for(spark, placed.agg(F.sum("n")).first()[0] or 0, BLOCK_TOKENS)
@@ -434,7 +444,7 @@ def links_between(sets: DataFrame, signs: DataFrame, pool: int = POOL) -> DataFr
     for b in blocks[1:]:
         first = first.unionByName(b)
     links = persisted(links.unionByName(verified(first)))
-    label = connected(links).withColumnRenamed("root", "label")
+    label = measured(connected(links)).withColumnRenamed("root", "label")
     big = persisted(big.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     main = big.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("pool").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     big = big.join(main, "pool")
@@ -456,7 +466,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks, open_ones = with_candidates(docs)
     sets = distinct_sets(docs, open_ones)
     group = connected(links_between(sets, signature_rows(sets), pool))
-    keyed = group.join(sets.select("node", "s1", "s2"), "node").select("s1", "s2", "root")
+    keyed = measured(group.join(sets.select("node", "s1", "s2"), "node").select("s1", "s2", "root"))
     least = persisted(marks.groupBy("s1", "s2").agg(F.min("id").alias("least")))
     linked = least.join(keyed, ["s1", "s2"])
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("s1", "s2", "component_id")
