@@ -21,7 +21,7 @@ band only; each set is filed under its own band and the one below.
    its largest class are compared with all sets of the pool, block by block.
 
 Links join sets, not rows, so copies cost nothing.  Components come from random
-contraction.
+contraction, or from one task where there are at most ``FEW_LINKS`` links.
 
 Cases.  A null or blank text has the empty set and is its own component.  With
 fewer words than a shingle the whole sequence is the only token.  Texts of any
@@ -51,6 +51,7 @@ MANY = 65_535            # owner of a token that several documents of a block ha
 BUCKET_TOKENS = 2_000_000
 BLOCK_TOKENS = 500_000
 POOL = 2_000_000         # tokens verified by one task at once
+FEW_LINKS = 1_000_000    # links (16 MB) that one task joins; beyond them, rounds of joins
 ROUNDS = 3               # random blockings of a larger pool
 CLASS_BITS, MOST = 5, 4  # a class spans 5 doublings of the frequency; classes end at 4
 COMBINED_FROM = 60       # smallest size with combinations
@@ -105,6 +106,31 @@ def measured(frame: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(frame._jdf.toJavaRDD(), frame._jdf.schema()), spark)
 
 
+def _roots(batches):
+    """(node, root) of a link table that fits one task: hook to smaller roots, then jump, until nothing changes."""
+    pairs = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    nodes, index = np.unique(np.r_[a, b], return_inverse=True)
+    a, b, root = index[:len(a)], index[len(a):], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
+def grouped(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, root) as of :func:`connected`; up to ``few`` distinct links are joined by one task, more by contraction rounds."""
+    links = measured(links.where("a <> b").distinct())
+    if links.count() > few:
+        return measured(connected(links))
+    return measured(links.coalesce(1).mapInArrow(_roots, "node bigint, root bigint"))
+
+
 # ---- 1: documents that may have a partner
 
 def _ask(bits: int, buckets: int, id_type: str):
@@ -421,7 +447,7 @@ def links_between(sets: DataFrame, signs: DataFrame, pool: int = POOL) -> DataFr
     spark = sets.sparkSession
     signs = persisted(signs.distinct())
     lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    pools = measured(connected(signs.join(lead, "sig").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))))
+    pools = grouped(signs.join(lead, "sig").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
     placed = persisted(sets.select("node", "n", "tokens").join(pools.withColumnRenamed("root", "pool"), "node"))
     weight = persisted(placed.groupBy("pool").agg(F.sum("n").alias("weight")))
     parts = parts_for(spark, placed.agg(F.sum("n")).first()[0] or 0, BLOCK_TOKENS)
@@ -444,7 +470,7 @@ def links_between(sets: DataFrame, signs: DataFrame, pool: int = POOL) -> DataFr
     for b in blocks[1:]:
         first = first.unionByName(b)
     links = persisted(links.unionByName(verified(first)))
-    label = measured(connected(links)).withColumnRenamed("root", "label")
+    label = grouped(links).withColumnRenamed("root", "label")
     big = persisted(big.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     main = big.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("pool").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     big = big.join(main, "pool")
@@ -465,7 +491,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = texts(docs, id_col, text_col)
     marks, open_ones = with_candidates(docs)
     sets = distinct_sets(docs, open_ones)
-    group = connected(links_between(sets, signature_rows(sets), pool))
+    group = grouped(links_between(sets, signature_rows(sets), pool))
     keyed = measured(group.join(sets.select("node", "s1", "s2"), "node").select("s1", "s2", "root"))
     least = persisted(marks.groupBy("s1", "s2").agg(F.min("id").alias("least")))
     linked = least.join(keyed, ["s1", "s2"])

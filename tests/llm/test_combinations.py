@@ -113,3 +113,10 @@ def test_bitmaps_only_reject():
         both, a, b = (rng.integers(0, 2**64, int(rng.integers(1, 300)), dtype=np.uint64) for _ in range(3))
         differ = np.bitwise_count(jc.parity(np.r_[both, a]) ^ jc.parity(np.r_[both, b])).sum()
         assert differ <= len(a) + len(b)
+
+
+def test_groups_alike_at_both_sizes(spark):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(5, 5)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    assert sorted(map(tuple, jc.grouped(frame).collect())) == sorted(map(tuple, jc.grouped(frame, 10).collect()))
