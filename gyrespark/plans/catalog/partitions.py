@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gyrespark.operators import clustering, quality
+from gyrespark.operators import clustering, filters, quality
+from gyrespark.operators import partitions as many
 from gyrespark.plans import climatology
 from gyrespark.plans.catalog.base import load, query, r6
 
@@ -119,23 +120,29 @@ def principal_components(spark, folder):
 
 @query("cluster_number_sweep", None)
 def cluster_number_sweep(spark, folder):
-    return climatology.sweep_clusters(_features(spark, folder), "vec_id", NAMES, list(range(2, 16)), "kmeans")
+    return climatology.sweep_clusters(_features(spark, folder), "vec_id", NAMES, list(range(2, 16)), agreement=())
 
 
 @query("partition_stability", None)
 def partition_stability(spark, folder):
-    f = _features(spark, folder)
-    s = clustering.stability(f, "vec_id", NAMES, "label", 10)
-    c = clustering.classifiability(f, "vec_id", NAMES, 4)
-    r = clustering.reproducibility(f, "vec_id", NAMES, 4)
-    return f.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(s).alias("stability"), F.lit(c).alias("classifiability"), F.lit(r).alias("reproducibility"))
+    return many.partition_scores(_features(spark, folder), "vec_id", NAMES, [4], "label", ["stability", "classifiability", "reproducibility"], label_k=10)
 
 
 @query("partition_noise_level", None)
 def partition_noise_level(spark, folder):
-    f = _features(spark, folder)
-    value, p = clustering.with_noise_level(clustering.classifiability, f, "vec_id", NAMES, 4)
-    return f.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(value).alias("classifiability"), F.lit(p).alias("p_value"))
+    return many.partition_scores(_features(spark, folder), "vec_id", NAMES, [4], n_noise=50)
+
+
+@query("season_cluster_sweep", None)
+def season_cluster_sweep(spark, folder):
+    """Customers' largest orders, by season and number of clusters."""
+    from gyrespark.operators import aggregate
+
+    peaks = aggregate.peak_row(load(spark, folder, "orders"), "o_custkey", "o_orderdate", "o_totalprice", ["o_orderkey"], skip_first=False, tie=["o_orderkey"])
+    peaks = peaks.withColumns({"price": F.col("o_totalprice").cast("double"), "day": F.dayofyear("o_orderdate").cast("double"), "year": F.year("o_orderdate").cast("double")})
+    seasons = list(filters.SEASON_MONTHS)
+    rows = climatology.with_seasons(peaks, "o_orderdate", seasons)
+    return climatology.sweep_clusters(rows, "o_custkey", ["price", "day", "year"], [2, 3, 4, 5], season="season", seasons=seasons)
 
 
 @query("season_of_peaks", """WITH q AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM q WHERE rn = 1 AND month(o_orderdate) IN (7, 8, 9)""")
