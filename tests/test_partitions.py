@@ -142,3 +142,15 @@ def test_registered_over_full_repetitions(spark, monkeypatch):
     assert list(stable["metrics"]) == ["stability", "classifiability", "reproducibility"]
     assert (noise["runs"], noise["n_noise"]) == (20, 50)
     assert sweep["ks"] == list(range(2, 16)) and sweep["tries"] == 10
+
+
+def test_sweep_by_season(spark):
+    _, df = table(spark, 7, 90)
+    got = climatology.sweep_clusters(df, "id", FEATURES, [2, 3], season="season", seasons=["w", "s"], tries=2, agreement=()).collect()
+    value = {(r.season, r.k, r.metric): r.value for r in got}
+    assert len(value) == len(got) == 2 * 2 * 7
+    assert all(value[s, 3, "within_ss"] < value[s, 2, "within_ss"] for s in "ws")
+    scaled = clustering.scale(df, FEATURES)
+    n = df.where("season = 'w'").count()
+    total = scaled.where("season = 'w'").agg(*[(F.var_pop(f"{c}_z") * n).alias(c) for c in FEATURES]).first()
+    assert value["w", 2, "within_ss"] + value["w", 2, "between_ss"] == pytest.approx(sum(total))
