@@ -21,8 +21,8 @@ def write_tracks(tracks: DataFrame, path: str, time: str = "time", track: str =
 
 
 def write_per_track_csv(tracks: DataFrame, path: str, track: str = "track_id", mode: str = "errorifexists") -> None:
-    """One folder per track, for consumers that expect single files."""
-    tracks.write.mode(mode).option("header", True).partitionBy(track).csv(path)
+    """One folder with one file per track, for consumers that expect single files."""
+    tracks.repartition(track).sortWithinPartitions(track).write.mode(mode).option("header", True).partitionBy(track).csv(path)
 
 
 def publish(df: DataFrame, path: str, if_exists: str = "errorifexists", partition_by: list[str] | None = None) -> None:

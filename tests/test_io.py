@@ -151,3 +151,17 @@ def test_config_and_catalogue_output(spark, tmp_path):
     sinks.write_catalogue_csv(spark.createDataFrame([(1, when(3))], "TID long, ISOTIME timestamp_ntz"), out)
     back = spark.read.option("header", True).csv(out).collect()
     assert [(r["TID"], r["ISOTIME"]) for r in back] == [("1", "2020-01-01 03:00:00")]
+
+
+def test_tracks_written_by_month_and_one_file_a_track(spark, tmp_path):
+    rows = [(t, when(700 * t + h), float(h)) for t in range(4) for h in range(30)]
+    tracks = spark.createDataFrame(rows, "track_id long, time timestamp, x double").repartition(6)
+    sinks.write_tracks(tracks, str(tmp_path / "months"))
+    back = spark.read.parquet(str(tmp_path / "months"))
+    assert sorted((r.track_id, r.x) for r in back.collect()) == sorted((t, x) for t, _, x in rows)
+    # a track lies in the month of its first point
+    assert {(r.track_id, r.year, r.month) for r in back.collect()} == {(t, when(700 * t).year, when(700 * t).month) for t in range(4)}
+    sinks.write_per_track_csv(tracks, str(tmp_path / "single"))
+    files = [list((tmp_path / "single" / f"track_id={t}").glob("*.csv")) for t in range(4)]
+    assert [len(f) for f in files] == [1] * 4
+    assert sum(1 for _ in files[2][0].open()) == 31
