@@ -8,19 +8,22 @@ documents are split, the larger part gives the counts, and the tokens of the
 other, deleted part are the events whose likelihood the weights maximise.  The
 final scores use the counts of both parts.
 
-Texts are cut into blocks of a few megabytes, coded once and written to the
-shared folder.  Every block sends each distinct token and pair once, as a 64-bit
-hash in a sorted array with its counts, to a bucket that owns a range of the
-hashes; the bucket sums and answers each block in the order of its question.  So
-a frequent word costs one entry a block, and no task holds more than one bucket
-or one block.  The events are summed up in a table of (bucket, frequency,
-conditional frequency) classes with their means, whose size does not depend on
-the input; only this table reaches the driver.
+Texts are cut into blocks of 16 MB (a longer text is a block of its own and bounds
+a task's memory), coded once and written to the shared folder.  Every block sends
+each distinct token and pair once, as a 56-bit hash in a sorted array with its
+counts, to a bucket that owns a range of the hashes; the bucket sums and answers
+each block in the order of its question.  So a frequent word costs one entry a
+block, and no task holds more than one block or a few buckets.  The deleted texts
+have blocks of their own, so a block counts for one part only, and only they are
+told the counts of the larger part.  The events are summed up in a table of
+(bucket, frequency, conditional frequency) classes with their means, whose size
+does not depend on the input; only this table reaches the driver.
 
 Cases: a null text counts as empty and has the end token only; a null id is in
 training; without training tokens every token has probability one, without
 deleted events the weights are equal.  Repeated rows count repeatedly.  An empty
-table gives an empty one.
+table gives an empty one.  Only the id, the text and the role are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CLASSES = 64        # classes of a frequency's logarithm, and one for zero
 ROUNDS = 60
 LEAST_WEIGHT = 1e-4
 FIT, EVENTS, TEST = 0, 1, 2
+BLOCK_BYTES = 16 << 20  # text of a block: the longer, the more often its pairs repeat in it
+HASH_BITS = 56
 TOKENS_PER_BUCKET = 750_000
 BUCKETS_PER_TASK = 4  # several small ones even out what a task gets
 BLOCKS = "block bigint, kind int, ids array<{id}>, roles binary, lengths binary, tokens binary, words binary, n_tokens bigint"
@@ -52,7 +57,7 @@ def _blocks(batches):
     import xxhash
 
     part, made = TaskContext.get().partitionId(), 0
-    for rows in slices(batches, 1):
+    for rows in slices(batches, 1, BLOCK_BYTES):
         roles = rows.column(2).to_numpy()
         for kind in (0, 1):
             chosen = rows.filter(pa.array((roles == EVENTS) == bool(kind)))
@@ -65,7 +70,7 @@ def _blocks(batches):
                 for w in set(words).difference(code):
                     code[w] = len(code)
                 coded.append(np.fromiter(map(code.__getitem__, words + [b""]), dtype=np.uint32, count=len(words) + 1))
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in code], dtype=np.uint64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in code], dtype=np.uint64) >> np.uint64(64 - HASH_BITS)
             lengths = np.array([len(c) for c in coded], dtype=np.int64)
             tokens = np.concatenate(coded)
             yield pa.RecordBatch.from_arrays([
@@ -88,8 +93,8 @@ class _Block:
         self.before[self.starts] = 0
         pairs, self.pair = np.unique(self.before * len(words) + self.tokens, return_inverse=True)
         first, second = pairs // len(words), pairs % len(words)
-        one, none = np.uint64(1), ~np.uint64(1)
-        keys = np.r_[mix(words) | one, mix(mix(words[first]) + words[second] * np.uint64(0x9E3779B97F4A7C15)) & none]
+        one, none, shift = np.uint64(1), ~np.uint64(1), np.uint64(64 - HASH_BITS)
+        keys = np.r_[mix(words) >> shift | one, mix(mix(words[first]) + words[second] * np.uint64(0x9E3779B97F4A7C15)) >> shift & none]
         self.order = np.argsort(keys)
         self.keys, self.n_words = keys[self.order], len(words)
 
@@ -111,41 +116,45 @@ def _asker(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row)
-                fit, events = b.counts(FIT).astype(np.uint32), b.counts(EVENTS).astype(np.uint32)
-                ends = bucket_bounds(b.keys, buckets)
+                n = b.counts(EVENTS if row["kind"] else FIT).astype(np.uint32)
+                ends = bucket_bounds(b.keys, buckets, HASH_BITS)
                 used = np.flatnonzero(np.diff(ends))
                 cut = [slice(ends[i], ends[i + 1]) for i in used]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.int64()), pa.array([row["kind"]] * len(used), pa.int32()),
-                    pa.array([pack_sorted(b.keys[c]) for c in cut], pa.binary()), pa.array([pack(fit[c]) for c in cut], pa.binary()),
-                    pa.array([pack(events[c]) for c in cut], pa.binary()),
-                ], ["bucket", "block", "kind", "keys", "fit", "events"])
+                    pa.array([pack_sorted(b.keys[c]) for c in cut], pa.binary()), pa.array([pack(n[c]) for c in cut], pa.binary()),
+                ], ["bucket", "block", "kind", "keys", "n"])
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Sum the counts of one bucket and answer every block; one more row has the bucket's totals."""
     keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+    kinds = table["kind"].to_pylist()
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = [np.bincount(at, weights=np.concatenate([unpack(c, np.uint32) for c in table[name].to_pylist()]), minlength=len(every)).astype(np.int64)
-             for name in ("fit", "events")]
     ends = np.cumsum([0] + [len(k) for k in keys])
+    fit, both = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for i, (kind, cell) in enumerate(zip(kinds, table["n"].to_pylist())):
+        n, own = unpack(cell, np.uint32), at[ends[i]:ends[i + 1]]  # the keys of a block are distinct
+        both[own] += n
+        if not kind:
+            fit[own] += n
     words = (every & np.uint64(1)).astype(bool)
-    n, n_fit = int((total[0] + total[1])[words].sum()), int(total[0][words].sum())
-    v, v_fit = int(((total[0] + total[1]) > 0)[words].sum()), int((total[0] > 0)[words].sum())
+    totals = [int(both[words].sum()), int((both[words] > 0).sum()), int(fit[words].sum()), int((fit[words] > 0).sum())]
     none, size = [None], len(keys)
-    cells = [[pack(t[at[ends[i]:ends[i + 1]]].astype(np.uint32)) for i in range(size)] for t in total]
+    told = [pack(both[at[ends[i]:ends[i + 1]]].astype(np.uint32)) for i in range(size)]
+    told_fit = [pack(fit[at[ends[i]:ends[i + 1]]].astype(np.uint32)) if kinds[i] else None for i in range(size)]
     return pa.table({
-        "block": pa.array(table["block"].to_pylist() + none, pa.int64()), "kind": pa.array(table["kind"].to_pylist() + none, pa.int32()),
+        "block": pa.array(table["block"].to_pylist() + none, pa.int64()), "kind": pa.array(kinds + none, pa.int32()),
         "bucket": pa.array(table["bucket"].to_pylist() + none, pa.int32()),
-        "fit": pa.array(cells[0] + none, pa.binary()), "events": pa.array(cells[1] + none, pa.binary()),
-        "totals": pa.array([None] * size + [[n, v, n_fit, v_fit]], pa.list_(pa.int64()))})
+        "fit": pa.array(told_fit + none, pa.binary()), "n": pa.array(told + none, pa.binary()),
+        "totals": pa.array([None] * size + [totals], pa.list_(pa.int64()))})
 
 
-def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Counts for a block in key order: of the fitting part, of the deleted part."""
-    rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-    return tuple(np.concatenate([unpack(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("fit", "events"))
+def _answers(right: pa.Table, column: str) -> np.ndarray:
+    """Counts for a block in key order."""
+    rows = sorted(right.select(["bucket", column]).to_pylist(), key=lambda r: r["bucket"])
+    return np.concatenate([unpack(r[column], np.uint32) for r in rows]).astype(np.int64)
 
 
 def _context(n: np.ndarray) -> np.ndarray:
@@ -166,7 +175,7 @@ def _event_classes(n_fit: int):
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.float64() if c.startswith("sum") else pa.int64()) for c in names})
         b = _Block(left.to_pylist()[0])
-        t, c, p = b.spread(_answers(right)[0])
+        t, c, p = b.spread(_answers(right, "fit"))
         one, two = _frequencies(t, c, p, n_fit)
         key = (_context(c) * (CLASSES + 1) + classes(one)) * (CLASSES + 1) + classes(two)
         every, at = np.unique(key, return_inverse=True)
@@ -207,8 +216,7 @@ def _scorer(weights: np.ndarray, n: int, v: int, id_type: pa.DataType):
             return pa.table({c: pa.array([], t) for c, t in zip(names, [id_type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])})
         row = left.to_pylist()[0]
         b = _Block(row)
-        fit, events = _answers(right)
-        t, c, p = b.spread(fit + events)
+        t, c, p = b.spread(_answers(right, "n"))
         base = np.log10((t + 1) / (n + (v + 1)))
         one, two = _frequencies(t, c, p, n)
         w = weights[_context(c)]
@@ -232,22 +240,22 @@ def score_texts(docs: DataFrame, role, id_col: str = "doc_id", text_col: str = "
     n_tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = parts_for(spark, n_tokens, TOKENS_PER_BUCKET * BUCKETS_PER_TASK)
     buckets = parts * BUCKETS_PER_TASK
-    asked = blocks.mapInArrow(_asker(buckets), "bucket int, block bigint, kind int, keys binary, fit binary, events binary")
+    asked = blocks.mapInArrow(_asker(buckets), "bucket int, block bigint, kind int, keys binary, n binary")
     answers = persisted(asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(
-        _answer, "block bigint, kind int, bucket int, fit binary, events binary, totals array<bigint>"))
+        _answer, "block bigint, kind int, bucket int, fit binary, n binary, totals array<bigint>"))
     totals = answers.agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(4)]).first()
     n, v, n_fit, v_fit = (int(x or 0) for x in totals)
-    told = answers.where("block IS NOT NULL").select("block", "kind", "bucket", "fit", "events")
+    told = answers.where("block IS NOT NULL")
 
     def together(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
         return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
 
-    events = together(blocks.where("kind = 1"), told.where("kind = 1").drop("kind"), _event_classes(n_fit),
+    events = together(blocks.where("kind = 1"), told.where("kind = 1").select("block", "bucket", "fit"), _event_classes(n_fit),
                       "context bigint, one bigint, two bigint, n bigint, sum_one double, sum_two double")
     table = events.groupBy("context", "one", "two").agg(F.sum("n").alias("n"), F.sum("sum_one").alias("sum_one"), F.sum("sum_two").alias("sum_two")).toPandas()
     k = table["n"].to_numpy(dtype=float)
     weights = learn_weights(table["context"].to_numpy(), k, table["sum_one"].to_numpy() / k, table["sum_two"].to_numpy() / k, 1 / (v_fit + 1))
-    out = together(blocks, told.drop("kind"), _scorer(weights, n, v, pa.array([], blocks_id(rows)).type),
+    out = together(blocks, told.select("block", "bucket", "n"), _scorer(weights, n, v, pa.array([], blocks_id(rows)).type),
                    f"doc_id {id_sql}, role int, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
