@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions import geo
 from gyrespark.functions.aggregates import ratio
 from gyrespark.functions.text import hours_between
-from gyrespark.operators import joins, ordered, ranking
+from gyrespark.operators import joins, ordered, ranking, sequences
 
 # Thresholds of the catalogue match.
 MAX_DIST_KM = 200.0
@@ -189,6 +189,68 @@ def match_score(matches: DataFrame) -> DataFrame:
     return matches.withColumns({"time_score": share, "distance_score": near, "shift_score": 1.0 / (1.0 + shift / 12.0)})
 
 
+def best_composite_match(matches: DataFrame, max_km: float = 250.0, max_shift_hours: float = 6.0) -> DataFrame:
+    """The best partner of each reference track by a weighted score of its interval matches.
+
+    Shared time and nearness weigh 0.4 each, the agreement of starts and of ends
+    0.1 each; equal scores (to nine digits) go to the lower id.
+    """
+    def agrees(end: str) -> Column:
+        return 1.0 / (1.0 + F.abs(hours_between(f"own_{end}", f"ref_{end}")) / max_shift_hours)
+
+    share = F.col("n_common") / F.greatest("ref_points", "own_points")
+    near = 1.0 / (1.0 + F.col("avg_dist") / max_km)
+    scored = matches.withColumn("composite_score", 0.4 * share + 0.4 * near + 0.1 * agrees("start") + 0.1 * agrees("end"))
+    rest = [c for c in scored.columns if c != "id_ref"]
+    return ordered.best_row(scored, ["id_ref"], [-F.round("composite_score", 9), F.col("id_own")], rest)
+
+
+def _mean_cosine(steps: DataFrame) -> DataFrame:
+    """(id_ref, id_own, path_score) from pairs of step vectors; a step of no length counts as a right angle."""
+    size = F.sqrt((F.col("_ux") ** 2 + F.col("_uy") ** 2) * (F.col("_vx") ** 2 + F.col("_vy") ** 2))
+    cosine = F.when(size > 0, (F.col("_ux") * F.col("_vx") + F.col("_uy") * F.col("_vy")) / size).otherwise(F.lit(0.0))
+    mean = F.avg(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+    return steps.groupBy("id_ref", "id_own").agg(((mean + 1.0) / 2.0).alias("path_score"))
+
+
+def path_similarity(matches: DataFrame, ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str,
+                    x: str, y: str, length: int | None = None, chunk: Column | None = None) -> DataFrame:
+    """Add ``path_score``: mean cosine of the two tracks' steps, scaled to 0 to 1.
+
+    Without ``length`` the steps of tracks with equally many points (two at
+    least) are compared in turn; every other pair scores 0.5.  With it, both
+    tracks are cut to their common interval and resampled to that many
+    positions, so tracks of any length compare.
+    """
+    c = ordered.time_chunk(time) if chunk is None else chunk
+    keys = ["id_ref", "id_own"]
+    if length is None:
+        even = matches.where((F.col("ref_points") == F.col("own_points")) & (F.col("ref_points") > 1)).select(*keys)
+
+        def walk(points: DataFrame, track: str, key: str, name: str) -> DataFrame:
+            used = points.select(F.col(track).alias(key), time, x, y).join(even.select(key).distinct(), key, "left_semi")
+            wide = ordered.running(ordered.neighbours(used, [key], [time], [x, y], [1], c), [key], [time], c, number="_rn")
+            return wide.where(F.col(f"{x}_lead1").isNotNull() & F.col(f"{y}_lead1").isNotNull()).select(
+                key, "_rn", (F.col(f"{x}_lead1") - F.col(x)).cast("double").alias(f"_{name}x"),
+                (F.col(f"{y}_lead1") - F.col(y)).cast("double").alias(f"_{name}y"))
+
+        steps = even.join(walk(ref, ref_id, "id_ref", "u"), "id_ref").join(walk(own, own_id, "id_own", "v"), ["id_own", "_rn"])
+    else:
+        common = matches.select(*keys, F.greatest("ref_start", "own_start").alias("_lo"), F.least("ref_end", "own_end").alias("_hi"))
+
+        def cut(points: DataFrame, track: str, key: str, name: str) -> DataFrame:
+            inside = points.select(F.col(track).alias(key), time, x, y).join(common, key).where(F.col(time).between(F.col("_lo"), F.col("_hi")))
+            even = sequences.resample(inside.withColumn("_pair", F.struct(*keys)), "_pair", time, [x, y], length, c)
+            turn = Window.partitionBy("_pair").orderBy("step")  # length rows a pair
+            return even.select("_pair", "step", (F.lead(x).over(turn) - F.col(x)).alias(f"_{name}x"),
+                               (F.lead(y).over(turn) - F.col(y)).alias(f"_{name}y")).where(F.col("step") < length - 1)
+
+        steps = cut(ref, ref_id, "id_ref", "u").join(cut(own, own_id, "id_own", "v"), ["_pair", "step"]).select(
+            "_pair.*", "_ux", "_uy", "_vx", "_vy")
+    out = matches.join(_mean_cosine(steps), keys, "left")
+    return out.withColumn("path_score", F.coalesce("path_score", F.lit(0.5)))
+
+
 def reduced_mean_distance(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, lon: str, lat: str,
                           wanted: DataFrame | None = None) -> DataFrame:
     """Mean equal-time distance without points beyond mean + 2 sigma (population).

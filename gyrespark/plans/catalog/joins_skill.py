@@ -101,6 +101,50 @@ def interval_matches_scored(spark, folder):
     return out.select("id_ref", "id_own", "n_common", *[r6(c).alias(c) for c in ("avg_dist", "time_score", "distance_score", "shift_score")])
 
 
+COMPOSITE = f"""{PTS}, {HOURLY},
+g AS (SELECT r.track_id AS id_ref, o.track_id AS id_own, count(*) AS n_common, avg(sqrt(pow(r.x - o.x, 2) + pow(r.y - o.y, 2)) * 6.0) AS avg_dist FROM href r JOIN hown o ON r.time = o.time GROUP BY 1, 2),
+a AS (SELECT track_id, count(*) AS n, min(time) AS s, max(time) AS e FROM href GROUP BY 1), b AS (SELECT track_id, count(*) AS n, min(time) AS s, max(time) AS e FROM hown GROUP BY 1),
+scored AS (SELECT id_ref, id_own, n_common, avg_dist, a.n AS an, b.n AS bn, greatest(a.s, b.s) AS lo, least(a.e, b.e) AS hi,
+  0.4 * n_common / greatest(a.n, b.n) + 0.4 / (1 + avg_dist / 400) + 0.1 / (1 + abs(epoch_us(b.s) - epoch_us(a.s)) / 3.6e9 / 6) + 0.1 / (1 + abs(epoch_us(b.e) - epoch_us(a.e)) / 3.6e9 / 6) AS score
+  FROM g JOIN a ON a.track_id = id_ref JOIN b ON b.track_id = id_own WHERE avg_dist <= 400),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_ref ORDER BY round(score, 9) DESC, id_own) AS rn FROM scored) WHERE rn = 1)"""
+COSINE = """avg(CASE WHEN (u.dx * u.dx + u.dy * u.dy) * (v.dx * v.dx + v.dy * v.dy) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0,
+  (u.dx * v.dx + u.dy * v.dy) / sqrt((u.dx * u.dx + u.dy * u.dy) * (v.dx * v.dx + v.dy * v.dy)))) END)"""
+
+
+def _composite(spark, folder):
+    ref, own = hourly(spark, folder, True), hourly(spark, folder, False)
+    return ref, own, skill.interval_matches(ref, own, "track_id", "track_id", "time", "x", "y", 6.0, 400.0)
+
+
+@query("composite_best_partner", f"""WITH {COMPOSITE},
+u AS (SELECT track_id, row_number() OVER w AS k, CAST(lead(x) OVER w - x AS DOUBLE) AS dx, CAST(lead(y) OVER w - y AS DOUBLE) AS dy FROM href WINDOW w AS (PARTITION BY track_id ORDER BY time)),
+v AS (SELECT track_id, row_number() OVER w AS k, CAST(lead(x) OVER w - x AS DOUBLE) AS dx, CAST(lead(y) OVER w - y AS DOUBLE) AS dy FROM hown WINDOW w AS (PARTITION BY track_id ORDER BY time)),
+p AS (SELECT id_ref, {COSINE} AS c FROM best JOIN u ON u.track_id = id_ref JOIN v ON v.track_id = id_own AND v.k = u.k WHERE an = bn AND u.dx IS NOT NULL AND v.dx IS NOT NULL GROUP BY 1)
+SELECT id_ref, id_own, n_common, round(avg_dist, 6) AS avg_dist, round(score, 6) AS composite_score, round(coalesce((c + 1) / 2, 0.5), 6) AS path_score FROM best LEFT JOIN p USING (id_ref)""")
+def composite_best_partner(spark, folder):
+    ref, own, m = _composite(spark, folder)
+    out = skill.path_similarity(skill.best_composite_match(m, 400.0), ref, own, "track_id", "track_id", "time", "x", "y")
+    return out.select("id_ref", "id_own", "n_common", *[r6(c).alias(c) for c in ("avg_dist", "composite_score", "path_score")])
+
+
+@query("resampled_path_similarity", f"""WITH {COMPOSITE},
+rc AS (SELECT id_ref, id_own, x, y, row_number() OVER w AS k, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY id_ref, id_own) AS n
+  FROM scored JOIN href ON track_id = id_ref AND time BETWEEN lo AND hi WINDOW w AS (PARTITION BY id_ref, id_own ORDER BY time)),
+oc AS (SELECT id_ref, id_own, x, y, row_number() OVER w AS k, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY id_ref, id_own) AS n
+  FROM scored JOIN hown ON track_id = id_own AND time BETWEEN lo AND hi WINDOW w AS (PARTITION BY id_ref, id_own ORDER BY time)),
+st AS (SELECT unnest(range(0, 20)) AS s),
+ru AS (SELECT id_ref, id_own, s, x + coalesce(nx - x, 0) * (s * (n - 1) / 19.0 - (k - 1)) AS x, y + coalesce(ny - y, 0) * (s * (n - 1) / 19.0 - (k - 1)) AS y FROM rc JOIN st ON (s * (n - 1)) // 19 = k - 1),
+ou AS (SELECT id_ref, id_own, s, x + coalesce(nx - x, 0) * (s * (n - 1) / 19.0 - (k - 1)) AS x, y + coalesce(ny - y, 0) * (s * (n - 1) / 19.0 - (k - 1)) AS y FROM oc JOIN st ON (s * (n - 1)) // 19 = k - 1),
+u AS (SELECT id_ref, id_own, s, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM ru WINDOW w AS (PARTITION BY id_ref, id_own ORDER BY s)),
+v AS (SELECT id_ref, id_own, s, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM ou WINDOW w AS (PARTITION BY id_ref, id_own ORDER BY s))
+SELECT id_ref, id_own, n_common, round(({COSINE} + 1) / 2, 6) AS path_score FROM scored JOIN u USING (id_ref, id_own) JOIN v USING (id_ref, id_own, s) WHERE s < 19 GROUP BY 1, 2, 3""")
+def resampled_path_similarity(spark, folder):
+    ref, own, m = _composite(spark, folder)
+    out = skill.path_similarity(m, ref, own, "track_id", "track_id", "time", "x", "y", length=20)
+    return out.select("id_ref", "id_own", "n_common", r6("path_score").alias("path_score"))
+
+
 @query("best_partner_by_quality", f"""WITH {PTS}, {HOURLY},
 g AS (SELECT r.track_id AS id_ref, o.track_id AS id_own, count(*) AS n_common, avg(sqrt(pow(r.x - o.x, 2) + pow(r.y - o.y, 2))) AS d FROM href r JOIN hown o ON r.time = o.time GROUP BY 1, 2),
 q AS (SELECT *, row_number() OVER (PARTITION BY id_ref ORDER BY round(d / n_common, 9), id_own) AS rn FROM g WHERE n_common >= 3 AND d <= 120)
