@@ -27,6 +27,24 @@ from gyrespark.operators import joins, ordered, sequences
 from gyrespark.session import cut_lineage
 
 
+@dataclass(frozen=True)
+class ConeStep:
+    """What a track slower than ``below`` m/s may do: the largest change of direction
+    in degrees, and the sector around the expected position in which it is looked for
+    (``full``, ``three_quarters``: not straight back, ``half``: ahead, ``narrow``: within
+    half the largest change)."""
+
+    below: float
+    turn: float
+    sector: str
+
+
+# The material names the sectors but gives no table; this one is a choice.
+CONE = (ConeStep(5.0, 180.0, "full"), ConeStep(10.0, 135.0, "three_quarters"), ConeStep(20.0, 90.0, "half"),
+        ConeStep(30.0, 60.0, "narrow"), ConeStep(float("inf"), 45.0, "narrow"))
+SECTORS = {"full": 180.0, "three_quarters": 135.0, "half": 90.0}  # half-angle; straight back is 45 degrees wide on each side
+
+
 @dataclass(frozen=True)
 class LinkRule:
     """How tracks are continued.
@@ -37,8 +55,13 @@ class LinkRule:
     ``predictor``: ``none``, ``adv`` (repeat the last displacement), ``bg``
     (background wind for the first step, then ``adv``) or ``adv_bg`` (mean of both).
     ``metric``: ``index`` (cells, strict radius) or ``km`` (great circle, inclusive).
-    ``cone``: largest and smallest half-angle and the displacement at which the
-    smallest applies; only candidates inside are considered once a track moves.
+    ``cone``: speed classes, slowest first.  A track with a past is expected where
+    its last displacement leads (on the sphere in km, off the grid too), within that
+    displacement plus the scaled radius, both strict; candidates that turn too far
+    are left out, and with ``sectors`` those outside the class's sector around the
+    expected position.  A candidate at the last or the expected position has no
+    direction and passes.  ``step_s`` is the time of a step, ``cell_m`` the size of
+    a cell for speeds in the index metric.
     """
 
     policy: str = "points"
@@ -46,8 +69,10 @@ class LinkRule:
     metric: str = "index"
     hw_scale: float = 1.5
     min_points: int = 3
-    cone: tuple[float, float, float] | None = None
-    grow_with_speed: bool = False
+    cone: tuple[ConeStep, ...] | None = None
+    sectors: bool = True
+    step_s: float = 3600.0
+    cell_m: float = 27_750.0
 
 
 # Tracking variants by name.
@@ -56,9 +81,8 @@ RULES = {
     "local_extrema": LinkRule(policy="cluster"),
     "local_only": LinkRule(policy="points"),
     "local_2_phase": LinkRule(policy="points"),
-    "local_2_phase_cone": LinkRule(policy="points", predictor="adv", cone=(180.0, 45.0, 5.0)),
-    "local_2_phase_cone_km": LinkRule(policy="points", predictor="adv", metric="km", cone=(180.0, 45.0, 100.0),
-                                      grow_with_speed=True),
+    "local_2_phase_cone": LinkRule(policy="points", predictor="adv", cone=CONE),
+    "local_2_phase_cone_km": LinkRule(policy="points", predictor="adv", metric="km", cone=CONE, sectors=False),
     "global_only_km": LinkRule(policy="centres", metric="km"),
     "local_extrema_km": LinkRule(policy="cluster", metric="km"),
     "local_only_km": LinkRule(policy="points", metric="km"),
@@ -111,7 +135,9 @@ def _predict(ends: DataFrame, rule: LinkRule, shape: tuple[int, int]) -> DataFra
     size = {"x": nx, "y": ny}
     moved = {k: clamp(2 * F.col(k) - F.col(f"_prev_{k}"), size[k]) for k in "xy"}
     known = F.col("_prev_x").isNotNull()
-    if rule.predictor == "none":
+    if rule.cone is not None:  # not held to the grid
+        pos = {k: F.when(known, 2.0 * F.col(k) - F.col(f"_prev_{k}")).otherwise(stay[k]) for k in "xy"}
+    elif rule.predictor == "none":
         pos = stay
     elif rule.predictor == "adv":
         pos = {k: F.when(known, moved[k]).otherwise(stay[k]) for k in "xy"}
@@ -137,11 +163,16 @@ def _edges(ends: DataFrame, nodes: DataFrame, by: list[str], rule: LinkRule, sha
         b = b.withColumn("_blon", F.lit(lon0) + F.col("_bx") * dlon).withColumn("_blat", F.lit(lat0) + F.col("_by") * dlat)
         own_lat = F.lit(lat0) + F.col("_ay") * dlat
         radius = geo.radius_cells_to_km("_ra", own_lat, abs(dlon), abs(dlat))
-        speed_km = geo.haversine_km(F.lit(lon0) + F.col("_prev_x") * dlon, F.lit(lat0) + F.col("_prev_y") * dlat,
-                                    F.lit(lon0) + F.col("_ax") * dlon, own_lat)
         limit = rule.hw_scale * radius
-        if rule.grow_with_speed:
-            limit = F.coalesce(speed_km, F.lit(0.0)) + limit
+        if rule.cone is not None:
+            last, past = (F.lit(lon0) + F.col("_ax") * dlon, own_lat), (F.lit(lon0) + F.col("_prev_x") * dlon, F.lit(lat0) + F.col("_prev_y") * dlat)
+            moved = F.coalesce(geo.haversine_km(*past, *last), F.lit(0.0))
+            a = a.withColumns({"_moved": moved, "_heading": geo.bearing_deg(*past, *last), "_alon": last[0], "_alat": last[1]})
+            lon, lat = geo.destination("_alon", "_alat", "_moved", "_heading")
+            goes = F.col("_moved") > 0
+            a = a.withColumns({"_plon": F.when(goes, lon).otherwise(F.col("_plon")), "_plat": F.when(goes, lat).otherwise(F.col("_plat")),
+                               "_speed": F.col("_moved") * 1000.0 / rule.step_s})
+            limit = F.col("_moved") + limit
         a = cut_lineage(a.withColumn("_limit", limit))
         # buckets are as wide as the largest radius of this round
         widest = a.agg(F.max("_limit").alias("m")).first()["m"] or 1.0
@@ -149,10 +180,19 @@ def _edges(ends: DataFrame, nodes: DataFrame, by: list[str], rule: LinkRule, sha
         a = a.withColumn("_cell", F.explode(joins._band_cells("_plon", "_plat", band)["_cells"]))
         b = b.withColumn("_cell", joins._band_cell("_blon", "_blat", band))
         pairs = a.join(b, [*by, "t", "_cell"]).withColumn("_d", geo.haversine_km("_plon", "_plat", "_blon", "_blat"))
-        pairs = pairs.where(F.col("_d") <= F.col("_limit"))
+        pairs = pairs.where(F.col("_d") <= F.col("_limit") if rule.cone is None else F.col("_d") < F.col("_limit"))
+        if rule.cone is not None:
+            pairs = pairs.withColumns({
+                "_turn": _between(geo.bearing_deg("_alon", "_alat", "_blon", "_blat"), F.col("_heading")),
+                "_aside": _between(geo.bearing_deg("_plon", "_plat", "_blon", "_blat"), F.col("_heading")),
+                "_still": geo.haversine_km("_alon", "_alat", "_blon", "_blat") == 0, "_met": F.col("_d") == 0})
     else:
         cell = max(1.0, float(reach))
         limit = rule.hw_scale * F.col("_ra")
+        if rule.cone is not None:
+            a = a.withColumn("_moved", F.coalesce(geo.euclid("_prev_x", "_prev_y", "_ax", "_ay"), F.lit(0.0)))
+            a = a.withColumns({"_heading": _heading("_prev_x", "_prev_y", "_ax", "_ay"), "_speed": F.col("_moved") * rule.cell_m / rule.step_s})
+            limit = F.col("_moved") + limit
         a = a.withColumn("_limit", limit)
         for k in "xy":
             a = a.withColumn(f"_g{k}", F.explode(F.sequence(F.floor((F.col(f"_p{k}") - F.col("_limit")) / cell),
@@ -160,23 +200,42 @@ def _edges(ends: DataFrame, nodes: DataFrame, by: list[str], rule: LinkRule, sha
             b = b.withColumn(f"_g{k}", F.floor(F.col(f"_b{k}") / F.lit(cell)))
         pairs = a.join(b, [*by, "t", "_gx", "_gy"]).withColumn("_d", geo.euclid("_px", "_py", "_bx", "_by"))
         pairs = pairs.where(F.col("_d") < F.col("_limit"))
+        if rule.cone is not None:
+            pairs = pairs.withColumns({
+                "_turn": _between(_heading("_ax", "_ay", "_bx", "_by"), F.col("_heading")),
+                "_aside": _between(_heading("_px", "_py", "_bx", "_by"), F.col("_heading")),
+                "_still": (F.col("_ax") == F.col("_bx")) & (F.col("_ay") == F.col("_by")), "_met": F.col("_d") == 0})
     if rule.cone is not None:
-        pairs = pairs.where(_inside_cone(rule.cone))
+        pairs = pairs.where(_inside_cone(rule))
     item = F.struct(*by, "t", F.col("cluster").cast("long").alias("k")) if rule.policy == "cluster" else F.struct(
         *by, "t", F.col("b").alias("k"))
     return pairs.select("a", item.alias("item"), "b", F.struct("_d", (-F.col("_cb")).alias("c"), "b").alias("pref"),
                         F.struct((-F.col("_ca")).alias("c"), "a").alias("prio"))
 
 
-def _inside_cone(cone: tuple[float, float, float]) -> Column:
-    """Turning angle within a half-angle that narrows with displacement."""
-    wide, narrow, fast = cone
-    mx, my = F.col("_ax") - F.col("_prev_x"), F.col("_ay") - F.col("_prev_y")
-    cx, cy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
-    turn = F.abs(F.degrees(F.atan2((mx * cy - my * cx).cast("double"), (mx * cx + my * cy).cast("double"))))
-    share = F.least(F.sqrt((mx * mx + my * my).cast("double")) / fast, F.lit(1.0))
-    still = ((mx == 0) & (my == 0)) | ((cx == 0) & (cy == 0))
-    return mx.isNull() | still | (turn <= wide + (narrow - wide) * share)
+def _heading(x1, y1, x2, y2) -> Column:
+    """Direction from the first to the second cell in degrees, clockwise from the second axis."""
+    return F.degrees(F.atan2((F.col(x2) - F.col(x1)).cast("double"), (F.col(y2) - F.col(y1)).cast("double")))
+
+
+def _between(a: Column, b: Column) -> Column:
+    """Angle between two directions, 0 to 180 degrees."""
+    apart = F.pmod(a - b, F.lit(360.0))
+    return F.least(apart, 360.0 - apart)
+
+
+def _inside_cone(rule: LinkRule) -> Column:
+    """Candidates the speed class of a moving track allows (to a billionth of a degree)."""
+    inside = F.lit(None).cast("boolean")
+    for step in reversed(rule.cone):
+        ok = F.col("_still") | (F.round("_turn", 9) <= step.turn)
+        if rule.sectors and step.sector != "full":
+            wide = SECTORS.get(step.sector, step.turn / 2)
+            # straight back is left out with its edge, the other sectors keep theirs
+            within = F.round("_aside", 9) < wide if step.sector == "three_quarters" else F.round("_aside", 9) <= wide
+            ok = ok & (F.col("_met") | within)
+        inside = F.when(F.col("_speed") < step.below, ok).otherwise(inside)
+    return (F.col("_moved") == 0) | F.coalesce(inside, F.lit(False))
 
 
 def link_nodes(nodes: DataFrame, by: list[str], rule: LinkRule | str = "local_2_phase",

@@ -82,15 +82,22 @@ def merged_extrema(spark, folder):
     return nodes.merge_close_extrema(nodes.extrema(labelled(spark, folder), ["slice"], 1), ["slice"], 3.0).select("slice", "y", "x", "crit")
 
 
-def track_nodes(spark, folder, reestimate=False):
-    """Extrema of clusters of ten cells or more, both senses; the slice is the time step."""
+def track_nodes(spark, folder, reestimate=False, wind=False):
+    """Extrema of clusters of ten cells or more, both senses; the slice is the time step, an hour long.
+
+    With ``wind`` each node has the mean wind of the cells around it as a shift.
+    """
     cells = cut_lineage(labelled(spark, folder, 10)) if reestimate else labelled(spark, folder, 10)
     ex = nodes.extrema(cells, ["slice"], 1)
     if reestimate:
         ex = nodes.reestimate_radii(ex, cells, ["slice"])
     ident = (F.col("slice") * NY + F.col("y")) * NX + F.col("x")
-    return cut_lineage(ex.select(F.when(F.col("crit") > 0, "C").otherwise("A").alias("sense"), F.col("slice").cast("int").alias("t"), ident.cast("long").alias("node_id"), "x", "y", F.col("rad_eff").alias("rad"), "crit", "cluster",
-                                 (F.col("crit") * 0.2).alias("bg_dx"), (F.col("n_cells") * -0.02).alias("bg_dy")))
+    out = ex.select(F.when(F.col("crit") > 0, "C").otherwise("A").alias("sense"), F.col("slice").cast("int").alias("t"), ident.cast("long").alias("node_id"),
+                    "x", "y", F.col("rad_eff").alias("rad"), "crit", "cluster")
+    if wind:
+        field = sparse_field(spark, folder).select(F.col("slice").cast("int").alias("t"), "x", "y", "u", "v")
+        out = linking.background_shift(out, field, ["t"], 3600.0, 27_750.0)
+    return cut_lineage(out)
 
 
 def _centres_of(n):
@@ -101,8 +108,8 @@ def _centres_of(n):
 
 
 def _tracks(spark, folder, rule, axes=None, reestimate=False):
-    n = track_nodes(spark, folder, reestimate)
     chosen = linking.RULES[rule] if isinstance(rule, str) else rule
+    n = track_nodes(spark, folder, reestimate, chosen.predictor in ("bg", "adv_bg"))
     centres = _centres_of(n) if chosen.policy == "cluster" else None
     if chosen.policy == "centres":
         n = _centres_of(n)
@@ -112,11 +119,12 @@ def _tracks(spark, folder, rule, axes=None, reestimate=False):
 
 AXES = (-90.0, 0.25, 40.0, 0.25)
 
-for _rule in ("global_only", "local_extrema", "local_only", "local_2_phase_cone"):
+for _rule in ("global_only", "local_extrema", "local_only"):
     query(f"tracks_{_rule}", None)(lambda spark, folder, _r=_rule: _tracks(spark, folder, _r))
-query("tracks_local_2_phase", None)(lambda spark, folder: _tracks(spark, folder, "local_2_phase", None, True))
+for _rule in ("local_2_phase", "local_2_phase_cone"):  # the second phase links with re-estimated radii
+    query(f"tracks_{_rule}", None)(lambda spark, folder, _r=_rule: _tracks(spark, folder, _r, None, True))
 for _rule in ("global_only_km", "local_extrema_km", "local_only_km", "local_2_phase_km", "local_2_phase_cone_km"):
-    query(f"tracks_{_rule}", None)(lambda spark, folder, _r=_rule: _tracks(spark, folder, _r, AXES))
+    query(f"tracks_{_rule}", None)(lambda spark, folder, _r=_rule: _tracks(spark, folder, _r, AXES, "2_phase" in _r))
 for _how in ("adv", "bg", "adv_bg"):
     query(f"tracks_predicted_{_how}", None)(lambda spark, folder, _h=_how: _tracks(spark, folder, linking.LinkRule(predictor=_h)))
 

@@ -135,6 +135,109 @@ def test_great_circle_links_cross_the_date_line(spark):
     assert want and sorted(tuple(s["node_id"] for s in r["p"]) for r in got) == want
 
 
+def heading(dx, dy):
+    return math.degrees(math.atan2(dx, dy))
+
+
+def bearing(lon1, lat1, lon2, lat2):
+    la1, la2, d = math.radians(lat1), math.radians(lat2), math.radians(lon2 - lon1)
+    return heading(math.sin(d) * math.cos(la2), math.cos(la1) * math.sin(la2) - math.sin(la1) * math.cos(la2) * math.cos(d))
+
+
+def reached(lon, lat, km, direction):
+    la, d, b = math.radians(lat), km / 6371.0, math.radians(direction)
+    la2 = math.asin(math.sin(la) * math.cos(d) + math.cos(la) * math.sin(d) * math.cos(b))
+    return lon + math.degrees(math.atan2(math.sin(b) * math.sin(d) * math.cos(la), math.cos(d) - math.sin(la) * math.sin(la2))), math.degrees(la2)
+
+
+def apart(a, b):
+    d = (a - b) % 360
+    return min(d, 360 - d)
+
+
+def allowed(rule, speed, turn, aside):
+    """The speed class of the cone; None stands for no direction."""
+    step = next(c for c in rule.cone if speed < c.below)
+    if turn is not None and round(turn, 9) > step.turn:
+        return False
+    if not rule.sectors or aside is None or step.sector == "full":
+        return True
+    if step.sector == "three_quarters":
+        return round(apart(aside, 180), 9) > 45
+    return round(aside, 9) <= (90 if step.sector == "half" else step.turn / 2)
+
+
+def serve_with_cone(rows, rule, axes):
+    """Tracks served one by one; ``axes`` None means cells."""
+    def place(r):
+        return (axes[0] + r["x"] * axes[1], axes[2] + r["y"] * axes[3]) if axes else (r["x"], r["y"])
+
+    def distance(p, q):
+        return great_circle(*p, *q) if axes else math.dist(p, q)
+
+    def direction(p, q):
+        return bearing(*p, *q) if axes else heading(q[0] - p[0], q[1] - p[1])
+
+    live, done, refused = [], [], 0
+    for t in range(max(r["t"] for r in rows) + 1):
+        free = [r for r in rows if r["t"] == t]
+        nxt = []
+        for track in sorted(live, key=lambda tr: (-tr[-1]["crit"], tr[-1]["node_id"])):
+            last = place(track[-1])
+            limit = 1.5 * track[-1]["rad"] * (math.sqrt(111.0 * axes[1] * math.cos(math.radians(last[1])) * 111.0 * axes[3]) if axes else 1.0)
+            moved, want, way = 0.0, last, None
+            if len(track) > 1:
+                past = place(track[-2])
+                moved = distance(past, last)
+            if moved:
+                way = direction(past, last)
+                want = reached(*last, moved, way) if axes else (2 * last[0] - past[0], 2 * last[1] - past[1])
+            near = []
+            for r in free:
+                d = distance(want, place(r))
+                if d >= moved + limit:
+                    continue
+                if moved:
+                    turn = apart(direction(last, place(r)), way) if place(r) != last else None
+                    aside = apart(direction(want, place(r)), way) if d else None
+                    if not allowed(rule, moved * (1000.0 if axes else rule.cell_m) / rule.step_s, turn, aside):
+                        refused += 1
+                        continue
+                near.append((d, -r["crit"], r["node_id"], r))
+            if not near:
+                done.append(track)
+                continue
+            pick = min(near, key=lambda n: n[:3])[3]
+            nxt.append(track + [pick])
+            free = [r for r in free if r["node_id"] != pick["node_id"]]
+        live = nxt + [[r] for r in free]
+    return sorted(tuple(r["node_id"] for r in tr) for tr in done + live if len(tr) >= 3), refused
+
+
+@pytest.mark.parametrize("name,axes,seed", [("local_2_phase_cone", None, 11), ("local_2_phase_cone_km", (170.0, 0.9, 60.0, 0.6), 12)])
+def test_cone_equals_serving_one_by_one(spark, name, axes, seed):
+    from dataclasses import replace
+
+    rule = replace(linking.RULES[name], step_s=10_800.0)  # so that every speed class occurs
+    rows = fixture(seed)
+    want, refused = serve_with_cone(rows, rule, axes)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    tracks = linking.track_nodes(df, ["g"], rule, (NY, NX), axes)
+    got = tracks.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t", "node_id"))).alias("p")).collect()
+    assert want and refused and sorted(tuple(s["node_id"] for s in r["p"]) for r in got) == want
+
+
+@pytest.mark.parametrize("speed,sector,ahead,side,back", [
+    (4.0, "full", True, True, True), (8.0, "three_quarters", True, True, False), (15.0, "half", True, True, False),
+    (25.0, "narrow", True, False, False), (99.0, "narrow", True, False, False)])
+def test_sectors_of_the_cone(spark, speed, sector, ahead, side, back):
+    rule = linking.RULES["local_2_phase_cone"]
+    df = spark.createDataFrame([(10.0, 0.0), (10.0, 90.0), (10.0, 180.0)], "_turn double, _aside double").withColumns(
+        {"_speed": F.lit(speed), "_moved": F.lit(1.0), "_still": F.lit(False), "_met": F.lit(False)})
+    got = [r[0] for r in df.select(linking._inside_cone(rule)).collect()]
+    assert next(c for c in rule.cone if speed < c.below).sector == sector and got == [ahead, side, back]
+
+
 def test_stitching_bridges_gaps_and_drops_short_tracks(spark):
     rows = [(1, "2020-01-01 00:00:00", 10.0, 50.0), (2, "2020-01-01 01:00:00", 10.5, 50.0), (3, "2020-01-01 03:00:00", 11.0, 50.2),
             (4, "2020-01-01 00:00:00", 179.9, 10.0), (5, "2020-01-01 01:00:00", -179.9, 10.0), (6, "2020-01-01 02:00:00", -179.5, 10.0),
