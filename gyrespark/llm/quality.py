@@ -10,7 +10,8 @@ Cases: a null or blank text has no words and is rejected; its cleaned text is
 empty.  Rows are judged one by one, so repeated rows repeat their result and an
 empty table gives an empty one.  A document without failing lines keeps its
 text byte for byte; otherwise equal lines, blank ones too, are written once.
-Equal three-word windows are found by 64-bit hashes.
+Equal three-word windows are found by 64-bit hashes.  A text is one row of one
+task whatever its length, and every rule looks at whole lines of every length.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·>"
 SHORT_LINE = 3        # words; a shorter line needs no closing mark
 HEADING_LINE = 8      # words; up to here a line without a closing mark is a heading or a menu
-PHRASE_LINE = 40      # words; phrases are looked for in lines up to this length
+PHRASE_SPAN = 40      # words of a line, of any length, that one phrase of navigation or boilerplate condemns
 WORD = r"[^\x20\x09-\x0D]"
 CLOSED = r"[.!?:;,…\"'”’»)\]][\x20\x09-\x0D]*$"
 LOUD = r"[!?]{2,}(?:[\x20\x09-\x0D]|$)"
 NAVIGATION = r"skip to (?:main )?content|read more|sign in|log in|next page|previous page|back to top|site map|click here"
 BOILERPLATE = r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|licensed under|copyright|javascript|subscribe to|powered by"
+PHRASES = f"{NAVIGATION}|{BOILERPLATE}"
 
 
 def _count(array: Column) -> Column:
@@ -49,7 +51,7 @@ def bad_line(line: Column, n: Column) -> Column:
         | (line.rlike(r"[!?]{2}") & (loud * 2 > n))
         | ((n > SHORT_LINE) & (n <= HEADING_LINE) & ~line.rlike(CLOSED))
         | (line.rlike(f"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]") & (n <= 4 * seps))
-        | ((n <= PHRASE_LINE) & (low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)))
+        | (low.rlike(PHRASES) & (n <= PHRASE_SPAN * F.size(F.regexp_extract_all(low, F.lit(PHRASES), F.lit(0)))))
     )
 
 
@@ -136,7 +138,7 @@ u0 AS (SELECT r, unnest(list_distinct(l)) AS line FROM w),
 u AS (SELECT *, len({words.format("line")}) AS n, {count(SEPARATORS).format("line")} AS seps FROM u0),
 b AS (SELECT r, n, NOT regexp_matches(line, '\p{{L}}') OR (2 * len(regexp_extract_all(line, {quote(LOUD)})) > n)
   OR (n > {SHORT_LINE} AND n <= {HEADING_LINE} AND NOT regexp_matches(line, {quote(CLOSED)})) OR (seps >= 2 AND n <= 4 * seps)
-  OR (n <= {PHRASE_LINE} AND (regexp_matches(lower(line), {quote(NAVIGATION)}) OR regexp_matches(lower(line), {quote(BOILERPLATE)}))) AS bad FROM u),
+  OR n <= {PHRASE_SPAN} * len(regexp_extract_all(lower(line), {quote(PHRASES)})) AS bad FROM u),
 k AS (SELECT r, sum(n) FILTER (WHERE NOT bad) AS n FROM b GROUP BY 1),
 m AS (SELECT w.r, doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, {count(SYMBOLS).format("t")} AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(k.n, 0) AS n_kept FROM w LEFT JOIN rep ON rep.r = w.r LEFT JOIN k ON k.r = w.r),

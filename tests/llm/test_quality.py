@@ -59,3 +59,12 @@ def test_empty_table_and_native_plan(spark):
     out = quality.op4(frame)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_are_judged_by_their_share_of_a_line_of_any_length(spark):
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    lines = [("few", words(30) + " sign in."), ("one in many", words(90) + " sign in."), ("footer", words(60) + " all rights reserved cookie sign in."),
+             ("long footer", " ".join(words(30) + " privacy policy" for _ in range(400)) + "."), ("long prose", words(20000) + " cookie.")]
+    got = {r.name: r.bad for r in spark.createDataFrame(lines, "name string, line string").select(
+        "name", quality.bad_line(F.col("line"), F.size(F.split("line", " "))).alias("bad")).collect()}
+    assert got == {"few": True, "one in many": False, "footer": True, "long footer": True, "long prose": False}
