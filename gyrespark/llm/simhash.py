@@ -182,7 +182,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group: the smallest id, nulls last, then the smallest hash of the text.
 
     Rows are told apart by id and text, so rows of one id, or without an id, stay
-    if their texts are in different groups; of equal rows one stays.
+    if their texts are in different groups; of equal rows one stays.  Other columns
+    pass through under any name.
     """
     text = F.coalesce("text", F.lit(""))
     hashes = {"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)}  # 128 bits
@@ -191,9 +192,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints = persisted(marked.groupBy("fp").agg(F.min(row).alias("least")))
     least = prints.join(_roots(prints), "fp").groupBy("root").agg(F.min("least").alias("k"))
     kept = least.select(F.col("k.doc_id").alias("_kept"), F.col("k._h").alias("_kh"), F.col("k._g").alias("_kg"))
-    rows = docs.withColumns(hashes)
-    same = rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows["_h"] == kept["_kh"]) & (rows["_g"] == kept["_kg"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h", "_g"]).drop("_h", "_g")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), *[h.alias(name) for name, h in hashes.items()])
+    same = rows["_id"].eqNullSafe(kept["_kept"]) & (rows["_h"] == kept["_kh"]) & (rows["_g"] == kept["_kg"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_h", "_g"]).select("_row.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gyrespark.llm import simhash
 from gyrespark.llm.components import connected
@@ -110,3 +111,14 @@ def test_one_of_each_decides_by_row(spark):
     assert frame.columns == simhash.one_of_each(frame).columns
     want = [(None, t) for t in unlike[:4]] + [(7, t) for t in unlike[4:7]] + [(2, unlike[7])]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["_h", "_g", "_id", "_row", "_kept", "_kh", "fp", "root", "a.b"]
+    frame = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "other words are here now")], "doc_id bigint, text string")
+    for i, name in enumerate(names):
+        frame = frame.withColumn(name, F.col("doc_id") * 100 + i)
+    got = simhash.one_of_each(frame)
+    assert got.columns == frame.columns
+    rows = sorted(tuple(r) for r in got.collect())
+    assert [r[0] for r in rows] == [1, 3] and all(r[2:] == tuple(r[0] * 100 + i for i in range(len(names))) for r in rows)
