@@ -340,7 +340,7 @@ def track_nodes(nodes: DataFrame, by: list[str], rule: LinkRule | str = "local_2
 
 def background_shift(nodes: DataFrame, field: DataFrame, on: list[str], dt_step: float, dist_m: float,
                      box_scale: float = 3.0, bucket: float = 16.0) -> DataFrame:
-    """Add ``bg_dx``/``bg_dy``: mean wind of a box around each node, in cells per step."""
+    """Add ``bg_dx``/``bg_dy``: mean wind of a box around each node (upper edges left out), in cells per step."""
     from gyrespark.operators.aggregate import box_aggregate
 
     half = F.floor(box_scale * F.round("rad", 0)).cast("double")

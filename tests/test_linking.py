@@ -251,3 +251,20 @@ def test_stitching_bridges_gaps_and_drops_short_tracks(spark):
 def test_unknown_rule(spark):
     with pytest.raises(KeyError):
         linking.link_nodes(None, [], "no such rule")
+
+
+def test_background_shift_is_the_mean_wind_of_the_box(spark):
+    rng = np.random.default_rng(4)
+    cells = [(t, x, y, float(rng.normal()), float(rng.normal())) for t in (0, 1) for x in range(20) for y in range(20) if rng.random() < 0.8]
+    points = [(0, 1, 5, 5, 1.2), (0, 2, 0, 19, 0.7), (1, 3, 12, 9, 2.4), (1, 4, 19, 0, 0.2)]
+    got = linking.background_shift(spark.createDataFrame(points, "t int, node_id long, x int, y int, rad double"),
+                                   spark.createDataFrame(cells, "t int, x int, y int, u double, v double"), ["t"], 3600.0, 27_750.0)
+    for r in got.collect():
+        half = math.floor(3.0 * round(r.rad))
+        box = [(u, v) for t, x, y, u, v in cells if t == r.t and -half <= x - r.x < half and -half <= y - r.y < half]
+        if box:
+            assert r.bg_dx == pytest.approx(sum(b[0] for b in box) / len(box) * 3600 / 27_750)
+            assert r.bg_dy == pytest.approx(sum(b[1] for b in box) / len(box) * 3600 / 27_750)
+        else:
+            assert r.bg_dx is None and r.bg_dy is None
+    assert got.count() == len(points)
