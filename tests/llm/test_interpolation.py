@@ -100,3 +100,17 @@ def test_cells_round_trip():
     ends = blobs.bucket_bounds(keys, 7)
     assert ends[0] == 0 and ends[-1] == len(keys) and (np.diff(ends) > 0).all()
     assert len(np.unique(blobs.mix(keys))) == len(keys)
+
+
+def test_long_text_and_clashing_columns(spark):
+    """A text of 400,000 words is scored whole; other columns do not disturb."""
+    words = [f"w{i * i % 5003}" for i in range(400_000)]
+    long_id = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(str(i).encode()) // 7 % interpolation.DELETED)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    frame = spark.createDataFrame([(long_id, " ".join(words), 1, "x"), (held, "w0 w1 unseen", 2, "y")], "doc_id bigint, text string, block bigint, kind string")
+    got = {r.doc_id: r for r in interpolation.op1(frame).collect()}
+    total = Counter(words) + Counter([END])
+    n, v = len(words) + 1, len(total)
+    assert (got[long_id].n_tokens, got[long_id].n_known, got[long_id].train_tokens) == (n, n, n)
+    assert got[long_id].base_score == pytest.approx(sum(c * math.log10((c + 1) / (n + v + 1)) for c in total.values()), rel=1e-9)
+    assert (got[held].n_tokens, got[held].n_known) == (4, 3)
