@@ -1,36 +1,43 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristics vote good (1), bad (-1) or abstain (0) on every document.
-Documents are counted by their pattern of votes; on this table, whose size
-depends on the number of heuristics only, expectation-maximisation estimates how
-often each heuristic says what about good and bad documents, without any true
-label.  The posterior of a pattern is the soft label of its documents.  A linear
-scorer over hashed words and word shapes is trained on the soft labels and then
-scores all documents, also where the heuristics abstain.
+Every measure behind a vote is a share (of words, characters, lines, or of
+windows of fixed length), so texts of all lengths are judged alike.  Documents are
+counted by their pattern of votes; on this table, whose size depends on the number
+of heuristics only, expectation-maximisation estimates how often each heuristic
+says what about good and bad documents, without any true label.  The posterior, a
+sum of log-odds over the votes, is the soft label of a document.  A linear scorer
+over hashed words and word shapes is trained on the soft labels and then scores
+all documents, also where the heuristics abstain.
 
 Bound of the fit: about ``FIT_DOCS`` documents, chosen by a hash of id and text;
 votes and their counts cover all documents and are written once, beside the texts.
+The sample is dealt anew by its own size, so a step of the fit costs the same
+whatever the number of partitions of the table.
 
 Cases: a null text counts as empty; texts without words are not kept and have
-score 0.  Documents of equal votes have equal posteriors.  A null id is scored
-like any other.  Repeated rows repeat their result; an empty table gives an
-empty one.
+score 0.  A text stays whole in its task, so the longest one bounds the memory of
+a task.  Ties: documents of equal votes have equal posteriors, those of equal texts
+equal scores.  A null id is scored like any other.  Repeated rows repeat their
+result; an empty table gives an empty one.  Only id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
-from operator import or_
+from operator import add
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrespark.llm.common import SPACES, persisted, texts, without, words_of
+from gyrespark.llm.common import SPACES, persisted, texts, total_bytes, without, words_of
 from gyrespark.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -45,7 +52,9 @@ PULL = 0.02           # weight of these guesses, as a share of all documents
 PHRASES = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "licensed under", "sign in", "log in",
            "click here", "subscribe to", "skip to content"]
 SIGNS, BARS, LOUD, STOPS = "#*$%&|<>=_~^", "|\u00bb\u2022", "!?", ".;:"
-PHRASED = 200  # words; in longer documents a phrase does not speak against the text
+PHRASED = (0.001, 0.005)  # phrases a word: at most the first speaks for a text, more than the second against it
+WINDOW = 100         # words in which distinct ones are counted
+FIT_BYTES = 4 << 20  # text of the sample in a partition of the fit
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -56,22 +65,28 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
+def _distinct(words: Column) -> Column:
+    """Distinct words of each window of ``WINDOW`` words, added up."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(WINDOW))
+    return F.aggregate(starts, F.lit(0), lambda total, i: total + F.size(F.array_distinct(F.slice(words, i, F.lit(WINDOW)))))
+
+
 def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     return {
         # without the many characters that are not counted, which go in one pass
         "_marks": F.regexp_replace(text, "[a-z \\n\\x{80}-\\x{ba}\\x{bc}-\\x{2021}\\x{2023}-\\x{10ffff}]+", ""),
-        "_n": F.size(words), "_chars": F.length(without(text, SPACES)), "_distinct": F.size(F.array_distinct(words)),
+        "_n": F.size(words), "_chars": F.length(without(text, SPACES)), "_distinct": _distinct(words),
         "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x)),
         "_lines": F.size(lines), "_own_lines": F.size(F.array_distinct(lines)),
         "_low": F.lower(text)}
 
 
 def counts() -> dict[str, Column]:
-    """Numbers of the characters in ``_marks``, and whether ``_low`` has a phrase."""
-    marks = F.col("_marks")
+    """Numbers of the characters in ``_marks`` and of the phrases in ``_low``."""
+    marks, low = F.col("_marks"), F.col("_low")
     number = lambda chars: F.length(marks) - F.length(without(marks, chars))
     return {"_upper": F.length(marks) - F.length(F.regexp_replace(marks, "[A-Z]+", "")), "_signs": number(SIGNS), "_bars": number(BARS),
-            "_loud": number(LOUD), "_stops": number(STOPS), "_phrase": reduce(or_, [F.contains(F.col("_low"), F.lit(p)) for p in PHRASES])}
+            "_loud": number(LOUD), "_stops": number(STOPS), "_phrases": reduce(add, [(F.octet_length(low) - F.octet_length(without(low, [p]))) / len(p) for p in PHRASES])}
 
 
 def votes() -> dict[str, Column]:
@@ -79,10 +94,11 @@ def votes() -> dict[str, Column]:
     n, c = F.col("_n"), F.col
     distinct, upper, loud = _share(c("_distinct"), n), _share(c("_upper"), c("_chars")), _share(c("_loud"), n)
     dense, bars, again = _share(c("_signs"), c("_chars")), _share(c("_bars"), n), _share(c("_again"), n)
+    phrases = _share(c("_phrases"), n)
     signs, stops, length, copies = _share(c("_signs"), n), _share(c("_stops"), n), _share(c("_chars"), n), _share(c("_lines") - c("_own_lines"), c("_lines"))
     return {
         "length": _vote(n >= 50, n < 5),
-        "variety": F.when(n <= 3000, _vote(distinct > 0.3, (n >= 30) & (distinct < 0.15))).otherwise(0),
+        "variety": _vote(distinct > 0.4, (n >= 30) & (distinct < 0.2)),
         "capitals": _vote(upper < 0.15, upper > 0.3),
         "loudness": _vote(loud < 0.02, loud > 0.3),
         "signs": _vote(signs < 0.03, signs > 0.25),
@@ -92,7 +108,7 @@ def votes() -> dict[str, Column]:
         "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 15)),
         "sentences": _vote((stops >= 0.02) & (stops <= 0.35), (n >= 30) & ((stops < 0.005) | (stops > 0.7))),
         "copied_lines": _vote((c("_lines") >= 3) & (copies == 0), copies > 0.3),
-        "phrases": F.when(c("_phrase"), F.when(n < PHRASED, -1).otherwise(0)).when(n >= 30, 1).otherwise(0),
+        "phrases": _vote((n >= 30) & (phrases <= PHRASED[0]), phrases > PHRASED[1]),
     }
 
 
@@ -128,39 +144,53 @@ def label_model(patterns: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tu
     return float(prior), bad_vote, good
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, features: int = FEATURES) -> DataFrame:
-    """(doc_id, votes, posterior, score, kept) of every row."""
-    folder = f"{checkpoint_dir(docs.sparkSession)}/votes-{uuid.uuid4().hex}"
-    with_votes(texts(docs, id_col, text_col)).write.option("compression", "zstd").parquet(folder)
-    rows = docs.sparkSession.read.parquet(folder)  # counted, learned from and scored
-    table = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not table:
-        return rows.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    table.sort(key=lambda r: r["votes"])
-    n = np.array([r["n"] for r in table], dtype=float)
-    _, _, good = label_model(np.array([r["votes"] for r in table]), n)
-    key = F.concat_ws(",", F.col("votes").cast("array<string>"))
-    known = F.create_map(*[F.lit(x) for r, g in zip(table, good.tolist()) for x in (",".join(map(str, r["votes"])), g)])
-    posterior = F.element_at(known, key).alias("posterior")
+def posterior_of(prior: float, bad_vote: np.ndarray) -> Column:
+    """Probability that the document of ``votes`` is good."""
+    odds = F.lit(float(np.log(prior / (1 - prior))))
+    for h, (bad, good) in enumerate(bad_vote.T):
+        vote = F.col("votes")[h]
+        odds = odds + F.when(vote == -1, float(np.log(good / bad))).when(vote == 1, float(np.log((1 - good) / (1 - bad)))).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
+
+
+def hashed(frame: DataFrame, features: int) -> DataFrame:
+    """Add ``features``: hashed numbers of words and word shapes, of unit length."""
     # runs of small letters, capitals and digits become one sign each
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-z]+", "\x01"), "[A-Z]+", "\x02"), "[0-9]+", "\x03")
     tokens = F.concat(words_of(shape), words_of(F.lower("text")))
     count = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_counts")
-    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="features")
+    return Normalizer(p=2.0, inputCol="_counts", outputCol="features").transform(count.transform(frame.withColumn("_tokens", tokens)))
 
-    def ready(frame: DataFrame) -> DataFrame:
-        return unit.transform(count.transform(frame.withColumn("_tokens", tokens)))
 
-    share = min(1.0, fit_docs / n.sum())
-    sample = persisted(rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) < share * (1 << 30)))
+def fit_scorer(rows: DataFrame, share: float, posterior: Column, features: int) -> LogisticRegressionModel:
+    """Linear scorer fitted on the soft labels of a hashed ``share`` of the rows (one row at least)."""
+    draw = F.xxhash64("doc_id", "text")
+    sample = persisted(rows.where(F.shiftrightunsigned(draw, 34) < share * (1 << 30)))
     if sample.isEmpty():
-        sample = rows.limit(1)
+        sample = rows.orderBy(draw).limit(1)
+    parts = max(1, math.ceil(total_bytes(sample) / FIT_BYTES))
+    dealt = sample.select("text", posterior.alias("posterior"), draw.alias("_h")).repartition(parts, "_h").sortWithinPartitions("_h")
     each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), p.alias("weight")) for y, p in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))]))
-    two = persisted(ready(sample.select("text", posterior)).select("features", each.alias("_y")).select("features", "_y.*"))
-    two = two.where("weight > 0").persist()
+    two = persisted(hashed(dealt, features).select("features", each.alias("_y")).select("features", "_y.*").where("weight > 0")).persist()
     model = LogisticRegression(regParam=PENALTY, maxIter=100, standardization=False, weightCol="weight").fit(two)
     two.unpersist()
-    scored = model.transform(ready(rows.select("doc_id", "text", "votes", posterior)))
+    return model
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, features: int = FEATURES) -> DataFrame:
+    """(doc_id, votes, posterior, score, kept) of every row."""
+    folder = f"{checkpoint_dir(docs.sparkSession)}/votes-{uuid.uuid4().hex}"
+    with_votes(texts(docs, id_col, text_col)).write.option("compression", "zstd").parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)  # counted, learned from and scored
+    table = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not table:
+        return rows.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+    table.sort(key=lambda r: r["votes"])
+    n = np.array([r["n"] for r in table], dtype=float)
+    prior, bad_vote, _ = label_model(np.array([r["votes"] for r in table]), n)
+    posterior = posterior_of(prior, bad_vote)
+    model = fit_scorer(rows, min(1.0, fit_docs / n.sum()), posterior, features)
+    scored = model.transform(hashed(rows.select("doc_id", "text", "votes", posterior.alias("posterior")), features))
     score = F.when(F.col("text").rlike(WORD), vector_to_array("probability")[1]).otherwise(0.0)
     return scored.select("doc_id", "votes", "posterior", score.alias("score"), (score >= KEPT).alias("kept"))
 
