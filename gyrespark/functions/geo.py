@@ -18,13 +18,13 @@ def _c(value) -> Column:
 
 
 def haversine_km(lon1, lat1, lon2, lat2, clip: bool = True) -> Column:
-    """Great-circle distance on a sphere of radius 6371 km."""
+    """Great-circle distance on a sphere of radius 6371 km; null where a coordinate is."""
     la1, la2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     half_lat = (la2 - la1) / 2
     half_lon = (F.radians(_c(lon2)) - F.radians(_c(lon1))) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(la1) * F.cos(la2) * F.pow(F.sin(half_lon), 2)
     if clip:
-        a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+        a = F.when(a > 1.0, 1.0).when(a < 0.0, 0.0).otherwise(a)  # unlike least and greatest, null stays null
     return 2.0 * EARTH_RADIUS_KM * F.asin(F.sqrt(a))
 
 

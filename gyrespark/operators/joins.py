@@ -92,18 +92,19 @@ def _struct_type(df: DataFrame, time: str, values: list[str]):
 
 
 def asof_nearest_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, time: str,
-                       columns: list[str], tolerance_hours: float, whole_hours: bool = False) -> DataFrame:
+                       columns: list[str], tolerance_hours: float, whole_hours: bool = False,
+                       among: DataFrame | None = None) -> DataFrame:
     """Nearest point in time of *every* right track for each left point.
 
     The output is one row per (left point, right track) within the tolerance,
     which is the result the match statistics need.  Candidates come from an
     equi-join on time buckets as wide as the tolerance; ``min_by`` keeps the
     nearest per pair on the map side.  ``whole_hours`` truncates differences
-    to hours before comparing.
+    to hours before comparing.  ``among`` lists the pairs (id_ref, id_own) that
+    matter; the join is then on right track and bucket, not on time alone.
     """
     tol = int(tolerance_hours * 3_600_000_000)
-    reach = tol + (3_599_999_999 if whole_hours else 0)
-    width = max(reach, 1)
+    width = max(_reach(tolerance_hours, whole_hours), 1)
     a = left.select(F.col(left_id).alias("id_ref"), F.col(time).alias("t_ref"),
                     *[F.col(c).alias(f"{c}_ref") for c in columns])
     a = a.withColumn("_b", F.floor(micros("t_ref") / F.lit(width)))
@@ -114,7 +115,8 @@ def asof_nearest_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id
     if whole_hours:
         gap = F.floor(gap / F.lit(3_600_000_000))
         tol = int(tolerance_hours)
-    pairs = a.join(b, "_b").withColumn("_gap", gap).where(F.col("_gap") <= tol)
+    pairs = a.join(b, "_b") if among is None else a.join(among, "id_ref").join(b, ["id_own", "_b"])
+    pairs = pairs.withColumn("_gap", gap).where(F.col("_gap") <= tol)
     keep = [f"{c}_own" for c in columns]
     near = pairs.groupBy("id_ref", "t_ref", *[f"{c}_ref" for c in columns], "id_own").agg(
         F.min_by(F.struct("t_own", *keep), F.struct("_gap", "t_own")).alias("_m"))
@@ -123,8 +125,9 @@ def asof_nearest_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id
 
 
 def same_time_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, time: str,
-                    columns: list[str], bucket: list[tuple[Column, Column]] | None = None) -> DataFrame:
-    """Points of two track sets at equal times, optionally also in equal buckets."""
+                    columns: list[str], bucket: list[tuple[Column, Column]] | None = None,
+                    among: DataFrame | None = None) -> DataFrame:
+    """Points of two track sets at equal times, optionally also in equal buckets or of the pairs ``among`` only."""
     a = left.select(F.col(left_id).alias("id_ref"), F.col(time).alias("t"),
                     *[F.col(c).alias(f"{c}_ref") for c in columns])
     b = right.select(F.col(right_id).alias("id_own"), F.col(time).alias("t"),
@@ -133,9 +136,55 @@ def same_time_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     for i, (on_a, on_b) in enumerate(bucket or []):
         a, b = a.withColumn(f"_g{i}", on_a), b.withColumn(f"_g{i}", on_b)
         on.append(f"_g{i}")
+    if among is not None:
+        return a.join(among, "id_ref").join(b, ["id_own", *on]).drop(*on[1:])
     return a.join(b, on).drop(*on[1:])
 
 
+def _reach(tolerance_hours: float, whole_hours: bool) -> int:
+    """Largest time difference in microseconds that a tolerance lets pass."""
+    return int(tolerance_hours * 3_600_000_000) + (3_599_999_999 if whole_hours else 0)
+
+
+def close_tracks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, time: str, x: str, y: str,
+                 max_dist: float, tolerance_hours: float = 0.0, whole_hours: bool = False, sphere: bool = False) -> DataFrame:
+    """(id_ref, id_own) of the pairs of tracks that come within a distance at some time.
+
+    What any match by distance needs, so statistics over the common life of two
+    tracks may be kept to these pairs.  Distances are of indices, or in km on the
+    sphere, where cells wrap through the date line.  Points meet in cells as wide
+    as the distance, at equal times or in time buckets as wide as the tolerance.
+    Points without a position or time meet none.
+    """
+    def side(df: DataFrame, key: str, tag: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"id_{tag}"), F.col(time).alias(f"_t_{tag}"),
+                         F.col(x).cast("double").alias(f"_x_{tag}"), F.col(y).cast("double").alias(f"_y_{tag}"))
+
+    a, b = side(left, left_id, "ref"), side(right, right_id, "own")
+    if sphere:
+        band = math.degrees(max_dist / geo.EARTH_RADIUS_KM)
+        a = a.withColumns(_band_cells("_x_ref", "_y_ref", band))
+        b = b.withColumn("_cell", _band_cell("_x_own", "_y_own", band))
+        dist = geo.haversine_km("_x_ref", "_y_ref", "_x_own", "_y_own")
+    else:
+        width = F.lit(float(max_dist) if max_dist > 0 else 1.0)
+        at = lambda tag, i=0, j=0: F.struct((F.floor(F.col(f"_x_{tag}") / width) + i).alias("b"),
+                                            (F.floor(F.col(f"_y_{tag}") / width) + j).alias("c"))
+        a = a.withColumn("_cells", F.array(*[at("ref", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        b = b.withColumn("_cell", at("own"))
+        dist = geo.euclid("_x_ref", "_y_ref", "_x_own", "_y_own")
+    a = a.withColumn("_cell", F.explode("_cells")).drop("_cells")
+    near, reach = dist <= max_dist, _reach(tolerance_hours, whole_hours)
+    if reach:
+        bucket = lambda tag: F.floor(micros(f"_t_{tag}") / F.lit(reach))
+        a = a.withColumn("_b", bucket("ref"))
+        b = b.withColumn("_b", F.explode(F.array(*[bucket("own") + k for k in (-1, 0, 1)])))
+        near = near & (F.abs(micros("_t_ref") - micros("_t_own")) <= reach)
+    else:
+        a, b = a.withColumnRenamed("_t_ref", "_b"), b.withColumnRenamed("_t_own", "_b")
+    return a.join(b, ["_b", "_cell"]).where(near).select("id_ref", "id_own").distinct()
+
+
 def geo_time_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, time: str,
                    lon: str, lat: str, max_km: float) -> DataFrame:
     """Equal-time point pairs within a great-circle distance.

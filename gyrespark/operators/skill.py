@@ -137,8 +137,9 @@ def duration_ratios(matches: DataFrame, ref: DataFrame, own: DataFrame, ref_id:
 
 def nearest_point_matches(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, x: str, y: str,
                           max_dist: float, tolerance_hours: float, min_steps: int, whole_hours: bool = False) -> DataFrame:
-    """Pairs with at least ``min_steps`` nearest-in-time points within an index distance."""
-    near = joins.asof_nearest_pairs(ref, own, ref_id, own_id, time, [x, y], tolerance_hours, whole_hours)
+    """Pairs with at least ``min_steps`` (one at least) nearest-in-time points within an index distance."""
+    among = joins.close_tracks(ref, own, ref_id, own_id, time, x, y, max_dist, tolerance_hours, whole_hours)
+    near = joins.asof_nearest_pairs(ref, own, ref_id, own_id, time, [x, y], tolerance_hours, whole_hours, among)
     d = geo.euclid(f"{x}_ref", f"{y}_ref", f"{x}_own", f"{y}_own")
     g = near.withColumn("_d", d).where(F.col("_d") <= max_dist).groupBy("id_ref", "id_own").agg(
         F.count(F.lit(1)).alias("n_steps"), F.avg("_d").alias("avg_dist"))
@@ -148,7 +149,8 @@ def nearest_point_matches(ref: DataFrame, own: DataFrame, ref_id: str, own_id: s
 def all_points_close(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, lon: str, lat: str,
                      max_km: float, tolerance_hours: float, min_steps: int) -> DataFrame:
     """Pairs whose nearest-in-time points are all within a great-circle distance."""
-    near = joins.asof_nearest_pairs(ref, own, ref_id, own_id, time, [lon, lat], tolerance_hours)
+    among = joins.close_tracks(ref, own, ref_id, own_id, time, lon, lat, max_km, tolerance_hours, sphere=True)
+    near = joins.asof_nearest_pairs(ref, own, ref_id, own_id, time, [lon, lat], tolerance_hours, among=among)
     d = geo.haversine_km(f"{lon}_ref", f"{lat}_ref", f"{lon}_own", f"{lat}_own")
     near = near.withColumn("_d", d)
     keys = ["id_ref", "id_own"]
@@ -159,9 +161,9 @@ def all_points_close(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, t
 
 
 def common_time_distance(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, x: str, y: str,
-                         scale_km: float = 1.0) -> DataFrame:
-    """Mean index distance (scaled) and share of common times of every pair that shares one."""
-    pairs = joins.same_time_pairs(ref, own, ref_id, own_id, time, [x, y])
+                         scale_km: float = 1.0, among: DataFrame | None = None) -> DataFrame:
+    """Mean index distance (scaled) and share of common times of every pair (or those ``among``) that shares one."""
+    pairs = joins.same_time_pairs(ref, own, ref_id, own_id, time, [x, y], among=among)
     d = geo.euclid(f"{x}_ref", f"{y}_ref", f"{x}_own", f"{y}_own") * scale_km
     g = pairs.groupBy("id_ref", "id_own").agg(F.count(F.lit(1)).alias("n_common"), F.avg(d).alias("avg_dist"))
     n = ref.groupBy(F.col(ref_id).alias("id_ref")).agg(F.count(F.lit(1)).alias("_n"))
@@ -172,10 +174,12 @@ def interval_matches(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, t
                      grid_step_km: float = 77.0, max_km: float = 500.0) -> DataFrame:
     """Pairs sharing timestamps whose mean distance stays within a limit.
 
-    Sharing a timestamp implies overlapping intervals, so the equal-time join
-    alone finds the candidates.
+    Sharing a timestamp implies overlapping intervals, and a mean within the limit
+    needs a point within it, so only pairs that come so close are looked at.
     """
-    g = common_time_distance(ref, own, ref_id, own_id, time, x, y, grid_step_km).drop("match_percent")
+    limit = max_km / grid_step_km * (1 + 1e-9)  # a rounded mean may fall below the least distance
+    among = joins.close_tracks(ref, own, ref_id, own_id, time, x, y, limit)
+    g = common_time_distance(ref, own, ref_id, own_id, time, x, y, grid_step_km, among).drop("match_percent")
     a = track_spans(ref, ref_id, time).withColumnsRenamed({ref_id: "id_ref", "n_points": "ref_points", "start": "ref_start", "end": "ref_end"})
     b = track_spans(own, own_id, time).withColumnsRenamed({own_id: "id_own", "n_points": "own_points", "start": "own_start", "end": "own_end"})
     return g.where(F.col("avg_dist") <= max_km).join(a, "id_ref").join(b, "id_own")
@@ -252,19 +256,25 @@ def path_similarity(matches: DataFrame, ref: DataFrame, own: DataFrame, ref_id:
 
 
 def reduced_mean_distance(ref: DataFrame, own: DataFrame, ref_id: str, own_id: str, time: str, lon: str, lat: str,
-                          wanted: DataFrame | None = None) -> DataFrame:
+                          wanted: DataFrame | None = None, max_km: float | None = None) -> DataFrame:
     """Mean equal-time distance without points beyond mean + 2 sigma (population).
 
-    ``wanted`` lists pairs that must appear; those without a common time get
-    infinity.
+    ``wanted`` lists the pairs to report; those without a common time get
+    infinity.  Without it, ``max_km`` keeps the pairs of at most that value, which
+    must come so close at some time; else every pair that shares a time appears.
     """
-    pairs = joins.same_time_pairs(ref, own, ref_id, own_id, time, [lon, lat])
+    among = None if wanted is None else wanted.select("id_ref", "id_own").distinct()
+    if among is None and max_km is not None:
+        among = joins.close_tracks(ref, own, ref_id, own_id, time, lon, lat, max_km * (1 + 1e-9), sphere=True)
+    pairs = joins.same_time_pairs(ref, own, ref_id, own_id, time, [lon, lat], among=among)
     pairs = pairs.withColumn("_d", geo.haversine_km(f"{lon}_ref", f"{lat}_ref", f"{lon}_own", f"{lat}_own"))
     keys = ["id_ref", "id_own"]
     stats = pairs.groupBy(*keys).agg(F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
     kept = pairs.join(stats, keys).where(F.col("_d") <= F.col("_m") + 2 * F.col("_s"))
     # the smallest distance never exceeds the mean, so every pair keeps a point
     out = kept.groupBy(*keys).agg(F.avg("_d").alias("rmcpd"))
+    if max_km is not None and wanted is None:
+        out = out.where(F.col("rmcpd") <= max_km)
     if wanted is not None:
         out = wanted.select(*keys).distinct().join(out, keys, "left").withColumn("rmcpd", F.coalesce("rmcpd", F.lit(float("inf"))))
     return out
