@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,31 +65,36 @@ def lifted_parcel_temperature(t_c, td_c, p_hpa, target_hpa: float = 500.0, steps
     """Temperature (K) of a surface parcel lifted to ``target_hpa``.
 
     Dry-adiabatic below the condensation level; above it the saturated
-    equivalent potential temperature is conserved and solved by bisection,
-    unrolled over a constant number of steps with a higher-order function so
-    that no Python runs per row.
+    equivalent potential temperature is conserved and solved by a constant number
+    of bisections over whole columns of a batch.
     """
     theta_e = equivalent_potential_temperature(t_c, td_c, p_hpa)
     t_l = lcl_temperature(t_c, td_c)
     p_l = _c(p_hpa) * F.pow(t_l / (_c(t_c) + 273.15), F.lit(1.0 / 0.2854))
     dry = (_c(t_c) + 273.15) * F.pow(target_hpa / _c(p_hpa), F.lit(0.2854))
 
-    def halve(acc: Column, _step: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        e = 6.112 * F.exp(17.67 * (mid - 273.15) / (mid - 29.65))
-        r = 0.622 * e / (target_hpa - e)
-        est = mid * F.pow(F.lit(1000.0) / (target_hpa - e), F.lit(0.2854)) * F.exp(
-            (3036.0 / mid - 1.78) * r * (1.0 + 0.448 * r))
-        warm = est > acc["te"]
-        return F.struct(F.when(warm, acc["lo"]).otherwise(mid).alias("lo"),
-                        F.when(warm, mid).otherwise(acc["hi"]).alias("hi"), acc["te"].alias("te"))
-
     # a parcel is colder than its theta-e, and its vapour pressure below the level's
-    a = F.log(F.lit(0.99 * target_hpa / 6.112))
-    boiling = (17.67 * 273.15 - 29.65 * a) / (17.67 - a)
-    start = F.struct(F.lit(100.0).alias("lo"), F.least(theta_e, boiling).alias("hi"), theta_e.alias("te"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps * 3)), start, halve)
-    return F.when(p_l <= target_hpa, dry).otherwise((solved["lo"] + solved["hi"]) / 2.0)
+    a = math.log(0.99 * target_hpa / 6.112)
+    top = (17.67 * 273.15 - 29.65 * a) / (17.67 - a)
+    halvings = steps * 3
+
+    @F.pandas_udf("double")
+    def saturated(te: pd.Series) -> pd.Series:
+        import numpy as np
+
+        te = te.to_numpy(dtype=float)
+        lo, hi = np.full(len(te), 100.0), np.fmin(te, top)
+        for _ in range(halvings):
+            mid = (lo + hi) / 2.0
+            e = 6.112 * np.exp(17.67 * (mid - 273.15) / (mid - 29.65))
+            r = 0.622 * e / (target_hpa - e)
+            est = mid * np.power(1000.0 / (target_hpa - e), 0.2854) * np.exp((3036.0 / mid - 1.78) * r * (1.0 + 0.448 * r))
+            warm = est > te
+            lo, hi = np.where(warm, lo, mid), np.where(warm, mid, hi)
+        return pd.Series((lo + hi) / 2.0)
+
+    moist = F.when(theta_e.isNotNull(), saturated(theta_e)).otherwise(F.lit(top))
+    return F.when(p_l <= target_hpa, dry).otherwise(moist)
 
 
 def lifted_index(t500_k, t2_c, td2_c, p_hpa) -> Column:
