@@ -59,7 +59,7 @@ def test_any_blocks_equal_a_loop(sets, monkeypatch, sizes):
     want = {}
     for pair, points in nearest(ref, own, 1.5).items():
         d = sorted(km(p, q) for p, q in points)
-        if len(d) >= 2 and d[-1] <= 900.0:
+        if pair[0] is not None and len(d) >= 2 and d[-1] <= 900.0:  # points of no track match none
             want[pair] = (len(d), pytest.approx((d[(len(d) - 1) // 2] + d[len(d) // 2]) / 2))
     assert got == want
 
