@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_pairs import ARGS, frame, tracks
 
-from gyrespark.operators import grid, linking, pairs, quality, ranking, skill
+from gyrespark.operators import grid, joins, linking, pairs, quality, ranking, skill
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +107,16 @@ def test_distances_by_a_product():
     order = np.argsort(want[:400], axis=1, kind="stable")[:, :3]
     assert near["other"].tolist() == order.ravel().tolist()
     assert near["dist"].tolist() == want[np.arange(400)[:, None], order].ravel().tolist()
+
+
+def test_points_of_one_place_meet_once(spark):
+    rng = np.random.default_rng(5)
+    made = [[(k, f"2020-01-01 0{int(t)}:00:00", float(x), float(y)) for k, (t, x, y) in enumerate(rng.integers(0, 4, size=(n, 3)))] for n in (200, 300)]
+    ref, own = (spark.createDataFrame(m + [(None, "2020-01-01 00:00:00", None, 1.0)], "track long, time string, lon double, lat double") for m in made)
+    plain = joins.geo_time_pairs(ref, own, "track", "track", "time", "lon", "lat", 250.0)
+    places = [joins.counted_positions(df, "time", "lon", "lat") for df in (ref, own)]
+    near = joins.geo_time_pairs(*places, "n_points", "n_points", "time", "lon", "lat", 250.0).withColumn("n_pairs", F.col("id_ref") * F.col("id_own"))
+    assert near.count() <= 4 * 16 * 16 < plain.count()
+    got, want = skill.distance_report(near, weight="n_pairs").first(), skill.distance_report(plain).first()
+    assert got.asDict() == pytest.approx(want.asDict())
+    assert skill.distance_report(near.where("false"), weight="n_pairs").first().n_pairs == 0
