@@ -7,14 +7,18 @@ grid, so a slice is a bounded group; parallelism comes from the slices.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrespark.functions.geo import _c
 from gyrespark.operators import joins, ordered
-from gyrespark.session import cut_lineage
+from gyrespark.operators.labelling import in_tiles, tiles_together
+from gyrespark.session import cut_lineage, spread
 
 
 def densify(cells: DataFrame, by: list[str], nx: int, ny: int, values: list[str], fill: float | None = None) -> DataFrame:
@@ -111,29 +115,58 @@ def gaussian_smooth(field: DataFrame, by: list[str], values: list[str], sigma: f
     return _smooth_axis(rows, [*by, "x"], "y", values, weights, ny)
 
 
+def _maxima_of_tiles(table: pa.Table, number, by: list[str], value: str, payload: list[str], d: int, tile: int) -> pa.Table:
+    """Maxima among the own cells of numbered tiles, all tiles together."""
+    import numpy as np
+
+    def at(name: str):
+        return table.column(name).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    # two halos of empty rows and columns keep tiles apart
+    width = tile + 4 * d
+    ly, lx = (at(axis) - at(name) * tile + 2 * d for name, axis in (("_ty", "y"), ("_tx", "x")))
+    key = ((number * 3 + at("_sign") + 1) * width + ly) * width + lx
+    size = pc.rank(pc.abs(table.column(value)), tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    # the last of the rows of one cell stands for it, with the largest size of them
+    place = np.empty(len(key), np.int64)
+    place[pc.sort_indices(table, [(c, "ascending") for c in (value, *payload)], null_placement="at_start").to_numpy()] = np.arange(len(key))
+    order = np.lexsort((place, key))
+    key, starts = np.unique(key[order], return_index=True)
+    size = np.maximum.reduceat(size[order], starts)
+    row = order[np.r_[starts[1:], len(order)] - 1]
+    ly, lx = ly[row], lx[row]
+
+    beaten = np.zeros(len(key), dtype=bool)
+    for dy in range(-d, d + 1):
+        first = np.searchsorted(key, key + dy * width - d, "left")
+        last = np.searchsorted(key, key + dy * width + d, "right")
+        for step in range(2 * d + 1):
+            k = np.minimum(first + step, len(key) - 1)
+            other = (first + step < last) & (k != np.arange(len(key)))
+            beaten |= other & ((size[k] > size) | ((size[k] == size) & (key[k] < key)))
+    own = (ly >= 2 * d) & (ly < tile + 2 * d) & (lx >= 2 * d) & (lx < tile + 2 * d)
+    return table.select([*by, "y", "x", value, *payload]).take(pa.array(row[own & ~beaten]))
+
+
 def local_maxima(cells: DataFrame, by: list[str], value: str = "crit", min_distance: int = 1,
                  payload: list[str] | None = None) -> DataFrame:
     """Cells that exceed every cell within ``min_distance`` in both axes.
 
     Positive and negative extrema are found separately, each by absolute
     value.  Of equal neighbouring cells the first in (y, x) order stays.
+    Slices are cut into tiles with a halo, of which a kernel call takes a
+    bounded number of cells.
     """
-    d = min_distance
-    rows = cells.where(F.col(value) != 0).withColumn("_sign", F.signum(value).cast("int"))
-    rank = F.struct(F.abs(F.col(value)).alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
-    own = F.struct("y", "x", value, *(payload or []))
-    keys = [*by, "_sign"]
-    shifts = F.sequence(F.lit(-d), F.lit(d))
-    part = rows.repartition(*by).withColumn("_rank", rank).withColumn("_own", own)
-    part = part.select(*keys, F.col("y").alias("_y"), F.explode(F.transform(shifts, lambda k: F.struct((F.col("x") + k).alias("x"), k.alias("k")))).alias("_s"), "_rank", "_own")
-    across = part.groupBy(*keys, "_y", F.col("_s.x").alias("_x")).agg(
-        F.max("_rank").alias("_rank"), F.max(F.when(F.col("_s.k") == 0, F.col("_own"))).alias("_own"),
-        F.max(F.when(F.col("_s.k") == 0, F.col("_rank"))).alias("_mine"))
-    down = across.select(*keys, "_x", F.explode(F.transform(shifts, lambda k: F.struct((F.col("_y") + k).alias("y"), k.alias("k")))).alias("_s"), "_rank", "_own", "_mine")
-    whole = down.groupBy(*keys, "_x", F.col("_s.y").alias("_y")).agg(
-        F.max("_rank").alias("_rank"), F.max(F.when(F.col("_s.k") == 0, F.col("_own"))).alias("_own"),
-        F.max(F.when(F.col("_s.k") == 0, F.col("_mine"))).alias("_mine"))
-    return whole.where(F.col("_own").isNotNull() & (F.col("_mine") == F.col("_rank"))).select(*by, "_own.*")
+    payload, tile, d = payload or [], max(64, 8 * min_distance), min_distance
+    rows = cells.where(F.col(value) != 0).select(*by, F.signum(value).cast("int").alias("_sign"), "y", "x", value, *payload)
+    out = rows.select(*by, "y", "x", value, *payload).schema
+    groups = [*by, "_ty", "_tx"]
+    kernel = partial(_maxima_of_tiles, by=by, value=value, payload=payload, d=d, tile=tile)
+
+    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tiles_together(batches, groups, kernel)
+
+    return spread(in_tiles(rows, d, tile), groups).sortWithinPartitions(*groups).mapInArrow(maxima, out)
 
 
 def log_normalise(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

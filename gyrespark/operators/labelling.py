@@ -4,7 +4,8 @@ A slice is cut into square tiles with a halo of two search radii.  Each tile
 is labelled on its own (a numpy kernel that takes a bounded number of cells of
 many tiles at a time); components that touch a tile
 border are then merged by a small graph of component labels.  No task ever
-holds more cells than that, and no cell pair is ever emitted.
+holds more cells than that, and no cell pair is ever emitted.  A tile without
+cells of its own says nothing that the owners of its halo do not see.
 
 Labels are the smallest core-cell id of a component in (y, x) order, so the
 result does not depend on tiling: a border cell joins the first of its
@@ -14,7 +15,7 @@ neighbouring clusters in scan order.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -51,6 +52,13 @@ def _label_tiles(table: pa.Table, number, by: list[str], eps: float, min_samples
     y, x = y.astype(np.int64), x.astype(np.int64)
     side, width = tile + 2 * halo, tile + 2 * halo + reach  # empty columns and rows keep neighbours apart
     ly, lx = y - (ty * tile - halo), x - (tx * tile - halo)
+    home = (ly >= halo) & (ly < side - halo) & (lx >= halo) & (lx < side - halo)
+    owning = np.zeros(int(number[-1]) + 1, dtype=bool)
+    owning[number[home]] = True
+    if not owning.all():  # tiles that are all halo
+        rows = np.flatnonzero(owning[number])
+        table, number = table.take(pa.array(rows)), number[rows]
+        sign, y, x, crit, ly, lx = (c[rows] for c in (sign, y, x, crit, ly, lx))
     key = ((number * 2 + (sign > 0)) * width + ly) * width + lx
     # the last of the rows of one cell counts
     key, at = np.unique(key[::-1], return_index=True)
@@ -84,6 +92,7 @@ def _label_tiles(table: pa.Table, number, by: list[str], eps: float, min_samples
     cid = y[at] * _ROW + x[at]
     lookup = np.append(cid, -1)
 
+    # kind 0: own cells, each once for every component it may join; of a border cell's components the first is marked
     parts = [(np.flatnonzero(own & core), None, True, 0), (np.flatnonzero(core & ~own), None, True, 1)]
     edge = own & ~core
     hits = [(np.flatnonzero(edge & (label[k] < n)), k) for k in near]
@@ -94,39 +103,53 @@ def _label_tiles(table: pa.Table, number, by: list[str], eps: float, min_samples
     for rows, comp, is_core, kind in parts:
         comp = label[rows] if comp is None else comp
         picked = table.select([*by, "_sign"]).take(pa.array(at[rows]))
-        columns = {"cid": cid[rows], "crit": crit[at[rows]], "core": np.full(len(rows), is_core), "comp": lookup[comp], "kind": np.full(len(rows), kind, np.int32)}
+        columns = {"cid": cid[rows], "crit": crit[at[rows]], "core": np.full(len(rows), is_core), "comp": lookup[comp], "kind": np.full(len(rows), kind, np.int32),
+                   "first": np.r_[True, rows[1:] != rows[:-1]][:len(rows)]}
         for name, values in columns.items():
             picked = picked.append_column(name, pa.array(values))
         frames.append(picked)
     return pa.concat_tables(frames)
 
 
-def _label_part(batches: Iterator[pa.RecordBatch], by: list[str], eps: float, min_samples: int, tile: int) -> Iterator[pa.RecordBatch]:
-    """Label the tiles of one partition, sorted by tile, many at a time; the last one waits for its rest."""
+def tiles_together(batches: Iterator[pa.RecordBatch], groups: list[str], kernel: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition, sorted by tile, for ``kernel(table, tile numbers)``: many tiles at a time; the last one waits for its rest."""
     import numpy as np
 
     held, n = [], 0
 
-    def labelled(last: bool):
+    def done(last: bool):
         table = pa.Table.from_batches(held)
         new = np.zeros(max(len(table) - 1, 0), dtype=bool)
-        for c in (*by, "_ty", "_tx"):
+        for c in groups:
             new |= _changes(table.column(c))
         number = np.r_[0, np.cumsum(new)]
         end = len(table) if last else int(np.searchsorted(number, number[-1]))
-        out = _label_tiles(table.slice(0, end), number[:end], by, eps, min_samples, tile) if end else None
+        out = kernel(table.slice(0, end), number[:end]) if end else None
         return out, table.slice(end).to_batches()
 
     for batch in batches:
         held.append(batch)
         n += len(batch)
         if n >= TILE_ROWS:
-            out, held = labelled(False)
+            out, held = done(False)
             n = 0  # what is held is part of one tile
             if out is not None:
                 yield from out.to_batches()
     if held and sum(map(len, held)):
-        yield from labelled(True)[0].to_batches()
+        yield from done(True)[0].to_batches()
+
+
+def _label_part(batches: Iterator[pa.RecordBatch], by: list[str], eps: float, min_samples: int, tile: int) -> Iterator[pa.RecordBatch]:
+    """Label the tiles of one partition."""
+    kernel = partial(_label_tiles, by=by, eps=eps, min_samples=min_samples, tile=tile)
+    yield from tiles_together(batches, [*by, "_ty", "_tx"], kernel)
+
+
+def in_tiles(rows: DataFrame, halo: int, tile: int) -> DataFrame:
+    """A copy of each cell for every tile (``_ty``, ``_tx``) that it lies in or near; a missing position has a tile of its own."""
+    for name, axis in (("_ty", "y"), ("_tx", "x")):
+        rows = rows.withColumn(name, F.explode_outer(F.sequence(F.floor((F.col(axis) - halo) / tile), F.floor((F.col(axis) + halo) / tile))))
+    return rows
 
 
 def connected_labels(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -164,10 +187,9 @@ def label_cells(cells: DataFrame, by: list[str], crit: str = "crit", eps: float
     rows = cells.where(F.col(crit) != 0).select(
         *by, F.signum(crit).cast("int").alias("_sign"), F.col("y").cast("int"), F.col("x").cast("int"),
         F.col(crit).cast("double").alias("crit"))
-    tiled = rows.withColumn("_ty", F.explode(F.sequence(F.floor((F.col("y") - halo) / tile), F.floor((F.col("y") + halo) / tile))))
-    tiled = tiled.withColumn("_tx", F.explode(F.sequence(F.floor((F.col("x") - halo) / tile), F.floor((F.col("x") + halo) / tile))))
+    tiled = in_tiles(rows.where("y IS NOT NULL AND x IS NOT NULL"), halo, tile)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    schema = f"{kinds}, `_sign` int, cid long, crit double, core boolean, comp long, kind int"
+    schema = f"{kinds}, `_sign` int, cid long, crit double, core boolean, comp long, kind int, first boolean"
     kernel = partial(_label_part, by=by, eps=eps, min_samples=min_samples, tile=tile)
     groups = [*by, "_ty", "_tx"]
     parts = cut_lineage(spread(tiled, groups).sortWithinPartitions(*groups).mapInArrow(kernel, schema))
@@ -178,17 +200,18 @@ def label_cells(cells: DataFrame, by: list[str], crit: str = "crit", eps: float
     links = parts.where(F.col("kind") == 1).select(*keys, "cid", F.col("comp").alias("a"))
     home = own.where("core").select(*keys, "cid", F.col("comp").alias("b"))
     edges = cut_lineage(links.join(home, [*keys, "cid"]).where("a <> b").select(*keys, "a", "b").distinct())
-    if edges.isEmpty():
-        rooted = own.withColumn("_root", F.col("comp"))
+    if edges.isEmpty():  # no component crosses a border: the first one of a cell is known
+        member = own.where("first").select(*keys, "cid", F.col("comp").alias("_root"), "crit")
     else:
         roots = connected_labels(edges, keys).select(*keys, F.col("node").alias("comp"), F.col("root").alias("_r"))
         rooted = own.join(roots, [*keys, "comp"], "left").withColumn("_root", F.coalesce("_r", "comp"))
-    member = rooted.groupBy(*keys, "cid").agg(F.min("_root").alias("_root"), F.first("crit").alias("crit"))
+        member = rooted.groupBy(*keys, "cid").agg(F.min("_root").alias("_root"), F.first("crit").alias("crit"))
     size = member.groupBy(*keys, "_root").agg(F.count(F.lit(1)).alias("_n"), F.min("cid").alias("_first"))
     big = size.where(F.col("_n") >= size_filter)
     # one row per cluster of a slice: far fewer than the slice's cells
     big = big.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_first")))
     out = member.join(big.drop("_n", "_first"), [*keys, "_root"])
-    return out.select(*by, F.floor(F.col("cid") / _ROW).cast("int").alias("y"),
-                      F.pmod(F.col("cid"), F.lit(_ROW)).cast("int").alias("x"), "crit",
-                      (F.col("_no") * F.col("_sign")).cast("int").alias("cluster"))
+    # kept: what comes next reads the cells more than once
+    return cut_lineage(out.select(*by, F.floor(F.col("cid") / _ROW).cast("int").alias("y"),
+                                  F.pmod(F.col("cid"), F.lit(_ROW)).cast("int").alias("x"), "crit",
+                                  (F.col("_no") * F.col("_sign")).cast("int").alias("cluster")))

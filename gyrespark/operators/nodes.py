@@ -12,33 +12,28 @@ from pyspark.sql import functions as F
 from gyrespark.functions import geo
 from gyrespark.functions.aggregates import circular_mean_lon
 from gyrespark.operators import aggregate, grid
-from gyrespark.session import spread
+from gyrespark.session import cut_lineage, spread
 
 
-CELLS_TOGETHER = 50_000  # cells of clusters whose radii one kernel call re-estimates, on average
+CELLS_TOGETHER = 10_000  # cells of clusters whose radii one kernel call re-estimates, on average
 
 
 def extrema(cells: DataFrame, by: list[str], min_distance: int = 1) -> DataFrame:
     """Local extrema of each slice plus the cluster centres that are not among them."""
-    maxima = grid.local_maxima(cells, by, "crit", min_distance, payload=["cluster"])
-    stats = aggregate.cluster_stats(cells, by)
+    # few rows a cluster, read twice each
+    maxima = cut_lineage(grid.local_maxima(cells, by, "crit", min_distance, payload=["cluster"]))
+    stats = cut_lineage(aggregate.cluster_stats(cells, by))
     rest = stats.join(maxima.select(*by, "x", "y"), [*by, "x", "y"], "left_anti")
     both = maxima.unionByName(rest.select(*by, "y", "x", "crit", "cluster"))
     return both.join(stats.select(*by, "cluster", "rad_eff", "n_cells"), [*by, "cluster"])
 
 
-def _half_way_radius(peaks: pd.DataFrame, cells: pd.DataFrame, samples: int) -> pd.DataFrame:
+def _half_way_radius(at, crit, radius, site, value, samples: int):
     """Radii of the extrema of one cluster from the weakest point on the way to the nearest other one."""
     import numpy as np
 
-    peaks = peaks.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-    radius = peaks["rad_eff"].to_numpy(dtype=float).copy()
-    if len(peaks) > 1 and len(cells):
-        cells = cells.sort_values(["site_y", "site_x"], kind="stable")
-        at = peaks[["x", "y"]].to_numpy(dtype=float)
-        site = cells[["site_x", "site_y"]].to_numpy(dtype=float)
-        value = np.abs(cells["site_crit"].to_numpy(dtype=float))
-        largest = radius.max()
+    out = radius.copy()
+    if len(at) > 1 and len(site):
         for i, p in enumerate(at):
             d = np.hypot(*(at - p).T)
             d[d == 0] = np.inf
@@ -46,20 +41,28 @@ def _half_way_radius(peaks: pd.DataFrame, cells: pd.DataFrame, samples: int) ->
             # blocks of path points bound the size of the distance table
             blocks = np.array_split(path, max(1, len(path) * len(site) // 1_000_000))
             nearest = np.concatenate([((site[None, :, :] - b[:, None, :]) ** 2).sum(axis=2).argmin(axis=1) for b in blocks])
-            radius[i] = np.hypot(*(p - path[int(value[nearest].argmin())]))
-        radius[int(np.abs(peaks["crit"].to_numpy(dtype=float)).argmax())] = largest
-    out = peaks.assign(rad_eff=np.maximum(radius, 1.0))
-    return out
+            out[i] = np.hypot(*(p - path[int(value[nearest].argmin())]))
+        out[int(crit.argmax())] = radius.max()
+    return np.maximum(out, 1.0)
 
 
 def _radii_of_many(peaks: pd.DataFrame, cells: pd.DataFrame, keys: list[str], samples: int) -> pd.DataFrame:
-    """Radii of the extrema of several clusters."""
+    """Radii of the extrema of several clusters; frames are sorted once, clusters are slices of arrays."""
+    import numpy as np
+
     if not len(peaks):
         return peaks
-    at = cells.groupby([f"site_{k}" for k in keys]).indices
-    none = cells.iloc[:0]
-    done = [_half_way_radius(p, cells.iloc[at[k]] if k in at else none, samples) for k, p in peaks.groupby(keys, sort=False)]
-    return pd.concat(done, ignore_index=True)
+    peaks = peaks.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
+    cells = cells.sort_values(["site_y", "site_x"], kind="stable").reset_index(drop=True)
+    at, site = peaks[["x", "y"]].to_numpy(dtype=float), cells[["site_x", "site_y"]].to_numpy(dtype=float)
+    crit, value = (np.abs(c.to_numpy(dtype=float)) for c in (peaks["crit"], cells["site_crit"]))
+    radius = peaks["rad_eff"].to_numpy(dtype=float).copy()
+    members = cells.groupby([f"site_{k}" for k in keys]).indices
+    none = np.empty(0, np.int64)
+    for k, rows in peaks.groupby(keys).indices.items():
+        of = members.get(k, none)
+        radius[rows] = _half_way_radius(at[rows], crit[rows], radius[rows], site[of], value[of], samples)
+    return peaks.assign(rad_eff=radius)
 
 
 def reestimate_radii(peaks: DataFrame, cells: DataFrame, by: list[str], samples: int = 100) -> DataFrame:
@@ -88,9 +91,8 @@ def identify(field: DataFrame, by: list[str], crit: str = "crit", eps: float = 1
              size_filter: int = 10, min_distance: int = 1, update_radii: bool = True) -> dict[str, DataFrame]:
     """Cells, centres and extrema of a criterion field."""
     from gyrespark.operators.labelling import label_cells
-    from gyrespark.session import cut_lineage
 
-    cells = cut_lineage(label_cells(field, by, crit, eps, min_samples, size_filter))
+    cells = label_cells(field, by, crit, eps, min_samples, size_filter)
     centres = aggregate.cluster_stats(cells, by)
     peaks = extrema(cells, by, min_distance)
     if update_radii:
