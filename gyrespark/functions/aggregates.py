@@ -61,7 +61,12 @@ def circular_mean_lon(lon) -> Column:
 def vector_mean(u, v) -> dict[str, Column]:
     """Mean components, direction in [0, 360) and magnitude of the mean vector."""
     both = finite(u).isNotNull() & finite(v).isNotNull()
-    mu, mv = F.avg(F.when(both, _c(u))), F.avg(F.when(both, _c(v)))
+    return vector_direction(F.avg(F.when(both, _c(u))), F.avg(F.when(both, _c(v))))
+
+
+def vector_direction(u, v) -> dict[str, Column]:
+    """Components, direction and magnitude of a mean vector."""
+    mu, mv = _c(u), _c(v)
     return {"mean_u": mu, "mean_v": mv,
             "mean_angle": F.pmod(F.degrees(F.atan2(mv, mu)), F.lit(360.0)),
             "mean_magnitude": F.sqrt(mu * mu + mv * mv)}

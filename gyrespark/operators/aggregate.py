@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gyrespark.functions import geo
-from gyrespark.functions.aggregates import (aggregate_list, label_set, named_aggregate,
-                                            vector_mean)
+from gyrespark.functions.aggregates import (aggregate_list, finite, label_set, named_aggregate,
+                                            vector_direction, vector_mean)
 from gyrespark.functions.text import hours_between
-from gyrespark.operators import joins, ordered
+from gyrespark.operators import joins, ordered, pairs
+from gyrespark.operators.labelling import in_tiles, tiles_together
+from gyrespark.session import spread
+
+DISC_CELLS = 1 << 19  # candidate cells of discs looked at together, or one disc's
+SHARES = {"median": (0.5,), "p5": (0.05,), "p25": (0.25,), "p75": (0.75,), "p90": (0.9,), "p95": (0.95,),
+          "delta": (0.05, 0.95), "robust_min": (0.05,), "robust_max": (0.95,)}
+MOMENTS = ("mean", "min", "max", "sum", "count", "std", "std_pop")
 
 
 def disc_aggregate(points: DataFrame, grid: DataFrame, on: list[str], point_id: str, x: str, y: str, radius: str,
@@ -18,12 +31,155 @@ def disc_aggregate(points: DataFrame, grid: DataFrame, on: list[str], point_id:
     """Named aggregates of the cells within an index radius of each point.
 
     ``extra`` keeps a part of the disc, such as its poleward half.  Points
-    without any cell keep a row with nulls.
+    without any cell keep a row with nulls.  Percentiles of discs are taken where
+    points and cells meet, so the cells of discs are neither sorted nor shuffled.
     """
+    names = [name for _, name in config.values()]
+    if extra is None and any(n in SHARES for n in names) and all(n in SHARES or n in MOMENTS for n in names):
+        sizes = points.groupBy(point_id).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(radius).cast("double")).alias("r")).agg(
+            F.max("n").alias("n"), F.max("r").alias("r")).first()
+        if sizes["n"] == 1:  # a repeated point has the cells of all its discs
+            halo = max(1, math.ceil(min(sizes["r"] or 1.0, 1e6)))
+            return _discs_in_tiles(points, grid, on, point_id, x, y, radius, gx, gy, config, vectors or {}, halo)
     joined = joins.radius_join_cells(points, grid, on, x, y, radius, gx, gy, bucket)
     return _finish_disc(points, joined, point_id, config, extra, vectors)
 
 
+def _named_of_segments(name: str, v, which, m: int):
+    """An aggregate (see ``AGGREGATES``) of the values of ``m`` segments, and where it is missing; values are sorted by (segment, value)."""
+    import numpy as np
+
+    n = np.bincount(which, minlength=m)
+    if name == "count":
+        return n, np.zeros(m, dtype=bool)
+    missing, ends, many = n == 0, np.cumsum(n), np.maximum(n, 1)
+    if not len(v):
+        return np.zeros(m), missing
+    low = np.minimum(ends - n, len(v) - 1)
+
+    def at(q: float):
+        place = (n - 1) * q
+        i, j = (np.clip(low + f(place).astype(np.int64), 0, len(v) - 1) for f in (np.floor, np.ceil))
+        part = place - np.floor(place)
+        between = (np.ceil(place) - place) * v[i] + part * v[j]
+        return np.where((part == 0) | (v[i] == v[j]), v[i], between)
+
+    if name in SHARES:
+        found = [at(q) for q in SHARES[name]]
+        return found[-1] - found[0] if len(found) > 1 else found[0], missing
+    if name in ("min", "max"):
+        return v[low if name == "min" else np.maximum(ends - 1, 0)], missing
+    total = np.bincount(which, v, minlength=m)
+    if name == "sum":
+        return total, missing
+    mean = total / many
+    if name == "mean":
+        return mean, missing
+    squares = np.bincount(which, (v - mean[which]) ** 2, minlength=m)
+    if name == "std_pop":
+        return np.sqrt(squares / many), missing
+    return np.sqrt(squares / np.maximum(n - 1, 1)), n < 2
+
+
+def _disc_tiles(table: pa.Table, number, width: int, values: list[str], wanted: list, vectors: list, kept: list[str]) -> pa.Table:
+    """Aggregates of the discs of the points of numbered tiles, all tiles together."""
+    import numpy as np
+
+    def array(name: str):
+        return table.column(name).combine_chunks().cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)
+
+    cell = np.asarray(table.column("_cell").combine_chunks())
+    is_cell, is_point = np.flatnonzero(cell), np.flatnonzero(~cell)
+    x, y, r = array("x"), array("y"), array("_r")[is_point]
+    # lattice squares of a tile, counted from its halo
+    col, row = (a - array(name) for a, name in ((x, "_x0"), (y, "_y0")))
+    square = (number[is_cell] * width + np.floor(col[is_cell]).astype(np.int64)) * width + np.floor(row[is_cell]).astype(np.int64)
+    order = np.argsort(square, kind="stable")
+    square, is_cell = square[order], is_cell[order]
+    gx, gy = x[is_cell], y[is_cell]
+    px, py, pc_, pr, tile = x[is_point], y[is_point], col[is_point], row[is_point], number[is_point]
+    there = ~(np.isnan(px) | np.isnan(py) | np.isnan(r)) & (r >= 0)
+    edge = [np.clip(np.nan_to_num(np.floor(c + s * r)), 0, width - 1).astype(np.int64) for c in (pc_, pr) for s in (-1, 1)]
+    steps = int((edge[1] - edge[0])[there].max()) + 1 if there.any() else 0
+    reached = []
+    for k in range(steps):
+        base = (tile * width + edge[0] + k) * width
+        on = there & (edge[0] + k <= edge[1])
+        lo, hi = np.searchsorted(square, base + edge[2], "left"), np.searchsorted(square, base + edge[3], "right")
+        reached.append((np.where(on, lo, 0), np.where(on, hi, 0)))
+    ends = np.cumsum(sum((hi - lo for lo, hi in reached), np.zeros(len(px), np.int64)))
+    data = {c: array(c)[is_cell] for c in values}
+    frames, first = [], 0
+    while first < len(px):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + DISC_CELLS, "right")))
+        found = list(pairs._expanded([(lo[first:last], hi[first:last]) for lo, hi in reached], DISC_CELLS))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        p = i + first
+        inside = np.sqrt((gx[j] - px[p]) ** 2 + (gy[j] - py[p]) ** 2) <= r[p]
+        i, j, m = i[inside], j[inside], last - first
+        n = np.bincount(i, minlength=m)
+        columns = {"n_cells": pa.array(n)}
+        for c in values:
+            v = data[c][j]
+            at = np.flatnonzero(~np.isnan(v))
+            at = at[np.lexsort((v[at], i[at]))]
+            for out, (column, name) in wanted:
+                if column == c:
+                    found, missing = _named_of_segments(name, v[at], i[at], m)
+                    columns[out] = pa.array(found, mask=missing | (n == 0))
+        for prefix, (u, w) in vectors:
+            a, b = data[u][j], data[w][j]
+            both = ~(np.isnan(a) | np.isnan(b))
+            for part, v in (("u", a), ("v", b)):
+                found, missing = _named_of_segments("mean", v[both], i[both], m)
+                columns[f"{prefix}_mean_{part}"] = pa.array(found, mask=missing)
+        rows = table.select(kept).take(pa.array(is_point[first:last]))
+        for name in ["n_cells", *[out for out, _ in wanted], *[f"{prefix}_mean_{part}" for prefix, _ in vectors for part in "uv"]]:
+            rows = rows.append_column(name, columns[name])
+        frames.append(rows)
+        first = last
+    if frames:
+        return pa.concat_tables(frames)
+    out = table.select(kept).slice(0, 0)
+    for name, kind in [("n_cells", pa.int64()), *[(out_, pa.int64() if f[1] == "count" else pa.float64()) for out_, f in wanted],
+                       *[(f"{prefix}_mean_{part}", pa.float64()) for prefix, _ in vectors for part in "uv"]]:
+        out = out.append_column(name, pa.array([], kind))
+    return out
+
+
+def _discs_in_tiles(points: DataFrame, grid: DataFrame, on: list[str], point_id: str, x: str, y: str, radius: str, gx: str, gy: str,
+                    config: dict[str, tuple[str, str]], vectors: dict[str, tuple[str, str]], halo: int) -> DataFrame:
+    """Aggregates of discs of radius ``halo`` at most: a tile's points meet the cells of the tile and its halo in one task."""
+    tile = max(64, 4 * halo)
+    taken = list(dict.fromkeys([*[c for c, _ in config.values()], *[c for v in vectors.values() for c in v]]))
+    values = {c: f"_v{k}" for k, c in enumerate(taken)}
+    carried = {c: f"_p{k}" for k, c in enumerate(points.columns)}
+    origin = {"_x0": F.col("_tx") * tile - halo, "_y0": F.col("_ty") * tile - halo}
+    number = lambda c: F.col(c).cast("double")
+    p = points.select(*on, number(x).alias("x"), number(y).alias("y"), F.when(F.col(point_id).isNotNull(), number(radius)).alias("_r"),
+                      *[F.col(c).alias(k) for c, k in carried.items()], F.lit(False).alias("_cell"))
+    p = p.withColumns({"_ty": F.coalesce(F.floor(F.col("y") / tile), F.lit(0).cast("long")), "_tx": F.coalesce(F.floor(F.col("x") / tile), F.lit(0).cast("long"))})
+    g = grid.select(*on, number(gx).alias("x"), number(gy).alias("y"), *[finite(c).alias(k) for c, k in values.items()], F.lit(True).alias("_cell"))
+    for c in ("x", "y", *on):
+        g = g.where(F.col(c).isNotNull())
+    rows = p.unionByName(in_tiles(g, halo, tile), allowMissingColumns=True)
+    groups = [*on, "_ty", "_tx"]
+    kinds = [T.StructField(k, points.schema[c].dataType) for c, k in carried.items()] + [T.StructField("n_cells", T.LongType())]
+    kinds += [T.StructField(out, T.LongType() if name == "count" else T.DoubleType()) for out, (_, name) in config.items()]
+    kinds += [T.StructField(f"{prefix}_mean_{part}", T.DoubleType()) for prefix in vectors for part in "uv"]
+    kernel = partial(_disc_tiles, width=tile + 2 * halo + 2, values=list(values.values()), wanted=[(out, (values[c], name)) for out, (c, name) in config.items()],
+                     vectors=[(prefix, (values[u], values[v])) for prefix, (u, v) in vectors.items()], kept=list(carried.values()))
+
+    def discs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tiles_together(batches, groups, kernel)
+
+    out = spread(rows, groups).sortWithinPartitions(*groups).withColumns(origin).mapInArrow(discs, T.StructType(kinds))
+    parts = [c.alias(f"{prefix}_{part}") for prefix in vectors for part, c in vector_direction(f"{prefix}_mean_u", f"{prefix}_mean_v").items()]
+    first = [F.col(carried[c]).alias(c) for c in (point_id, *[c for c in points.columns if c != point_id])]
+    return out.select(*first, "n_cells", *config, *parts)
+
+
 def disc_aggregate_degrees(points: DataFrame, grid: DataFrame, on: list[str], point_id: str, lon: str, lat: str,
                            radius: str, grid_lon: str, grid_lat: str, config: dict[str, tuple[str, str]],
                            bucket: float, vectors: dict[str, tuple[str, str]] | None = None) -> DataFrame:
