@@ -120,3 +120,15 @@ def test_points_of_one_place_meet_once(spark):
     got, want = skill.distance_report(near, weight="n_pairs").first(), skill.distance_report(plain).first()
     assert got.asDict() == pytest.approx(want.asDict())
     assert skill.distance_report(near.where("false"), weight="n_pairs").first().n_pairs == 0
+
+
+def test_numbers_of_pairs_do_not_overflow(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k % 2, [float(k), 1.0]) for k in range(6)], "id long, label int, f array<double>")
+
+    def many(key, a, b):  # as 100,000 rows return them
+        return pd.DataFrame({"n": [5_000_000_000], "sd": [7.5e9], "sdd": [1.4e10], "sm": [4_500_000_000], "sdm": [7.0e9]})
+
+    monkeypatch.setattr(quality, "_pair_sums", many)
+    n, sd, sdd, sm, sdm = 5e9, 7.5e9, 1.4e10, 4.5e9, 7.0e9
+    want = (n * sdm - sd * sm) / np.sqrt((n * sdd - sd * sd) * (n * sm - sm * sm))
+    assert quality.hubert_gamma(df, "id", "label", "f").first().hubert_gamma == pytest.approx(want)
