@@ -268,3 +268,58 @@ def test_background_shift_is_the_mean_wind_of_the_box(spark):
         else:
             assert r.bg_dx is None and r.bg_dy is None
     assert got.count() == len(points)
+
+
+@pytest.mark.parametrize("reach,edges_a_group", [(1, 1 << 20), (3, 40), (3, 1 << 20)])
+def test_matching_in_groups_of_slots_equals_serving_one_by_one(spark, monkeypatch, reach, edges_a_group):
+    rng = np.random.default_rng(reach)
+    slot = {k: int(rng.integers(0, 40)) for k in range(240)}
+    edges = [(p, slot[a], slot[b], a + 1000 * p, b + 1000 * p, float(rng.integers(0, 4)), float(rng.integers(0, 3)))
+             for p in (0, 1) for a in slot for b in slot if 0 < slot[b] - slot[a] <= reach and rng.random() < 0.7]
+    prio = {e[3]: e[6] for e in edges}
+    want, used = {}, set()
+    for a in sorted(prio, key=lambda a: (prio[a], a)):
+        free = sorted((e[5], e[4]) for e in edges if e[3] == a and e[4] not in used)
+        if free:
+            want[a] = free[0][1]
+            used.add(free[0][1])
+    df = spark.createDataFrame([(*e[:6], prio[e[3]]) for e in edges], "p int, at int, to int, a long, b long, d double, c double")
+    df = df.select(F.struct("p").alias("part"), "at", "to", "a", "b", F.struct("d", "b").alias("pref"), F.struct("c", "a").alias("prio"))
+    monkeypatch.setattr(linking, "GROUP_EDGES", edges_a_group)
+    rounds, cut = [], linking.cut_lineage
+    monkeypatch.setattr(linking, "cut_lineage", lambda d: (rounds.append(1), cut(d))[1])
+    assert {r.a: r.b for r in linking.dominant_matching(df).collect()} == want
+    assert len(rounds) <= (2 if reach == 1 else 12)
+
+
+def test_a_long_line_of_ends_is_settled_in_few_rounds(spark, monkeypatch):
+    # each end wants the item of the end before it: one by one this takes a round an end
+    n = 300
+    edges = [(0, 0, 1, k, 1000 + b, float(-b), float(k)) for k in range(n) for b in (k, k - 1) if b >= 0]
+    df = spark.createDataFrame(edges, "p int, at int, to int, a long, b long, d double, c double")
+    df = df.select(F.struct("p").alias("part"), "at", "to", "a", "b", F.struct(F.abs("d").alias("d")).alias("pref"), F.struct("c").alias("prio"))
+    rounds, cut = [], linking.cut_lineage
+    monkeypatch.setattr(linking, "cut_lineage", lambda d: (rounds.append(1), cut(d))[1])
+    got = {r.a: r.b - 1000 for r in linking.dominant_matching(df).collect()}
+    assert got == {k: k for k in range(n)} and len(rounds) == 2
+
+
+@pytest.mark.parametrize("name,axes", [("adv", None), ("adv_bg", None), ("local_extrema", None), ("local_extrema_km", (170.0, 0.9, 60.0, 0.6)),
+                                       ("local_2_phase_cone", None), ("local_2_phase_cone_km", (170.0, 0.9, 60.0, 0.6))])
+def test_steps_are_served_in_blocks(spark, monkeypatch, name, axes):
+    rule = linking.RULES.get(name) or linking.LinkRule(predictor=name)
+    rows = fixture(21, steps=24, two_per_cluster=rule.policy == "cluster")
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    centres = spark.createDataFrame([tuple(r.values()) for r in centres_of(rows)], SCHEMA) if rule.policy == "cluster" else None
+    odd = df.limit(2).withColumns({"t": F.lit(None).cast("int"), "node_id": F.col("node_id") + 5000})
+    cuts, cut, found = [], linking.cut_lineage, []
+    monkeypatch.setattr(linking, "cut_lineage", lambda d: (cuts.append(1), cut(d))[1])
+    for steps in (64, 5, 1):
+        monkeypatch.setattr(linking, "BLOCK_STEPS", steps)
+        cuts.clear()
+        members = linking.link_nodes(df.unionByName(odd), ["g"], rule, (NY, NX), axes, centres)
+        found.append(sorted((r.node_id, r.prev_id or 0) for r in members.collect()))
+        if steps == 64:
+            assert len(cuts) <= 5  # before, one or more for every step
+    assert found[0] == found[1] == found[2] and any(p for _, p in found[0])
+    assert (max(found[0])[0] > 5000) == (rule.policy != "cluster")
