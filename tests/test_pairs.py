@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from gyrespark.operators import joins, skill
+from gyrespark.operators import joins, pairs, skill
 
 START = datetime(2020, 1, 1)
 
@@ -135,3 +135,72 @@ def test_distance_of_a_missing_position_is_null(spark):
     rows = [(0.0, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 0.0), (0.0, 0.0, 5.0, None), (0.0, 0.0, 180.0, 0.0)]
     got = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geo.haversine_km("a", "b", "c", "d").alias("km")).collect()
     assert [r.km for r in got] == [0.0, None, None, pytest.approx(math.pi * 6371.0)]
+
+
+def test_resampled_paths_equal_a_loop_and_copy_no_points(spark, monkeypatch):
+    ref, own = tracks(5, 30, 0), tracks(6, 35, 0)
+    ref += [(90, START, 171.0, 1.0)]  # one point
+    a, b = frame(spark, ref), frame(spark, own)
+    matches = skill.interval_matches(a, b, *ARGS, 2.0, 30.0).cache()
+    monkeypatch.setattr(pairs, "WHOLE_TRACKS", 8)
+    monkeypatch.setattr(pairs, "PAIRS", 100)
+    made = skill.path_similarity(matches, a, b, *ARGS, length=5)
+    got = {(r.id_ref, r.id_own): r.path_score for r in made.collect()}
+
+    def path(points, key, low, high):
+        inside = sorted((t, *p) for k, t, *p in points if k == key and low <= t <= high)
+        out = []
+        for s in range(5):
+            at, part = divmod(s * (len(inside) - 1), 4)
+            p = inside[at][1:]
+            q = inside[at + 1][1:] if part and None not in inside[at + 1][1:] else p
+            out.append(None if None in p else tuple(u + (v - u) * part / 4 for u, v in zip(p, q)))
+        return out
+
+    def cosine(p, q, r, s):
+        if None in (p, q, r, s):
+            return 0.0
+        u, v = (q[0] - p[0], q[1] - p[1]), (s[0] - r[0], s[1] - r[1])
+        size = math.hypot(*u) * math.hypot(*v)
+        return (u[0] * v[0] + u[1] * v[1]) / size if size else 0.0
+
+    want = {}
+    for m in matches.collect():
+        low, high = max(m.ref_start, m.own_start), min(m.ref_end, m.own_end)
+        u, v = path(ref, m.id_ref, low, high), path(own, m.id_own, low, high)
+        want[m.id_ref, m.id_own] = pytest.approx(sum(cosine(u[k], u[k + 1], v[k], v[k + 1]) for k in range(4)) / 8 + 0.5)
+    assert len(want) > 50 and got == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_the_best_composite_partner_is_chosen_in_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL", 40)
+    a, b = frame(spark, tracks(7, 50, 0)), frame(spark, tracks(8, 60, 0))
+    whole = skill.interval_matches(a, b, *ARGS, 2.0, 30.0)
+    few = skill.interval_matches(a, b, *ARGS, 2.0, 30.0, (25.0, 6.0))
+    assert few.columns == whole.columns and few.count() < whole.count()
+    best = [{r.id_ref: (r.id_own, r.n_common, r.composite_score) for r in skill.best_composite_match(m, 25.0, 6.0).collect()} for m in (whole, few)]
+    assert best[0] == best[1] != {}
+
+
+def test_points_near_references_are_counted_without_copies(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(None if k == 5 else k, None if rng.random() < 0.02 else START + timedelta(hours=int(h))) for k in range(30) for h in rng.integers(0, 400, 12)]
+    points = spark.createDataFrame(rows, "track int, time timestamp_ntz")
+    refs = [(100 + k, START + timedelta(hours=int(h)), START + timedelta(hours=int(h + n))) for k, (h, n) in enumerate(rng.integers(0, 300, (20, 2)))]
+    refs += [(None, START, START), (300, START + timedelta(days=900), START + timedelta(days=901)), (301, None, START)]
+    spans = spark.createDataFrame(refs, "track int, a timestamp_ntz, b timestamp_ntz")
+    want, day = {}, timedelta(days=1)
+    for key, low, high in refs:
+        inside = [k for k, t in rows if low is not None and t is not None and low - day <= t <= high + day]
+        if inside:
+            want[key] = (len(inside), len(set(inside) - {None}))
+    for blocks in (1, 7):
+        monkeypatch.setattr(joins, "COUNT_BLOCKS", blocks)
+        monkeypatch.setattr(joins, "COUNT_POINTS", 360 // blocks)
+        monkeypatch.setattr(joins, "COUNT_SPANS", 24 // min(blocks, 3))
+        near = joins.tracks_near(points, spans, "time", "a", "b", "track", 1.0, counted=True)
+        assert {r.id_ref: (r.n_points, r.n_tracks) for r in near.collect()} == want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
