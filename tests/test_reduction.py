@@ -132,3 +132,15 @@ def test_numbers_of_pairs_do_not_overflow(spark, monkeypatch):
     n, sd, sdd, sm, sdm = 5e9, 7.5e9, 1.4e10, 4.5e9, 7.0e9
     want = (n * sdm - sd * sm) / np.sqrt((n * sdd - sd * sd) * (n * sm - sm * sm))
     assert quality.hubert_gamma(df, "id", "label", "f").first().hubert_gamma == pytest.approx(want)
+
+
+def test_rows_are_copied_for_blocks_not_for_tiles(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), int(rng.integers(0, 3)), [float(v) for v in rng.integers(0, 6, 3)]) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, label int, f array<float>").cache()
+    args = ("id", "label", "f")
+    whole = [quality.silhouette(df, *args).first()[0], quality.connectivity(df, *args, 5).first()[0], quality.hubert_gamma(df, *args).first()[0]]
+    tiled = [quality.silhouette(df, *args, 2).first()[0], quality.connectivity(df, *args, 5, 2).first()[0], quality.hubert_gamma(df, *args, 2).first()[0]]
+    assert tiled == pytest.approx(whole)
+    seen = quality._tiled(df, *args, lambda a, b: pd.DataFrame({"id": [len(a)], "n": [len(b)]}), "id long, n long", False, 2)
+    assert seen.count() > 2_000 and "sequence(cast(0 as bigint), cast(9 as bigint)" in seen._jdf.queryExecution().analyzed().toString()  # 10 blocks of 75 tiles
