@@ -140,6 +140,7 @@ def test_distance_of_a_missing_position_is_null(spark):
 def test_resampled_paths_equal_a_loop_and_copy_no_points(spark, monkeypatch):
     ref, own = tracks(5, 30, 0), tracks(6, 35, 0)
     ref += [(90, START, 171.0, 1.0)]  # one point
+    ref, own = ([(k, t, None if n % 11 == 3 else x, None if n % 13 == 5 else y) for n, (k, t, x, y) in enumerate(rows)] for rows in (ref, own))
     a, b = frame(spark, ref), frame(spark, own)
     matches = skill.interval_matches(a, b, *ARGS, 2.0, 30.0).cache()
     monkeypatch.setattr(pairs, "WHOLE_TRACKS", 8)
@@ -152,9 +153,8 @@ def test_resampled_paths_equal_a_loop_and_copy_no_points(spark, monkeypatch):
         out = []
         for s in range(5):
             at, part = divmod(s * (len(inside) - 1), 4)
-            p = inside[at][1:]
-            q = inside[at + 1][1:] if part and None not in inside[at + 1][1:] else p
-            out.append(None if None in p else tuple(u + (v - u) * part / 4 for u, v in zip(p, q)))
+            p, q = inside[at][1:], inside[at + 1][1:] if part else inside[at][1:]
+            out.append(None if None in p else tuple(u if v is None else u + (v - u) * part / 4 for u, v in zip(p, q)))
         return out
 
     def cosine(p, q, r, s):
